@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, pii, quality, sharding
-from .common import table
+from . import chat, mixing, packing, pii, quality, sharding, simhash, token_files
+from .common import scratch, table, written
+from .tokens import tokenizer_path
 
 SHARD_BYTES = 1 << 20
 
@@ -30,6 +31,12 @@ FROM leaf JOIN lv ON lv.doc_id = leaf.doc_id AND lv.lvl = leaf.depth JOIN node O
 """
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     out = mixing.mix_copies(docs)
@@ -76,6 +83,19 @@ verdict AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS bas
 OP5_SQL = f"WITH {_QUALITY} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND full_enough AS kept, removed_words FROM verdict"
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = scratch(spark, "token-files")
+    token_files.write_files(written(token_files.tokenize(docs, tokenizer_path("byte_bpe_50k.json")), "token-ids"), folder)
+    read = token_files.read_files(spark, folder)
+    return read.select("doc_id", "start", F.expr("CAST(octet_length(ids) div 4 AS BIGINT)").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
@@ -107,8 +127,11 @@ FROM c GROUP BY conv_id
 
 QUERIES = {
     "op1_extendible_shards": op1_extendible_shards,
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op4_mix_sources": op4_mix_sources,
     "op5_quality_rules": op5_quality_rules,
+    "op6_token_files": op6_token_files,
+    "op7_simhash_components": op7_simhash_components,
     "op9_personal_data": op9_personal_data,
     "op10_chat_format": op10_chat_format,
 }

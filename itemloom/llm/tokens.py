@@ -41,23 +41,24 @@ class Memo(dict):
         if piece in self.old:
             self[piece] = ids = self.old.pop(piece)
             return ids
+        # Without a mark of its own, a piece of a tokenizer that keeps white space stands after a space.
+        text = piece if self.lower or piece[:1] == "\n" else piece[1:] if piece[:1] == "\0" else " " + piece
         # A last comma or full stop after letters is a token of its own to the pre-tokenizer; so are letters alone.
-        stem = piece[:-1] if piece[-1] in ",." else piece
-        ids = self.get(stem) if stem is not piece and stem[-1:].isalpha() else None
-        if ids is None:
-            ids = self.word(stem)
-        if ids is None:
-            ids = array.array("I", self.library.encode(piece, add_special_tokens=False).ids).tobytes()
-        elif stem is not piece:
-            self[stem] = ids
-            ids += self[piece[-1]]
+        if text[-1] in ",." and text[-2:-1].isalpha() and (ids := self.word(text[:-1])) is not None:
+            ids += self.mark(text[-1])
+        elif (ids := self.word(text)) is None:
+            ids = array.array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
         self[piece] = ids
         return ids
 
-    def word(self, piece: str) -> bytes | None:
+    @lru_cache(maxsize=2)  # noqa: B019
+    def mark(self, c: str) -> bytes:
+        return array.array("I", self.library.encode(c, add_special_tokens=False).ids).tobytes()
+
+    def word(self, text: str) -> bytes | None:
         """Ids of Latin-1 letters, maybe after a space: one token to the pre-tokenizer, unchanged by NFC."""
-        space = piece[:1] == " "
-        stem = piece[1:] if space else piece
+        space = text[:1] == " "
+        stem = text[1:] if space else text
         if not stem.isalpha() or max(stem) > "\xff":
             return None
         if self.lower:
@@ -66,6 +67,8 @@ class Memo(dict):
             stem = stem.encode().decode("latin-1").translate(BYTE_CHARS)
         return array.array("I", [x.id for x in self.model.tokenize("\u0120" + stem if space else stem)]).tobytes()
 
+    __hash__ = object.__hash__
+
 
 class Encoder:
     """Ids (as little-endian unsigned 32-bit bytes) of texts; equal to the library's encode(text, add_special_tokens=False).
@@ -85,10 +88,10 @@ class Encoder:
         if self.drops_space:
             return text.split() if not any(c in text for c in "\x1c\x1d\x1e\x1f") else [text]
         if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or not text.replace("\n", " ").isprintable():
-            return [text]
-        first, *rest = text.replace("\n", " \n").split(" ")
-        out = [" " + x if x[:1] != "\n" else x for x in rest]
-        return [first, *out] if first else out
+            return ["\0" + text]
+        out = text.replace("\n", " \n").split(" ")
+        out[0] = "\0" + out[0]
+        return out if len(out[0]) > 1 else out[1:]
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
