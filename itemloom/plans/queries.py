@@ -310,10 +310,10 @@ def _calls(events: DataFrame) -> DataFrame:
 @query("""WITH c AS (SELECT event_type AS label, epoch_us(ts) AS a, epoch_us(ts) + CAST(floor(value * 1000) AS BIGINT) AS b, CAST(floor(value) AS BIGINT) AS eval_ms, event_id % 100 AS p, event_id % 50 AS e FROM events),
 s AS (SELECT label, count(*) AS calls, sum((b - a) / 1000.0::DOUBLE) AS total_ms, CAST(sum(eval_ms) AS BIGINT) AS eval_ms, CAST(sum(p) AS BIGINT) AS prompt_tokens, CAST(sum(e) AS BIGINT) AS eval_tokens FROM c GROUP BY ROLLUP (label)),
 w AS (SELECT (max(b) - min(a)) / 1000.0::DOUBLE AS wall FROM c)
-SELECT label, calls, round(total_ms, 2) AS total_ms, eval_ms, prompt_tokens, eval_tokens, round(total_ms / wall, 6) AS share, round(eval_tokens / (eval_ms / 1000.0::DOUBLE), 6) AS tokens_per_s FROM s, w""")
+SELECT label, calls, round(total_ms, 3) AS total_ms, eval_ms, prompt_tokens, eval_tokens, round(total_ms / wall, 6) AS share, round(eval_tokens / (eval_ms / 1000.0::DOUBLE), 6) AS tokens_per_s FROM s, w""")
 def call_stats(table):
     out = report.call_stats(_calls(table("events")))
-    return out.select("label", "calls", F.round("total_ms", 2).alias("total_ms"), "eval_ms", "prompt_tokens", "eval_tokens", F.round("share", 6).alias("share"), F.round("tokens_per_s", 6).alias("tokens_per_s"))
+    return out.select("label", "calls", F.round("total_ms", 3).alias("total_ms"), "eval_ms", "prompt_tokens", "eval_tokens", F.round("share", 6).alias("share"), F.round("tokens_per_s", 6).alias("tokens_per_s"))
 
 
 def call_stats_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -321,17 +321,17 @@ def call_stats_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     import tempfile
     import uuid
 
-    path = f"{sf_dir}/events.parquet"
-    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    kind = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    rows = spark.readStream.schema(kind).parquet(f"{sf_dir}/events.parque[t]")  # a pattern: the table may be a file or a folder
     name = f"calls_{uuid.uuid4().hex}"
     top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
     q = calls.running_stats(_calls(rows)).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{top}/{name}").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name).select("label", "calls", F.round("total_ms", 2).alias("total_ms"), "eval_tokens")
+    return spark.table(name).select("label", "calls", F.round("total_ms", 3).alias("total_ms"), "eval_tokens")
 
 
 QUERIES["call_stats_stream"] = call_stats_stream
-SQL["call_stats_stream"] = "SELECT event_type AS label, count(*) AS calls, round(sum(floor(value * 1000) / 1000.0::DOUBLE), 2) AS total_ms, CAST(sum(event_id % 50) AS BIGINT) AS eval_tokens FROM events GROUP BY event_type"
+SQL["call_stats_stream"] = "SELECT event_type AS label, count(*) AS calls, round(sum(floor(value * 1000) / 1000.0::DOUBLE), 3) AS total_ms, CAST(sum(event_id % 50) AS BIGINT) AS eval_tokens FROM events GROUP BY event_type"
 
 
 @query("SELECT r_regionkey AS course, n_nationkey AS lesson, c_custkey AS exam FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey")
