@@ -8,9 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WHITE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,17 +46,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def words_of(text: Column) -> Column:
     """Words between ASCII white space; null: none."""
-    return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), WHITE[1:], " " * 5), " "), lambda w: w != "")
+    return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def ascii_lower(text: Column) -> Column:
-    return F.translate(text, UPPER, UPPER.lower())
-
-
 def as_text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, named, without
+from .common import named, without
 
 #: Kinds in the order of the digest. The first four are kept whenever their check passes; the others need THRESHOLD.
 BASE = ("email", "ip", "card", "phone")
@@ -102,7 +102,7 @@ def find_spans(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD
     out = docs.withColumns({c: F.when(t.rlike(HINT[k]), _matches(t, k)) for k, c in parts.items()})
 
     def scored(kind: str, c: str) -> Column:
-        near = lambda x: ascii_lower(x["before"]).rlike(rf"(?:^|[^a-z])(?:{CONTEXT[kind]})(?:[^a-z]|$)")
+        near = lambda x: F.lower(x["before"]).rlike(rf"(?:^|[^a-z])(?:{CONTEXT[kind]})(?:[^a-z]|$)")
         score = lambda x: F.least(F.lit(1.0), F.lit(START[kind]) + F.when(near(x), BONUS).otherwise(0.0))
         good = F.filter(F.col(c), lambda x: _passes(kind, x["hit"]))
         spans = F.transform(good, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), score(x).alias("score")))

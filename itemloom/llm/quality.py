@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, WORD, ascii_lower, cut, n_words, named, without, words_of
+from .common import WORD, cut, n_words, named, without, words_of
 
 #: A line in more distinct texts of one host than this is boilerplate ...
 MAX_TEXTS = 20
@@ -16,16 +16,17 @@ MIN_LEFT = 0.2
 #: Up to so many (host, line) pairs, 8 bytes each, the removed lines are broadcast; above, they are joined by shuffle.
 BROADCAST_LINES = 200_000
 _SLOTS = 64
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 
 
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def normal_line(line: Column) -> Column:
-    """Lower-case A-Z, white space as single spaces, none at the ends."""
-    return F.trim(F.regexp_replace(ascii_lower(line), r"[\x20\x09-\x0D]+", " "))
+def normal_lines(text: Column) -> Column:
+    """The lines of a text, lower-cased, white space as single spaces, none at the ends."""
+    one = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x09\x0B-\x0D][\x20\x09\x0B-\x0D]*|\x20[\x20\x09\x0B-\x0D]+", " ")
+    return F.transform(F.split(F.lower(one), "\n"), lambda x: F.trim(x))
 
 
 def _has_word(line: Column) -> Column:
@@ -39,21 +40,21 @@ def base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     within the row, and only windows that meet an equal neighbour are looked at further.
     """
     docs = without(docs, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
-    h, s = named(docs, "h_words", "h_sorted")
+    h, s, w = named(docs, "h_words", "h_sorted", "h_text")
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(_lines(t), _has_word)
-    out = docs.withColumn(h, F.transform(words_of(t), lambda w: F.xxhash64(w)))
+    out = docs.withColumn(w, words_of(t))
+    out = out.withColumn(h, F.transform(F.col(w), lambda x: F.xxhash64(x))).withColumn("n_words", F.size(w).cast("long")).withColumn("word_chars", F.length(F.array_join(w, "")).cast("long")).drop(w)
     n = F.size(h)
     tri = F.zip_with(F.zip_with(F.slice(F.col(h), 1, n - 2), F.slice(F.col(h), 2, n - 2), lambda a, b: F.xxhash64(a, b)), F.slice(F.col(h), 3, n - 2), lambda a, b: F.xxhash64(a, b))
-    out = out.withColumn(s, F.when(n >= 3, tri).otherwise(F.array().cast("array<bigint>"))).drop(h).withColumn("n_words", n_words(t))
+    out = out.withColumn(s, F.when(n >= 3, tri).otherwise(F.array().cast("array<bigint>"))).drop(h)
     at = F.sort_array(F.transform(F.col(s), lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
     out = out.withColumn(s, F.when(F.size(F.array_distinct(s)) < F.size(s), at))
     m = F.size(s)
     pairs = F.filter(F.zip_with(F.slice(F.col(s), 1, m - 1), F.slice(F.col(s), 2, m - 1), lambda a, b: F.when(a.h == b.h, F.array(a.p, b.p))), lambda x: x.isNotNull())
     touched = F.array_distinct(F.flatten(F.transform(F.flatten(pairs), lambda p: F.array(p, p + 1, p + 2))))
     out = out.withColumns({
-        "word_chars": F.length(F.translate(t, WHITE, "")).cast("long"),
-        "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
+        "n_symbols": F.regexp_count(t, F.lit(SYMBOLS)).cast("long"),
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
         "n_repeat_words": F.when(F.col(s).isNull(), F.lit(0)).otherwise(F.size(touched)).cast("long"),
     }).drop(s)
@@ -66,8 +67,10 @@ def common_lines(docs: DataFrame, text: str = "text", host: str = "source", max_
     Distinct documents are counted by text, so exact copies count once. Pairs are made distinct before they are
     counted, and counts are summed per task before the shuffle, so neither a hot host nor a hot line meets in one task.
     """
-    lines = F.array_distinct(F.transform(F.filter(_lines(F.col(text)), _has_word), lambda x: F.xxhash64(normal_line(x))))
-    each = docs.filter(F.col(text).isNotNull()).select(F.col(host).alias("host"), F.xxhash64(text).alias("t"), F.length(F.bin(n_words(F.col(text)))).cast("int").alias("c"), F.explode(lines).alias("line"))
+    lines = F.array_distinct(F.transform(F.filter(normal_lines(F.col(text)), lambda x: x != ""), lambda x: F.xxhash64(x)))
+    # What is known of a document is computed before its lines are spread, else it would be computed for each of them.
+    each = docs.filter(F.col(text).isNotNull()).select(F.col(host).alias("host"), F.xxhash64(text).alias("t"), F.length(F.bin(n_words(F.col(text)))).cast("int").alias("c"), lines.alias("lines"))
+    each = each.select("host", "t", "c", F.explode("lines").alias("line"))
     once = each.groupBy("host", "line", "t").agg(F.max("c").alias("c"))
     counts = once.groupBy("host", "line").agg(F.count("*").alias("n"), F.bit_count(F.bit_or(F.expr("shiftleft(1L, c)"))).alias("lengths"))
     return counts.filter((F.col("n") > max_texts) & (F.col("lengths") >= min_lengths)).select("host", "line")
@@ -82,23 +85,26 @@ def quality(docs: DataFrame, text: str = "text", host: str = "source", max_texts
     """
     docs = without(base_rules(docs, text), "removed_words", "clean_text", "kept")
     found = cut(common_lines(docs.select(text, host), text, host, max_texts, min_lengths))
-    g, gh = named(docs, "gone_lines", "gone_host")
-    lines = _lines(F.col(text))
+    g, gh, keep = named(docs, "gone_lines", "gone_host", "line_kept")
+    keys = F.transform(normal_lines(F.col(text)), lambda x: F.xxhash64(x))
     if found.count() <= broadcast_lines:
-        slot = lambda x: F.pmod(x, F.lit(_SLOTS)) + 1
+        slot = lambda x: (F.pmod(x, F.lit(_SLOTS)) + 1).cast("int")
         per = found.groupBy("host").agg(F.collect_list("line").alias(g))
         per = per.select(F.col("host").alias(gh), F.transform(F.sequence(F.lit(1), F.lit(_SLOTS)), lambda k: F.filter(F.col(g), lambda x: slot(x) == k)).alias(g))
         out = docs.join(F.broadcast(per), F.col(host).eqNullSafe(F.col(gh)), "left").drop(gh)
-        is_gone = lambda x: F.coalesce(F.array_contains(F.element_at(F.col(g), slot(F.xxhash64(normal_line(x))).cast("int")), F.xxhash64(normal_line(x))), F.lit(False))
+        flags = F.transform(keys, lambda x: ~F.array_contains(F.element_at(F.col(g), slot(x)), x))
     else:
         # A document's removed lines are joined back by its text's hash, so that no row needs an id of its own.
         k, kh = named(docs, "gone_text", "gone_key")
-        each = docs.filter(F.col(text).isNotNull()).select(F.col(host).alias(kh), F.xxhash64(text).alias(k), F.explode(F.array_distinct(F.transform(lines, lambda x: F.xxhash64(normal_line(x))))).alias("line")).distinct()
+        each = docs.filter(F.col(text).isNotNull()).select(F.col(host).alias(kh), F.xxhash64(text).alias(k), F.array_distinct(keys).alias("lines")).select(kh, k, F.explode("lines").alias("line")).distinct()
         hit = each.join(found, each[kh].eqNullSafe(found["host"]) & (each["line"] == found["line"])).groupBy(kh, k).agg(F.collect_list(found["line"]).alias(g))
         out = docs.join(hit, F.col(host).eqNullSafe(F.col(kh)) & (F.xxhash64(text) == F.col(k)), "left").drop(k, kh)
-        is_gone = lambda x: F.coalesce(F.array_contains(F.col(g), F.xxhash64(normal_line(x))), F.lit(False))
-    clean = F.when(F.col(g).isNull() | F.col(text).isNull(), F.col(text)).otherwise(F.array_join(F.filter(lines, lambda x: ~is_gone(x)), "\n"))
-    out = out.withColumn("clean_text", clean).drop(g)
-    out = out.withColumn("removed_words", F.col("n_words") - n_words(F.col("clean_text")))
+        flags = F.transform(keys, lambda x: ~F.array_contains(F.col(g), x))
+    out = out.withColumn(keep, F.when(F.col(g).isNotNull() & F.col(text).isNotNull(), flags)).drop(g)
+    some = F.exists(keep, lambda x: ~x)
+    lines = _lines(F.col(text))
+    clean = F.array_join(F.filter(lines, lambda x, i: F.element_at(F.col(keep), i + 1)), "\n")
+    gone = F.aggregate(F.filter(lines, lambda x, i: ~F.element_at(F.col(keep), i + 1)), F.lit(0).cast("long"), lambda a, x: a + n_words(x))
+    out = out.withColumns({"clean_text": F.when(some, clean).otherwise(F.col(text)), "removed_words": F.when(some, gone).otherwise(F.lit(0).cast("long"))}).drop(keep)
     left = F.col("n_words") - F.col("removed_words") >= F.lit(min_left) * F.col("n_words")
     return out.withColumn("kept", ~F.col("base_failed") & left)
