@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text
+from .common import as_text, named
 
 #: Bytes of a window; a text is cut into windows of which every byte gets a label.
 WINDOW = 64
@@ -17,7 +17,8 @@ HIDDEN = 8
 #: Bound of the training sample: documents per language (drawn by hash), windows in all.
 SAMPLE_DOCS = 400
 SAMPLE_WINDOWS = 12_000
-EPOCHS = 4
+#: Training steps, of 256 windows each, however small the sample.
+STEPS = 200
 #: At most so many languages are learned: those of most documents.
 MAX_LANGS = 64
 UNKNOWN = "und"
@@ -133,11 +134,10 @@ class Network:
             np.add.at(g["table"][k], both[k].reshape(-1), dx_all[k].reshape(-1, 3 * hid))
         return loss, g
 
-    def fit(self, x: np.ndarray, label: np.ndarray, epochs: int = EPOCHS, batch: int = 256, rate: float = 0.01, seed: int = 0) -> None:
+    def fit(self, x: np.ndarray, label: np.ndarray, steps: int = STEPS, batch: int = 256, rate: float = 0.01, seed: int = 0) -> None:
         """Adam over shuffled batches."""
         rng, m, v, step = np.random.default_rng(seed), {}, {}, 0
-        total = epochs * -(-len(x) // batch)
-        for _ in range(epochs):
+        while step < steps:
             order = rng.permutation(len(x))
             for i in range(0, len(x), batch):
                 step += 1
@@ -147,7 +147,7 @@ class Network:
                     a = a * min(1.0, 1.0 / (size + 1e-9))
                     m[k] = 0.9 * m.get(k, 0) + 0.1 * a
                     v[k] = 0.999 * v.get(k, 0) + 0.001 * a * a
-                    at = rate * min(1.0, 1.2 - step / total)
+                    at = rate * max(0.1, min(1.0, 1.2 - step / steps))
                     self.w[k] -= (at * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
 
 
@@ -166,7 +166,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     share = F.create_map(*[F.lit(y) for x in langs for y in (x, SAMPLE_DOCS / counts[x])])
     draw = F.pmod(F.xxhash64(as_text(F.col(key)), F.lit(11)), F.lit(1 << 40)) / float(1 << 40)
     # Windows are cut and thinned where the documents are, so the driver gets at most about SAMPLE_WINDOWS of them.
-    per_doc = max(1, SAMPLE_WINDOWS // (SAMPLE_DOCS * len(langs)))
+    per_doc = max(1, SAMPLE_WINDOWS // sum(min(SAMPLE_DOCS, n) for n in counts.values()))
     ids = {x: i for i, x in enumerate(langs)}
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +216,7 @@ def predict(docs: DataFrame, net: Network | None, langs: list[str], text: str =
             yield pa.RecordBatch.from_arrays([*b.columns[: len(cols)], pa.array(best), pa.array(np.clip(score, 0, 1))], names=[*cols, "lang_pred", "score"])
 
     schema = slim.drop(text).schema.add("lang_pred", "string").add("score", "double")
-    return slim.withColumn("__letter", letter).mapInArrow(run, schema)
+    return slim.withColumn(named(slim, "letter")[0], letter).mapInArrow(run, schema)
 
 
 def blocks(texts: list[str | None], ok: list[bool], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -255,8 +255,8 @@ def near_dedup(docs: DataFrame, similarity: float = 0.8, words: int = 5, bits: i
 
     Two texts are near if their wide fingerprints differ in at most as many bits as texts of that similarity do on
     average. Pairs come from sampled keys, which miss a pair of similarity 0.9 in under one of 2,000 cases and one of
-    0.8 in one of 11, unless another copy links them. Texts without a word of at least the shingle's length in words
-    are compared as whole sequences; those without any word are one group per distinct text. Rows of null key stay.
+    0.8 in one of 11, unless another copy links them. Texts of fewer words than a shingle are compared as whole
+    sequences; those without any word, null texts too, are one group. Rows of null key stay.
     """
     (c,) = named(docs, "nd_root")
     fps = near_components(docs.filter(F.col(key).isNotNull()), words, bits, radius_for(similarity, bits), tables=tables, width=width, text=text, key=key)

@@ -7,7 +7,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 ODD = [
     (1, None, "en", "a"), (2, "", None, None), (3, "   \n\t ", "en", "a"), (4, "one two three", "de", "b"), (4, "one two three", "de", "b"),
     (None, "no id here", "en", "a"), (6, "x", "fr", None), (7, "same line\nsame line\nother\n", "en", "c"), (8, "Wörter ßind hier, señor 'quoted' it's don't", "de", "b"),
-    (9, "word " * 30000, "en", "a"), (10, "a@b.co, +1 (234) 555-1234 4111 1111 1111 1111 1.2.3.4", "en", "a"), (11, "0123456789" * 3000, None, "z"),
+    (9, "word " * 30000, "en", "a"), (10, "a@b.co, +1 (234) 555-1234; 4111 1111 1111 1111, 1.2.3.4", "en", "a"), (11, "0123456789" * 3000, None, "z"),
     (12, "tab\there  two  spaces\r\nand\x0bmore\x1cfs nbsp　wide <|endoftext|>", "en", "é"),
 ]
 
