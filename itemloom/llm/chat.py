@@ -50,8 +50,10 @@ def choose_paths(messages: DataFrame, tree: str = "tree_id", node: str = "node",
     on = cut(ranked.select("t", "path", F.col("leaf").alias("n"), (F.col("d") - 1).alias("step")))
     for k in reversed(range(len(rounds) - 1)):
         up = rounds[k].filter("up is not null").select(F.col("t").alias("jt"), F.col("n").alias("jn"), F.col("up").alias("ju"))
-        more = on.join(up, F.col("t").eqNullSafe(F.col("jt")) & (F.col("n") == F.col("jn"))).select("t", "path", F.col("ju").alias("n"), (F.col("step") - 2**k).alias("step"))
-        on = on.unionByName(more)
+        both = on.join(up, F.col("t").eqNullSafe(F.col("jt")) & (F.col("n") == F.col("jn")), "left")
+        # Each node stays and brings its ancestor; one join, not a union of on with itself, whose plan would double.
+        pair = F.array(F.struct(F.col("n"), F.col("step")), F.struct(F.col("ju").alias("n"), (F.col("step") - 2**k).alias("step")))
+        on = both.select("t", "path", F.explode(pair).alias("x")).filter("x.n is not null").select("t", "path", "x.n", "x.step")
     return on.select(F.col("t").alias(tree), "path", "step", F.col("n").alias(node))
 
 
