@@ -33,23 +33,24 @@ def choose_paths(messages: DataFrame, tree: str = "tree_id", node: str = "node",
     """
     known = messages.select(F.col(tree).alias("t"), F.col(node).alias("n"), F.col(parent).alias("up"), F.coalesce(F.col(score), F.lit(0.0)).cast("double").alias("s"))
     ids = known.select(F.col("t").alias("it"), F.col("n").alias("in_"))
-    jump = cut(known.join(ids, F.col("t").eqNullSafe(F.col("it")) & (F.col("up") == F.col("in_")), "left").select("t", "n", F.col("in_").alias("up"), "s", F.lit(1).cast("long").alias("d")))
-    parents = jump.filter("up is not null").select("t", F.col("up").alias("n")).distinct()
-    leaves = jump.select("t", "n").join(parents.withColumnsRenamed({"t": "pt", "n": "pn"}), F.col("t").eqNullSafe(F.col("pt")) & (F.col("n") == F.col("pn")), "left_anti")
-    rounds = [jump]
-    nodes, far = jump.count(), 1
-    while far <= nodes and not jump.filter("up is not null").isEmpty():
-        top = jump.select(F.col("t").alias("tt"), F.col("n").alias("tn"), F.col("up").alias("tu"), F.col("s").alias("ts"), F.col("d").alias("td"))
-        both = jump.join(top, F.col("t").eqNullSafe(F.col("tt")) & (F.col("up") == F.col("tn")), "left")
-        jump = cut(both.select("t", "n", F.col("tu").alias("up"), (F.col("s") + F.coalesce("ts", F.lit(0.0))).alias("s"), (F.col("d") + F.coalesce("td", F.lit(0))).alias("d")))
-        rounds.append(jump)
-        far *= 2
-    # Here jump has for each node the score and the number of nodes from itself to its root.
-    whole = leaves.join(jump.filter("up is null").withColumnsRenamed({"t": "jt", "n": "jn"}), F.col("t").eqNullSafe(F.col("jt")) & (F.col("n") == F.col("jn")))
+    first = cut(known.join(ids, F.col("t").eqNullSafe(F.col("it")) & (F.col("up") == F.col("in_")), "left").select("t", "n", F.col("in_").alias("up"), "s", F.lit(1).cast("long").alias("d")))
+    open_, done = first.filter("up is not null"), first.filter("up is null")
+    parents = open_.select("t", F.col("up").alias("n")).distinct()
+    leaves = first.select("t", "n").join(parents.withColumnsRenamed({"t": "pt", "n": "pn"}), F.col("t").eqNullSafe(F.col("pt")) & (F.col("n") == F.col("pn")), "left_anti")
+    rounds, nodes = [open_], first.count()
+    # A node that knows its root is done; only the others take part in the next round.
+    while 2 ** (len(rounds) - 1) <= nodes and not open_.isEmpty():
+        top = open_.unionByName(done).select(F.col("t").alias("tt"), F.col("n").alias("tn"), F.col("up").alias("tu"), F.col("s").alias("ts"), F.col("d").alias("td"))
+        both = open_.join(top, F.col("t").eqNullSafe(F.col("tt")) & (F.col("up") == F.col("tn")))
+        new = cut(both.select("t", "n", F.col("tu").alias("up"), (F.col("s") + F.col("ts")).alias("s"), (F.col("d") + F.col("td")).alias("d")))
+        open_, done = new.filter("up is not null"), done.unionByName(new.filter("up is null"))
+        rounds.append(open_)
+    # done has for each node the score and the number of nodes from itself to its root.
+    whole = leaves.join(done.drop("up").withColumnsRenamed({"t": "jt", "n": "jn"}), F.col("t").eqNullSafe(F.col("jt")) & (F.col("n") == F.col("jn")))
     ranked = whole.select("t", F.col("n").alias("leaf"), F.row_number().over(Window.partitionBy("t").orderBy(F.desc("s"), "n")).alias("path"), "d").filter(F.col("path") <= best)
     on = cut(ranked.select("t", "path", F.col("leaf").alias("n"), (F.col("d") - 1).alias("step")))
     for k in reversed(range(len(rounds) - 1)):
-        up = rounds[k].filter("up is not null").select(F.col("t").alias("jt"), F.col("n").alias("jn"), F.col("up").alias("ju"))
+        up = rounds[k].select(F.col("t").alias("jt"), F.col("n").alias("jn"), F.col("up").alias("ju"))
         both = on.join(up, F.col("t").eqNullSafe(F.col("jt")) & (F.col("n") == F.col("jn")), "left")
         # Each node stays and brings its ancestor; one join, not a union of on with itself, whose plan would double.
         pair = F.array(F.struct(F.col("n"), F.col("step")), F.struct(F.col("ju").alias("n"), (F.col("step") - 2**k).alias("step")))
