@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import mentions, nearly_equal, plain_unit, shows_unit, symbolic, with_values
 from ..functions.similarity import choice_runs, cosine, shared_run_length
 from ..functions.text import collapse, excerpt, found_in, peel_quotes, quote_floor, source_role, squeeze, trimmed
+from ..tables import cut
 
 # Words that make a stem a question.
 QUESTION_WORDS = (
@@ -178,18 +179,13 @@ def conflicts(drafts: DataFrame, group: list[str], order: str = "draft_ord") ->
     return out.distinct()
 
 
-def accept_first(rows: DataFrame, pairs: DataFrame, group: list[str], order: str = "draft_ord", checkpoint=None) -> DataFrame:
+def accept_first(rows: DataFrame, pairs: DataFrame, group: list[str], order: str = "draft_ord") -> DataFrame:
     """rows with accepted: a row is kept unless an earlier kept row of its group conflicts with it.
 
     That is the lexicographically first maximal independent set, found in rounds (Blelloch, Fineman, Shun, SPAA 2012): of the
     undecided, those without an undecided earlier neighbour are kept, and their later neighbours go. Rounds end when none
     is undecided; each is cut by a checkpoint.
     """
-    cut = checkpoint or (lambda df: df.checkpoint())
-    if checkpoint is None and rows.sparkSession.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        rows.sparkSession.sparkContext.setCheckpointDir(rows.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
     state = cut(rows.select(*group, F.col(order).alias("o")).withColumn("st", F.lit(0)))
     edges = cut(pairs.select(*group, "a", "b"))
     while not edges.isEmpty():
@@ -215,7 +211,8 @@ def full_report(drafts: DataFrame, chunks: DataFrame, group: list[str], slots: D
         one = F.struct(F.lit("coverage_contract").alias("gate"), F.col("off_contract").isNull().alias("pass"), F.coalesce("off_contract", F.lit("")).alias("reason"))
         rows = rows.withColumn("gates", F.concat("gates", F.array(one))).drop("off_contract")
     good = F.forall("gates", lambda g: g["pass"])
-    rows = rows.withColumn("good", good)
+    # The rows are used three times from here; without the cut their functions would run as often.
+    rows = cut(rows.withColumn("good", good))
     alive = rows.filter("good")
     verdict = accept_first(alive.select(*group, "draft_ord"), conflicts(alive, group), group)
     rows = rows.join(verdict, [*group, "draft_ord"], "left")
