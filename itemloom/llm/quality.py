@@ -107,4 +107,8 @@ def quality(docs: DataFrame, text: str = "text", host: str = "source", max_texts
     gone = F.aggregate(F.filter(lines, lambda x, i: ~F.element_at(F.col(keep), i + 1)), F.lit(0).cast("long"), lambda a, x: a + n_words(x))
     out = out.withColumns({"clean_text": F.when(some, clean).otherwise(F.col(text)), "removed_words": F.when(some, gone).otherwise(F.lit(0).cast("long"))}).drop(keep)
     left = F.col("n_words") - F.col("removed_words") >= F.lit(min_left) * F.col("n_words")
-    return out.withColumn("kept", ~F.col("base_failed") & left)
+    # A filter on kept must not be pushed below the columns it is made of: they would be computed for it once more, with
+    # every use of an inner column apart. An id that is not deterministic holds it back.
+    (row,) = named(out, "row_number_here")
+    out = out.withColumn(row, F.monotonically_increasing_id())
+    return out.withColumn("kept", ~F.col("base_failed") & left & (F.col(row) >= 0)).drop(row)
