@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, langid, mixing, packing, pii, quality, sharding, simhash, token_files, topk
-from .common import scratch, table, written
+from .common import scratch, table
 from .tokens import tokenizer_path
 
 SHARD_BYTES = 1 << 20
@@ -68,7 +68,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
 
 
-_NORMAL = rf"trim(regexp_replace(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'))"
+_NORMAL = rf"trim(regexp_replace(lower(l), '[\x20\x09-\x0D]+', ' ', 'g'))"
 _QUALITY = rf"""
 d AS (SELECT doc_id, source, coalesce(text, '') AS t, text IS NULL AS gone, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
 tri AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS i FROM d)),
@@ -91,7 +91,7 @@ OP5_SQL = f"WITH {_QUALITY} SELECT doc_id, n_words, word_chars, n_symbols, n_dup
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     folder = scratch(spark, "token-files")
-    token_files.write_files(written(token_files.tokenize(docs, tokenizer_path("byte_bpe_50k.json")), "token-ids"), folder)
+    token_files.write_documents(docs, tokenizer_path("byte_bpe_50k.json"), folder)
     read = token_files.read_files(spark, folder)
     return read.select("doc_id", "start", F.expr("CAST(octet_length(ids) div 4 AS BIGINT)").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 

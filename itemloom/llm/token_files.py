@@ -19,9 +19,11 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 LIMIT = 18
 STEP = 64
-BLOCK = 1 << 16
+BLOCK = 1 << 18
 MAGIC = b"ILM1"
 END_ID = 2
 
@@ -173,51 +175,69 @@ def read_file(fs: pyarrow.fs.FileSystem, path: str, table: np.ndarray) -> Iterat
             have, start = have - n, start + n
 
 
-def id_counts(ids: DataFrame, column: str = "ids") -> np.ndarray:
-    """How often each id occurs; only the vocabulary's counts come to the driver."""
+def id_counts(spark: SparkSession, folder: str) -> np.ndarray:
+    """How often each id occurs, from the tasks' counts; only the vocabulary's sums come to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
         for b in batches:
             for x in b.column(0):
-                c = np.bincount(np.frombuffer(x.as_buffer(), "<u4")) if x.is_valid else total[:0]
-                if len(c) > len(total):
-                    c, total = total, c
-                total[: len(c)] += c
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "n"])
-
-    rows = ids.select(column).mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+                n = np.frombuffer(x.as_buffer(), "<i8")
+                used = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(n[used], pa.int64())], ["id", "n"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("content")
+    rows = files.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(max([r.id for r in rows], default=-1) + 1, np.int64)
     for r in rows:
         out[r.id] = r.n
     return out
 
 
-def tokenize(docs: DataFrame, path: str, drops_space: bool = False, end_id: int = END_ID) -> DataFrame:
+def tokenize(docs: DataFrame, path: str, drops_space: bool = False, end_id: int = END_ID, counts: str = "") -> DataFrame:
     """(part, seq, doc_id, ids) of (doc_id, text) in ascending doc_id order, nulls first: part is the range of ids, seq
-    the place in it; ids are little-endian unsigned 32-bit, with end_id at the end. Null text is empty."""
+    the place in it; ids are little-endian unsigned 32-bit, with end_id at the end. Null text is empty. counts is a
+    folder that gets a file per part with how often each id occurs in it; a repeated task writes the same file again."""
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .tokens import encoder
 
-        encode_text, seq = encoder(path, drops_space), 0
+        encode_text, seq, total, part = encoder(path, drops_space), 0, np.zeros(0, np.int64), None
         for b in batches:
             ids = [encode_text(t) + end for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(range(seq, seq + len(ids)), pa.int64()), b.column(1), pa.array(ids, pa.binary())], ["part", "seq", "doc_id", "ids"])
             seq += len(ids)
+            if counts and ids:
+                n, part = np.bincount(np.frombuffer(b"".join(ids), "<u4")), b.column(0)[0].as_py()
+                if len(n) > len(total):
+                    n, total = total, n
+                total[: len(n)] += n
+        if part is not None:
+            fs, root = pyarrow.fs.FileSystem.from_uri(counts)
+            name = f"{root}/writing-{uuid.uuid4().hex}"
+            with fs.open_output_stream(name) as f:
+                f.write(total.astype("<i8").tobytes())
+            fs.move(name, f"{root}/part-{part:06d}")
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
     return dealt.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInArrow(run, "part int, seq long, doc_id long, ids binary")
 
 
-def write_files(tokens: DataFrame, folder: str, limit: int = LIMIT) -> None:
-    """Write tokenize()'s rows (a table, as they are read twice) to files in folder, with codebook and manifest."""
+def write_documents(docs: DataFrame, path: str, folder: str, drops_space: bool = False, end_id: int = END_ID, limit: int = LIMIT) -> None:
+    """Documents' ids as files in folder. The ids are kept as a table in the shared folder between the two passes: the
+    first counts them all, the second codes them. Repeated rows are documents of their own."""
+    fs, root = pyarrow.fs.FileSystem.from_uri(folder)
+    fs.create_dir(f"{root}/counts", recursive=True)
+    tokens = written(tokenize(docs, path, drops_space, end_id, f"{folder}/counts"), "token-ids")
+    write_files(tokens, folder, id_counts(docs.sparkSession, f"{folder}/counts"), limit)
+
+
+def write_files(tokens: DataFrame, folder: str, counts: np.ndarray, limit: int = LIMIT) -> None:
+    """Write tokenize()'s rows to files in folder, with codebook and manifest; counts has every id that occurs."""
     fs, root = pyarrow.fs.FileSystem.from_uri(folder)
     fs.create_dir(f"{root}/files", recursive=True)
-    lengths = code_lengths(id_counts(tokens), limit)
+    lengths = code_lengths(counts, limit)
     with fs.open_output_stream(f"{root}/codebook") as f:
         f.write(lengths.tobytes())
 

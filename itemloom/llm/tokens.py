@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import array
 import os
+from array import array
 from functools import lru_cache
 
 #: Entries of a generation of a worker's memo of pieces. Two are kept, so its memory (some 200 bytes an entry) is bounded.
@@ -30,7 +30,7 @@ class Memo(dict):
     """Ids of pieces, asked of the library when first met."""
 
     def __init__(self, library, lower: bool):
-        self.library, self.model, self.lower, self.old = library, library.model, lower, {}
+        self.library, self.tokens, self.lower, self.old = library, library.model.tokenize, lower, {}
 
     def age(self) -> None:
         """Start a generation; pieces of the last one move over when met again."""
@@ -44,28 +44,32 @@ class Memo(dict):
         # Without a mark of its own, a piece of a tokenizer that keeps white space stands after a space.
         text = piece if self.lower or piece[:1] == "\n" else piece[1:] if piece[:1] == "\0" else " " + piece
         # A last comma or full stop after letters is a token of its own to the pre-tokenizer; so are letters alone.
-        if text[-1] in ",." and text[-2:-1].isalpha() and (ids := self.word(text[:-1])) is not None:
+        mark = text[-1:] in (",", ".") and text[-2:-1].isalpha()
+        ids = (self.get(piece[:-1]) if mark else None) or self.word(text[:-1] if mark else text)
+        if ids is None:
+            ids = array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        elif mark:
             ids += self.mark(text[-1])
-        elif (ids := self.word(text)) is None:
-            ids = array.array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
         self[piece] = ids
         return ids
 
     @lru_cache(maxsize=2)  # noqa: B019
     def mark(self, c: str) -> bytes:
-        return array.array("I", self.library.encode(c, add_special_tokens=False).ids).tobytes()
+        return array("I", self.library.encode(c, add_special_tokens=False).ids).tobytes()
 
     def word(self, text: str) -> bytes | None:
         """Ids of Latin-1 letters, maybe after a space: one token to the pre-tokenizer, unchanged by NFC."""
         space = text[:1] == " "
         stem = text[1:] if space else text
-        if not stem.isalpha() or max(stem) > "\xff":
+        if not stem.isalpha():
             return None
         if self.lower:
             stem = stem.lower()
         if not stem.isascii():
+            if max(stem) > "\xff":
+                return None
             stem = stem.encode().decode("latin-1").translate(BYTE_CHARS)
-        return array.array("I", [x.id for x in self.model.tokenize("\u0120" + stem if space else stem)]).tobytes()
+        return array("I", [x.id for x in self.tokens("\u0120" + stem if space else stem)]).tobytes()
 
     __hash__ = object.__hash__
 
