@@ -7,7 +7,7 @@ from array import array
 from functools import lru_cache
 
 #: Entries of a generation of a worker's memo of pieces. Two are kept, so its memory (some 200 bytes an entry) is bounded.
-MEMO = 400_000
+MEMO = 150_000
 
 
 def tokenizer_path(name: str) -> str:
