@@ -129,22 +129,6 @@ def block_keys(points: DataFrame, bits: int, radius: int, blocks: int) -> DataFr
     return points.select("id", F.explode(F.array(*keys)).alias("key"))
 
 
-def sampled_keys(points: DataFrame, bits: int, tables: int, width: int, seed: int = 7) -> DataFrame:
-    """(id, key) of width bits drawn from the fingerprint, one per table: near fingerprints share one with high probability."""
-    rng = np.random.default_rng(seed)
-    chosen = np.stack([np.sort(rng.choice(bits, width, replace=False)) for _ in range(tables)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = np.int64(1) << np.arange(width, dtype=np.int64)
-        for b in batches:
-            if b.num_rows:
-                on = np.unpackbits(np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, -1), axis=1)
-                keys = np.stack([on[:, c] @ weights + (np.int64(t) << width) for t, c in enumerate(chosen)], axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), tables)), pa.array(keys.reshape(-1))], ["id", "key"])
-
-    return points.select("id", "fp").mapInArrow(run, "id long, key long")
-
-
 def near_edges(points: DataFrame, keys: DataFrame, radius: int, shard: int = SHARD) -> DataFrame:
     """(a, b): links that join all points (id, fp) with a common key (id, key) and at most radius differing bits.
 
@@ -226,41 +210,32 @@ def components(edges: DataFrame) -> DataFrame:
         e = cut(small.filter("a <> b").distinct())
 
 
-def near_components(docs: DataFrame, words: int = 3, bits: int = 64, radius: int = 2, blocks: int = 4, tables: int = 0, width: int = 20, shard: int = SHARD, text: str = "text", key: str = "doc_id") -> DataFrame:
+def near_components(docs: DataFrame, words: int = 3, bits: int = 64, radius: int = 2, blocks: int = 4, shard: int = SHARD, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, fp, component_id): one row per row of docs.
 
-    Rows with one fingerprint are one point, known by its least key. Without tables, points with at most radius differing
-    bits are found exactly (by blocks); with tables, by that many sampled keys of width bits (more where points are many, so that chance keys stay
-    few), for radii too wide for blocks. component_id is the least key that links lead to. Null and empty texts have fingerprint zero and link as any
+    Rows with one fingerprint are one point, known by its least key. Points with at most radius differing bits are found
+    exactly (by blocks). component_id is the least key that links lead to. Null and empty texts have fingerprint zero and link as any
     other; rows of null key take part (their component is null only if it has no key at all). Extra columns are dropped.
     """
     fps = cut(fingerprints(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), words, bits))
     points = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("id")))
     keyed = points.filter("id is not null")
-    width = max(width, keyed.count().bit_length() + 4) if tables else 0
-    keys = sampled_keys(keyed, bits, tables, width) if tables else block_keys(keyed, bits, radius, blocks)
-    roots = components(near_edges(keyed, keys, radius, shard))
+    roots = components(near_edges(keyed, block_keys(keyed, bits, radius, blocks), radius, shard))
     named_ = points.join(roots, F.col("id") == F.col("node"), "left").select(F.col("fp").alias("point"), F.coalesce("root", "id").alias("component_id"))
     return fps.join(named_, F.col("fp") == F.col("point"), "left").select("doc_id", "fp", "component_id")
 
 
-def radius_for(similarity: float, bits: int) -> int:
-    """Bits in which fingerprints of sets of a similarity differ on average: the angle between them, over pi."""
-    cosine = 2 * similarity / (1 + similarity)
-    return int(np.floor(np.arccos(cosine) / np.pi * bits))
-
-
-def near_dedup(docs: DataFrame, similarity: float = 0.8, words: int = 5, bits: int = 512, tables: int = 64, width: int = 16, text: str = "text", key: str = "doc_id") -> DataFrame:
+def near_dedup(docs: DataFrame, similarity: float = 0.8, words: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs without near copies: of each group the row of least key stays (of equal rows with it, one).
 
-    Two texts are near if their wide fingerprints differ in at most as many bits as texts of that similarity do on
-    average. Pairs come from sampled keys, which miss a pair of similarity 0.9 in under one of 300 cases and one of
-    0.8 in one of 6 (at 200,000 texts), unless another copy links them. Texts of fewer words than a shingle are compared as whole
+    Two texts are near if the Jaccard similarity of their sets of shingles is at least that; all such pairs are found
+    and no others (nearsets.py), and links join groups. Texts of fewer words than a shingle are compared as whole
     sequences; those without any word, null texts too, are one group. Rows of null key stay.
     """
+    from .nearsets import near_roots
+
     (c,) = named(docs, "nd_root")
-    fps = near_components(docs.filter(F.col(key).isNotNull()), words, bits, radius_for(similarity, bits), tables=tables, width=width, text=text, key=key)
-    roots = cut(fps.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(c)).distinct())
+    roots = cut(near_roots(docs.filter(F.col(key).isNotNull()), similarity, words, text, key).withColumnRenamed("id", c))
     kept = docs.join(roots, F.col(key).cast("long") == F.col(c), "left_semi")
     one = kept.dropDuplicates([key])
     return one.unionByName(docs.filter(F.col(key).isNull()))
