@@ -119,7 +119,8 @@ def digest(spans: Column, kinds: tuple[str, ...] | None = None) -> Column:
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs (with spans) whose text has [KIND] in place of each span; of overlapping spans the first (then longest) counts.
+    """docs (with spans) whose text has [KIND] in place of each span; overlapping spans are one, named by
+    the first (then longest).
 
     Null text stays null.
     """
@@ -134,6 +135,7 @@ def _redacted(t: Column) -> Column:
     def step(a: Column, x: Column) -> Column:
         put = F.concat(a["out"], t.substr(a["at"] + 1, x["s"] - a["at"]), F.lit("["), F.upper(x["k"]), F.lit("]"))
         new = F.struct(put.alias("out"), (-x["e"]).alias("at"))
-        return F.when(x["s"] < a["at"], a).otherwise(new)
+        longer = F.struct(a["out"].alias("out"), F.greatest(a["at"], -x["e"]).alias("at"))
+        return F.when(x["s"] < a["at"], longer).otherwise(new)
 
     return F.aggregate(order, start, step, lambda a: F.concat(a["out"], t.substr(a["at"] + 1, F.length(t))))
