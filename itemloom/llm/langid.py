@@ -19,8 +19,6 @@ SAMPLE_DOCS = 400
 SAMPLE_WINDOWS = 12_000
 #: Training steps, of 256 windows each, however small the sample.
 STEPS = 200
-#: At most so many languages are learned: those of most documents.
-MAX_LANGS = 64
 UNKNOWN = "und"
 
 
@@ -159,11 +157,12 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     """A network fit on a bounded sample of labelled rows (SAMPLE_DOCS per language, drawn by a hash of the key, and
     SAMPLE_WINDOWS windows anywhere in their texts). Fewer than two languages need no network."""
     known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r[0]: r[1] for r in known.groupBy(lang).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang).limit(MAX_LANGS).collect()}
+    counts = {r[0]: r[1] for r in known.groupBy(lang).agg(F.count("*").alias("n")).collect()}
     langs = sorted(counts)
     if len(langs) < 2:
         return None, langs
-    share = F.create_map(*[F.lit(y) for x in langs for y in (x, SAMPLE_DOCS / counts[x])])
+    (c, share) = named(known, "sample_lang", "sample_share")
+    shares = docs.sparkSession.createDataFrame([(x, SAMPLE_DOCS / counts[x]) for x in langs], f"{c} string, {share} double")
     draw = F.pmod(F.xxhash64(as_text(F.col(key)), F.lit(11)), F.lit(1 << 40)) / float(1 << 40)
     # Windows are cut and thinned where the documents are, so the driver gets at most about SAMPLE_WINDOWS of them.
     per_doc = max(1, SAMPLE_WINDOWS // sum(min(SAMPLE_DOCS, n) for n in counts.values()))
@@ -180,7 +179,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
                     y += [ids[l]] * min(per_doc, len(w))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.int32())], ["w", "y"])
 
-    rows = known.filter(F.col(lang).isin(langs) & (draw < share[F.col(lang)])).select(text, lang).mapInArrow(sample, "w binary, y int")
+    drawn = known.join(F.broadcast(shares), F.col(lang) == F.col(c)).filter(draw < F.col(share))
+    rows = drawn.select(text, lang).mapInArrow(sample, "w binary, y int")
     rows = sorted((bytes(r.w), r.y) for r in rows.collect())
     net = Network(len(langs))
     if rows:
@@ -197,6 +197,8 @@ def predict(docs: DataFrame, net: Network | None, langs: list[str], text: str =
     """
     cols = [c for c in docs.columns if c not in (text, "lang_pred", "score")]
     slim = docs.select(*cols, text)
+    # A window's label probabilities take room for every language.
+    block = max(1, block * 64 // max(64, len(langs)))
     letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
