@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, named, part_of, running, text_blocks
 
 #: The template's marks; OTHERS are foreign control strings that a text must not smuggle in either.
 BOS, EOS, TURN, BODY, END = "<s>", "</s>", "[TURN]", "[TEXT]", "[/TURN]"
@@ -29,9 +29,12 @@ def choose_paths(messages: DataFrame, tree: str = "tree_id", node: str = "node",
     messages has one row per node; parent is null (or not in the tree) at a root. Paths are enumerated by self-joins
     that double the distance each round, so a chain of n turns takes log2(n) rounds; each round is checkpointed, and
     each knows for every node the ancestor 2^k above and the score between. A path's score is the sum of its nodes';
-    ties go to the smaller leaf. Null scores count 0. Nodes on a cycle have no root and are on no path.
+    ties go to the smaller leaf. Null scores count 0. Nodes on a cycle have no root and are on no path; rows of null
+    node neither. Of rows that repeat a node the least (parent, score) counts, so that no path is multiplied; extra
+    columns are ignored, and an empty table gives no path.
     """
     known = messages.select(F.col(tree).alias("t"), F.col(node).alias("n"), F.col(parent).alias("up"), F.coalesce(F.col(score), F.lit(0.0)).cast("double").alias("s"))
+    known = known.filter("n is not null").groupBy("t", "n").agg(F.min(F.struct("up", "s")).alias("x")).select("t", "n", "x.*")
     ids = known.select(F.col("t").alias("it"), F.col("n").alias("in_"))
     first = cut(known.join(ids, F.col("t").eqNullSafe(F.col("it")) & (F.col("up") == F.col("in_")), "left").select("t", "n", F.col("in_").alias("up"), "s", F.lit(1).cast("long").alias("d")))
     open_, done = first.filter("up is not null"), first.filter("up is null")
@@ -69,32 +72,31 @@ def format_paths(messages: DataFrame, paths: DataFrame, tree: str = "tree_id", n
     """One row per chosen path: tree, path, n_turns, formatted, loss: array<struct<start, end>>.
 
     formatted is <s>, then [TURN]role[TEXT]text[/TURN] for each turn, then </s>; control strings in roles and texts are
-    escaped. loss has the code points (end exclusive) of the learned role's texts. Null roles and texts are empty.
+    escaped. loss has the code points (end exclusive) of the learned role's texts. Null roles and texts are empty; of
+    rows that repeat a node the least (role, text) counts. Paths of no known node have no row; an empty table gives none.
     """
+    turn = F.min(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))).alias("turn")
     rows = paths.join(messages.withColumnsRenamed({tree: "mt", node: "mn"}), F.col(tree).eqNullSafe(F.col("mt")) & (F.col(node) == F.col("mn")))
-    role, body = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    head = F.concat(F.lit(TURN), escape(role), F.lit(BODY))
-    part = F.struct("step", head.alias("head"), escape(body).alias("body"), (role == learned).alias("learned"))
+    rows = rows.groupBy(tree, "path", "step").agg(turn)
+    part = F.struct("step", F.concat(F.lit(TURN), escape(F.col("turn.role")), F.lit(BODY)).alias("head"), escape(F.col("turn.text")).alias("body"), (F.col("turn.role") == learned).alias("learned"))
     out = rows.groupBy(tree, "path").agg(F.array_sort(F.collect_list(part)).alias("p"))
-    start = F.struct(F.lit(len(BOS)).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-
-    def step(a: Column, x: Column) -> Column:
-        s = a["at"] + F.length(x["head"])
-        e = s + F.length(x["body"])
-        spans = F.when(x["learned"], F.concat(a["spans"], F.array(F.struct(s.alias("start"), e.alias("end"))))).otherwise(a["spans"])
-        return F.struct((e + len(END)).alias("at"), spans.alias("spans"))
-
+    out = out.withColumn("ends", running(F.transform("p", lambda x: F.length(x["head"]) + F.length(x["body"]) + len(END))))
     text = F.concat(F.lit(BOS), F.array_join(F.transform("p", lambda x: F.concat(x["head"], x["body"], F.lit(END))), ""), F.lit(EOS))
-    return out.select(tree, "path", F.size("p").cast("long").alias("n_turns"), text.alias("formatted"), F.aggregate("p", start, step, lambda a: a["spans"]).alias("loss"))
+    end = lambda e: e + (len(BOS) - len(END))
+    span = lambda x, e: F.when(x["learned"], F.struct((end(e) - F.length(x["body"])).alias("start"), end(e).alias("end")))
+    loss = F.filter(F.zip_with("p", "ends", span), lambda x: x.isNotNull())
+    return out.select(tree, "path", F.size("p").cast("long").alias("n_turns"), text.alias("formatted"), loss.alias("loss"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """formatted with turns: array<struct<role, text>> and learned_text, both read from the string and its loss spans."""
+    """formatted with turns: array<struct<role, text>> and learned_text, both read from the string and its loss spans.
+    Repeated rows are read each; an empty table gives an empty result."""
     inner = F.col("formatted").substr(F.lit(len(BOS) + 1), F.length("formatted") - len(BOS) - len(EOS))
     turns = F.transform(F.filter(F.split(inner, r"\[/TURN\]"), lambda x: x != ""), lambda x: F.split(F.substring(x, F.lit(len(TURN) + 1), F.length(x)), r"\[TEXT\]", 2))
     turns = F.transform(turns, lambda x: F.struct(unescape(F.get(x, F.lit(0))).alias("role"), unescape(F.get(x, F.lit(1))).alias("text")))
-    learned = F.array_join(F.transform("loss", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["end"] - s["start"]))), "")
-    return formatted.withColumn("turns", turns).withColumn("learned_text", learned)
+    (b,) = named(formatted, "rb_blocks")
+    learned = F.array_join(F.transform("loss", lambda s: unescape(part_of(F.col(b), s["start"], s["end"]))), "")
+    return formatted.withColumn("turns", turns).withColumn(b, text_blocks(F.col("formatted"))).withColumn("learned_text", learned).drop(b)
 
 
 def format_conversations(conversations: DataFrame, **names: str) -> DataFrame:

@@ -37,10 +37,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """As cut(), but as a Parquet table: smaller for wide or binary rows."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.parquet(path)
 
 
@@ -57,6 +57,31 @@ def as_text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+def running(x: Column, op=lambda a, b: a + b) -> Column:
+    """Running sums (or another associative op, as F.greatest) of an array: by doubling, so n entries take n log n steps;
+    an array that grows in an aggregate would be copied n times."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(x), F.lit(2)).cast("double"))).cast("int"))
+    back = lambda acc, i, k: F.get(acc, i - F.pow(F.lit(2), k).cast("int"))
+    return F.aggregate(steps, x, lambda acc, k: F.transform(acc, lambda v, i: F.when(back(acc, i, k).isNull(), v).otherwise(op(back(acc, i, k), v))))
+
+
+#: Characters of the blocks that parts of long texts are cut from.
+CUT = 4096
+
+
+def text_blocks(text: Column) -> Column:
+    """A text in blocks of CUT code points, for parts_of()."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0))
+
+
+def part_of(blocks: Column, start: Column, end: Column) -> Column:
+    """Code points start to end (exclusive) of a text, of whose blocks only the ones that hold them are looked at: a
+    substring of the text itself would walk it from its first character."""
+    first = F.floor(start / CUT).cast("int")
+    some = F.slice(blocks, first + 1, F.floor((F.greatest(end, start + 1) - 1) / CUT).cast("int") - first + 1)
+    return F.substring(F.array_join(some, ""), (start - first * CUT + 1).cast("int"), (end - start).cast("int"))
+
+
 def hash_bits(text: Column, bits: int) -> Column:
     """The first bits (a multiple of 4, at most 60) of the MD5 of a string, as a long: the same in any engine."""
     return F.conv(F.substring(F.md5(text), 1, bits // 4), 16, 10).cast("long")

@@ -129,23 +129,24 @@ def cut_documents(docs: DataFrame, path: str, drops_space: bool, capacity: int =
     A document's ids, with end_id at its end, are cut into pieces of capacity; the last may be shorter. Null or empty
     text has the one piece of end_id. ids are little-endian unsigned 32-bit. Extra columns are dropped.
     """
-    end = np.array([end_id], "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .tokens import encoder
 
         encode = encoder(path, drops_space)
         for b in batches:
-            rows = []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = encode(t) + end
-                for i in range(0, len(ids), 4 * capacity):
-                    x = ids[i : i + 4 * capacity]
-                    rows.append((d, i // (4 * capacity), i // 4, len(x) // 4, zlib.crc32(x), x))
-            cols = list(zip(*rows, strict=True)) or [[]] * 6
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            arrays = [pa.array(c, t) for c, t in zip(cols, types, strict=True)][: 6 if keep_ids else 5]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(arrays)])
+            at = 0
+            for ids, ends in encode.documents(b.column(1), end_id):
+                starts = np.append(0, ends[:-1])
+                pieces = -(-(ends - starts) // capacity)
+                doc = np.repeat(np.arange(len(ends)), pieces)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                lo = starts[doc] + piece * capacity
+                hi = np.minimum(lo + capacity, ends[doc])
+                parts = [memoryview(ids[i:j]).cast("B") for i, j in zip(lo.tolist(), hi.tolist(), strict=True)]
+                arrays = [b.column(0).take(pa.array(doc + at)), pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(hi - lo), pa.array([zlib.crc32(x) for x in parts], pa.int64())]
+                arrays += [pa.array(map(bytes, parts), pa.binary())] if keep_ids else []
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(arrays)])
+                at += len(ends)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES + (", ids binary" if keep_ids else ""))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import named, without
+from .common import named, part_of, running, text_blocks, without
 
 #: Kinds in the order of the digest. The first four are kept whenever their check passes; the others need THRESHOLD.
 BASE = ("email", "ip", "card", "phone")
@@ -70,22 +70,17 @@ def _passes(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def _matches(text: Column, kind: str) -> Column:
-    """array<struct<kind, start, end, hit, before>>: all matches; start is the sum of what lies before it, gap by gap."""
+def _found(text: Column, kind: str) -> Column:
+    """array<struct<m, g>>: all matches and the gap before each."""
     found = F.regexp_extract_all(text, F.lit(PATTERN[kind]), F.lit(0))
-    gaps = F.split(text, PATTERN[kind], -1)
-    none = F.array().cast("array<struct<kind:string,start:int,end:int,hit:string,before:string>>")
-    each = F.arrays_zip(found.alias("m"), F.slice(gaps, 1, F.size(found)).alias("g"))
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    return F.arrays_zip(found.alias("m"), F.slice(F.split(text, PATTERN[kind], -1), 1, F.size(found)).alias("g"))
 
-    def step(a: Column, x: Column) -> Column:
-        m, g = x["m"], x["g"]
-        s = a["at"] + F.length(g)
-        e = s + F.length(m)
-        span = F.struct(F.lit(kind).alias("kind"), s.alias("start"), e.alias("end"), m.alias("hit"), F.right(g, F.lit(NEAR)).alias("before"))
-        return F.struct(e.alias("at"), F.concat(a["out"], F.array(span)).alias("out"))
 
-    return F.aggregate(each, start, step, lambda a: a["out"])
+def _placed(found: Column, kind: str) -> Column:
+    """array<struct<kind, start, end, hit, before>>: a match's end is the sum of gaps and matches up to it."""
+    ends = running(F.transform(found, lambda x: F.length(x["g"]) + F.length(x["m"])))
+    span = lambda x, e: F.struct(F.lit(kind).alias("kind"), (e - F.length(x["m"])).alias("start"), e.alias("end"), x["m"].alias("hit"), F.right(x["g"], F.lit(NEAR)).alias("before"))
+    return F.zip_with(found, ends, span)
 
 
 def find_spans(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -99,7 +94,8 @@ def find_spans(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD
     t = F.coalesce(F.col(text), F.lit(""))
     parts = dict(zip(KINDS, named(docs, *[f"pii_{k}" for k in KINDS]), strict=True))
     none = F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
-    out = docs.withColumns({c: F.when(t.rlike(HINT[k]), _matches(t, k)) for k, c in parts.items()})
+    out = docs.withColumns({c: F.when(t.rlike(HINT[k]), _found(t, k)) for k, c in parts.items()})
+    out = out.withColumns({c: F.when(F.size(c) > 0, _placed(F.col(c), k)) for k, c in parts.items()})
 
     def scored(kind: str, c: str) -> Column:
         near = lambda x: F.lower(x["before"]).rlike(rf"(?:^|[^a-z])(?:{CONTEXT[kind]})(?:[^a-z]|$)")
@@ -122,20 +118,14 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs (with spans) whose text has [KIND] in place of each span; overlapping spans are one, named by
     the first (then longest).
 
-    Null text stays null.
+    Null text stays null, a null array of spans counts as none; an empty table gives an empty result.
     """
-    out = docs.withColumn(text, F.when(F.size("spans") == 0, F.col(text)).otherwise(_redacted(F.col(text))))
-    return out
-
-
-def _redacted(t: Column) -> Column:
+    o, e, b = named(docs, "rd_spans", "rd_ends", "rd_blocks")
     order = F.array_sort(F.transform(F.col("spans"), lambda x: F.struct(x["start"].alias("s"), (-x["end"]).alias("e"), x["kind"].alias("k"))))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-
-    def step(a: Column, x: Column) -> Column:
-        put = F.concat(a["out"], t.substr(a["at"] + 1, x["s"] - a["at"]), F.lit("["), F.upper(x["k"]), F.lit("]"))
-        new = F.struct(put.alias("out"), (-x["e"]).alias("at"))
-        longer = F.struct(a["out"].alias("out"), F.greatest(a["at"], -x["e"]).alias("at"))
-        return F.when(x["s"] < a["at"], longer).otherwise(new)
-
-    return F.aggregate(order, start, step, lambda a: F.concat(a["out"], t.substr(a["at"] + 1, F.length(t))))
+    out = docs.withColumn(o, F.when(F.size("spans") > 0, order))
+    # How far the spans up to each reach; a span that begins before that is part of the one before.
+    out = out.withColumn(e, running(F.transform(F.col(o), lambda x: -x["e"]), F.greatest)).withColumn(b, F.when(F.col(o).isNotNull(), text_blocks(F.col(text))))
+    reach = lambda i: F.coalesce(F.get(F.col(e), i - 1), F.lit(0))
+    put = F.transform(F.col(o), lambda x, i: F.when(x["s"] >= reach(i), F.concat(part_of(F.col(b), reach(i), x["s"]), F.lit("["), F.upper(x["k"]), F.lit("]"))).otherwise(F.lit("")))
+    masked = F.concat(F.array_join(put, ""), part_of(F.col(b), F.element_at(e, -1), F.length(text)))
+    return out.withColumn(text, F.when(F.col(o).isNull(), F.col(text)).otherwise(masked)).drop(o, e, b)

@@ -12,6 +12,7 @@ from __future__ import annotations
 import struct
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ STEP = 64
 BLOCK = 1 << 18
 MAGIC = b"ILM1"
 END_ID = 2
+#: Bytes of text of a part, and ids and documents of a file: bounds of a task's work and memory.
+PART_BYTES, FILE_IDS, FILE_DOCS = 128 << 20, 1 << 28, 1 << 22
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -122,12 +125,13 @@ class Writer:
 
     def __init__(self, stream, codes: np.ndarray, lengths: np.ndarray):
         self.stream, self.codes, self.lengths = stream, codes, lengths
-        self.docs, self.nulls, self.sizes, self.blocks, self.held, self.n, self.at = [], [], [], [], [], 0, 0
+        self.docs, self.nulls, self.sizes, self.blocks, self.held, self.n, self.at, self.total = [], [], [], [], [], 0, 0, 0
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.docs.append(doc_id or 0)
         self.nulls.append(doc_id is None)
         self.sizes.append(len(ids))
+        self.total += len(ids)
         while len(ids):
             part, ids = ids[: BLOCK - self.n], ids[BLOCK - self.n :]
             self.held.append(part)
@@ -193,25 +197,31 @@ def id_counts(spark: SparkSession, folder: str) -> np.ndarray:
     return out
 
 
-def tokenize(docs: DataFrame, path: str, drops_space: bool = False, end_id: int = END_ID, counts: str = "") -> DataFrame:
+def tokenize(docs: DataFrame, path: str, drops_space: bool = False, end_id: int = END_ID, counts: str = "", part_bytes: int = PART_BYTES) -> DataFrame:
     """(part, seq, doc_id, ids) of (doc_id, text) in ascending doc_id order, nulls first: part is the range of ids, seq
-    the place in it; ids are little-endian unsigned 32-bit, with end_id at the end. Null text is empty. counts is a
-    folder that gets a file per part with how often each id occurs in it; a repeated task writes the same file again."""
-    end = np.array([end_id], "<u4").tobytes()
+    the place in it; ids are little-endian unsigned 16-bit (32-bit if the vocabulary has more), with end_id at the end.
+    Null text is empty. A part has about part_bytes of text at most, so a task's sort and memory don't grow with the
+    table; rows of one doc_id go by a hash of their text and may lie in several parts. counts is a folder that gets a
+    file per part with how often each id occurs in it; a repeated task writes the same file again."""
+    wide = _wide(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .tokens import encoder
 
-        encode_text, seq, total, part = encoder(path, drops_space), 0, np.zeros(0, np.int64), None
+        encode, seq, total, part = encoder(path, drops_space), 0, np.zeros(0, np.int64), None
         for b in batches:
-            ids = [encode_text(t) + end for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(range(seq, seq + len(ids)), pa.int64()), b.column(1), pa.array(ids, pa.binary())], ["part", "seq", "doc_id", "ids"])
-            seq += len(ids)
-            if counts and ids:
-                n, part = np.bincount(np.frombuffer(b"".join(ids), "<u4")), b.column(0)[0].as_py()
-                if len(n) > len(total):
-                    n, total = total, n
-                total[: len(n)] += n
+            at = 0
+            for ids, ends in encode.documents(b.column(2), end_id):
+                n, size = len(ends), 4 if wide else 2
+                data = pa.py_buffer(ids.astype(f"<u{size}").tobytes())
+                cells = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer((np.append(0, ends) * size).astype(np.int64).tobytes()), data])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, n), pa.array(np.arange(seq, seq + n)), b.column(1).slice(at, n), cells.cast(pa.binary())], ["part", "seq", "doc_id", "ids"])
+                seq, at = seq + n, at + n
+                if counts:
+                    some, part = np.bincount(ids), b.column(0)[0].as_py()
+                    if len(some) > len(total):
+                        some, total = total, some
+                    total[: len(some)] += some
         if part is not None:
             fs, root = pyarrow.fs.FileSystem.from_uri(counts)
             name = f"{root}/writing-{uuid.uuid4().hex}"
@@ -219,22 +229,34 @@ def tokenize(docs: DataFrame, path: str, drops_space: bool = False, end_id: int
                 f.write(total.astype("<i8").tobytes())
             fs.move(name, f"{root}/part-{part:06d}")
 
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // part_bytes + 1)
+    tie = F.xxhash64("text").alias("tie")
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", tie).repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     return dealt.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInArrow(run, "part int, seq long, doc_id long, ids binary")
 
 
+@lru_cache(maxsize=4)
+def _wide(path: str) -> bool:
+    """Whether ids of a tokenizer need more than 16 bits."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path).get_vocab_size() > 1 << 16
+
+
 def write_documents(docs: DataFrame, path: str, folder: str, drops_space: bool = False, end_id: int = END_ID, limit: int = LIMIT) -> None:
     """Documents' ids as files in folder. The ids are kept as a table in the shared folder between the two passes: the
     first counts them all, the second codes them. Repeated rows are documents of their own."""
     fs, root = pyarrow.fs.FileSystem.from_uri(folder)
     fs.create_dir(f"{root}/counts", recursive=True)
-    tokens = written(tokenize(docs, path, drops_space, end_id, f"{folder}/counts"), "token-ids")
-    write_files(tokens, folder, id_counts(docs.sparkSession, f"{folder}/counts"), limit)
+    tokens = written(tokenize(docs, path, drops_space, end_id, f"{folder}/counts"), "token-ids", "zstd")
+    write_files(tokens, folder, id_counts(docs.sparkSession, f"{folder}/counts"), limit, "<u4" if _wide(path) else "<u2")
 
 
-def write_files(tokens: DataFrame, folder: str, counts: np.ndarray, limit: int = LIMIT) -> None:
-    """Write tokenize()'s rows to files in folder, with codebook and manifest; counts has every id that occurs."""
+def write_files(tokens: DataFrame, folder: str, counts: np.ndarray, limit: int = LIMIT, ids: str = "<u4", file_ids: int = FILE_IDS) -> None:
+    """Write tokenize()'s rows to files in folder, with codebook and manifest; counts has every id that occurs. A new file
+    begins after file_ids ids or FILE_DOCS documents, so that a writer's index stays small."""
+    cell = ids
     fs, root = pyarrow.fs.FileSystem.from_uri(folder)
     fs.create_dir(f"{root}/files", recursive=True)
     lengths = code_lengths(counts, limit)
@@ -248,15 +270,15 @@ def write_files(tokens: DataFrame, folder: str, counts: np.ndarray, limit: int =
         def finish() -> None:
             if writer:
                 writer.close()
-                done.append((*known, len(writer.docs), sum(writer.sizes), name))
+                done.append((*known, len(writer.docs), writer.total, name))
 
         for b in batches:
             for part, seq, d, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
-                if known is None or part != known[0] or seq != known[1] + len(writer.docs):
+                if known is None or part != known[0] or seq != known[1] + len(writer.docs) or writer.total >= file_ids or len(writer.docs) >= FILE_DOCS:
                     finish()
                     known, name = (part, seq), f"files/{part:06d}-{seq:012d}-{uuid.uuid4().hex}"
                     writer = Writer(fs.open_output_stream(f"{root}/{name}"), codes, lengths)
-                writer.add(d, np.frombuffer(ids.as_buffer(), "<u4"))
+                writer.add(d, np.frombuffer(ids.as_buffer(), cell))
         finish()
         cols = list(zip(*done, strict=True)) or [[]] * 5
         types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string()]

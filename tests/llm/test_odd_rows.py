@@ -1,8 +1,10 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables, clashing names; and each operator's own cases."""
 
 import random
+import time
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from itemloom.llm import chat, langid, mixing, packing, pii, quality, sharding, simhash, token_files, topk
@@ -60,14 +62,16 @@ def test_quality(spark, odd, none):
     own = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
     rows = [(i, f"{own(i, 60 * (1 + i % 5))}\n{line.upper()}", "h") for i in range(30)]
     rows += [(100, "\n".join([own(100, 3), *[line] * 20]), "h"), (101, f"{line}\n{own(101, 60)}", "other")]
-    rows += [(200 + i, f"{own(200, 80)}\n{own(200 + i, 4)}", "h") for i in range(40)]
+    rows += [(200 + i, f"{own(200, 80)}\n{own(200 + i, 4)}", "h") for i in range(40)] + [(300 + i, f"{own(300, 80)}\nend", "h") for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     for bound in (quality.BROADCAST_LINES, 0):
         got = {r.doc_id: r for r in quality.quality(df, broadcast_lines=bound).collect()}
         assert len(got) == len(rows)
         assert all(got[i].kept and got[i].removed_words == 7 and line.upper() not in got[i].clean_text for i in range(30))
         assert not got[100].kept and got[101].kept and got[101].removed_words == 0
-        assert all(got[200 + i].kept and got[200 + i].removed_words == 0 for i in range(40))
+        # Near copies count each: they lose the line they share, and with it too much.
+        assert all(not got[200 + i].kept and got[200 + i].removed_words == 80 for i in range(40))
+        assert all(got[300 + i].kept and got[300 + i].removed_words == 0 for i in range(40))
 
 
 def test_personal_data(spark, odd, none):
@@ -79,6 +83,14 @@ def test_personal_data(spark, odd, none):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     red = {r.doc_id: r.text for r in pii.redact(pii.find_spans(df)).collect()}
     assert red == {0: "pay to bank account [IBAN] now", 1: texts[1], 2: "my ssn is [SSN].", 3: texts[3], 4: None}
+    # Work follows the number of matches, not its square.
+    took = []
+    for n in (100, 16_000):
+        many = spark.createDataFrame([(1, " ".join(f"user{i}@mail{i}.example.com" for i in range(n)))], "doc_id long, text string")
+        began = time.time()
+        assert pii.redact(pii.find_spans(many)).first().text == " ".join(["[EMAIL]"] * n)
+        took.append(time.time() - began)
+    assert took[1] < took[0] + 3
     both = spark.createDataFrame([(1, "é +49 (30) 4111 1111 x@y.zz 10.0.0.1")], "doc_id long, text string")
     assert pii.redact(pii.find_spans(both)).first().text == "é [PHONE] [EMAIL] [IP]"
 
@@ -91,6 +103,11 @@ def test_chat_trees(spark):
     out = {r.tree_id: r for r in chat.read_back(chat.format_paths(df, chat.choose_paths(df))).collect()}
     assert out["t"].formatted == "<s>[TURN]user[TEXT]q[/TURN][TURN]assistant[TEXT]good[/TURN][TURN]user[TEXT]next[/TURN][TURN]assistant[TEXT]end[/TURN]</s>"
     assert out["t"].learned_text == "goodend" and out["u"].turns == [("", "")]
+    # Repeated nodes don't multiply paths, nor turns; a null node is on none.
+    more = df.unionByName(df).unionByName(spark.createDataFrame([("t", None, 1, 9.0, "user", "z"), ("t", 3, 1, 5.0, "assistant", "worse")], df.schema))
+    assert {(r.tree_id, r.path, r.step): r.node for r in chat.choose_paths(more, best=2).collect()} == paths
+    again = {r.tree_id: r for r in chat.read_back(chat.format_paths(more, chat.choose_paths(more))).collect()}
+    assert again["t"].formatted == out["t"].formatted and again["t"].loss == out["t"].loss
 
 
 def test_chat_escapes(spark):
@@ -108,11 +125,24 @@ def test_encoder(path, drops, texts):
     from tokenizers import Tokenizer
 
     own, library = Encoder(path, drops), Tokenizer.from_file(path)
+
+    def ids(batch):
+        out = []
+        for got, ends in own.texts(pa.array(batch, pa.string())):
+            out += [x.tolist() for x in np.split(got, ends[:-1])]
+        return out
+
     rng = random.Random(1)
     odd = ["a  b", "a   b", "\n", " x", "x ", "it's  \n\n x\ty", "Σας ΣΑΣ", "é é", "a\xa0b c　d", "1,2. 3.", "<|endoftext|>.", " . ,", "a.", "a,.", "x\x1cy", "’s", "İß ſ.", "don't.", "ªº µ²", "漢字 kana かな", "\x00 a", "a\r\nb", "ﬁ ﬂ"]
     odd += ["".join(rng.choice(" \n.,aZé'1Σ\t") for _ in range(rng.randint(1, 12))) for _ in range(3000)]
-    for t in [*odd, *[x[1] for x in texts[:100]]]:
-        assert np.frombuffer(own(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
+    known = [*odd, *[x[1] for x in texts[:100]]]
+    assert ids(known) == [library.encode(t, add_special_tokens=False).ids for t in known] and ids([None, ""]) == [[], []]
+    # The ids of a text don't depend on what was asked before it.
+    assert ids(["İ"]) + ids(["İ,"]) == [library.encode(t, add_special_tokens=False).ids for t in ("İ", "İ,")]
+    parts = [*"abcXYZéüßÑİÎक़́,.;:!?'\"#$%&*()[]<>|-_019\t\x1c\x85字Ωςﬁ", *" \n" * 8, "'s", "'t", "<|endoftext|>", "  ", "\n\n", "ll", "don't"]
+    for _ in range(8):
+        batch = ["".join(rng.choices(parts, k=rng.choice((1, 2, 3, 8, 40)))) for _ in range(3000)]
+        assert ids(batch) == [e.ids for e in library.encode_batch(batch, add_special_tokens=False)]
 
 
 def test_packing(spark, odd, none):
