@@ -5,14 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, n_words, named, without, words_of, written
-from .nearsets import similar_components
+from .common import WORD, cut, n_words, named, without, words_of
 
-#: A line in more distinct texts of one host than this is boilerplate ...
+#: A line in more distinct documents of one host than this is boilerplate.
 MAX_TEXTS = 20
-#: ... if those texts differ in length too (powers of two of their words), or more than MAX_TEXTS groups of near copies
-#: hold it: lines that only copies share are for near-dedup.
-MIN_LENGTHS = 3
 #: A document is depleted if the lines left hold less than this share of its words.
 MIN_LEFT = 0.2
 #: Up to so many (host, line) pairs, 8 bytes each, the removed lines are broadcast; above, they are joined by shuffle.
@@ -63,41 +59,30 @@ def base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
-def common_lines(docs: DataFrame, text: str = "text", host: str = "source", max_texts: int = MAX_TEXTS, min_lengths: int = MIN_LENGTHS) -> DataFrame:
-    """(host, line): hashes of normalised lines above the limits.
+def common_lines(docs: DataFrame, text: str = "text", host: str = "source", max_texts: int = MAX_TEXTS) -> DataFrame:
+    """(host, line): hashes of normalised lines that more than max_texts distinct documents of the host hold.
 
-    Distinct documents are counted by text, so exact copies count once. Pairs are made distinct before they are
-    counted, and counts are summed per task before the shuffle, so neither a hot host nor a hot line meets in one task.
-    Of a line whose texts are of few lengths, near copies (as near_dedup links them) count as one text.
+    Documents with one text are one document, so exact copies count once; near copies count each. Pairs are made
+    distinct before they are counted, and counts are summed per task before the shuffle, so neither a hot host nor a hot
+    line meets in one task. A null host is a host; null texts have no lines; an empty table gives none.
     """
     lines = F.array_distinct(F.transform(F.filter(normal_lines(F.col(text)), lambda x: x != ""), lambda x: F.xxhash64(x)))
     # What is known of a document is computed before its lines are spread, else it would be computed for each of them.
-    each = docs.filter(F.col(text).isNotNull()).select(F.col(host).alias("host"), F.xxhash64(text).alias("t"), F.length(F.bin(n_words(F.col(text)))).cast("int").alias("c"), lines.alias("lines"))
-    each = each.select("host", "t", "c", F.explode("lines").alias("line"))
-    once = written(each.groupBy("host", "line", "t").agg(F.max("c").alias("c")), "host-lines")
-    counts = once.groupBy("host", "line").agg(F.count("*").alias("n"), F.bit_count(F.bit_or(F.expr("shiftleft(1L, c)"))).alias("lengths"))
-    over = cut(counts.filter(F.col("n") > max_texts))
-    sure = over.filter(F.col("lengths") >= min_lengths).select("host", "line")
-    unsure = over.filter(F.col("lengths") < min_lengths).select(F.col("host").alias("h"), F.col("line").alias("l"))
-    if unsure.isEmpty():
-        return sure
-    held = cut(once.join(unsure, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l"))).select("host", "line", "t"))
-    holders = written(held.select(F.col("t").alias("k")).distinct(), "line-holders")
-    texts = docs.filter(F.col(text).isNotNull()).select(F.xxhash64(text).alias("node"), F.col(text).alias("text"))
-    roots = similar_components(texts.join(holders, F.col("node") == F.col("k"), "left_semi"), native=True)
-    groups = held.join(roots, F.col("t") == F.col("node"), "left").select("host", "line", F.coalesce("root", "t").alias("g")).distinct()
-    return sure.unionByName(groups.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > max_texts).select("host", "line"))
-
-
-def quality(docs: DataFrame, text: str = "text", host: str = "source", max_texts: int = MAX_TEXTS, min_lengths: int = MIN_LENGTHS, min_left: float = MIN_LEFT, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
+    each = docs.filter(F.col(text).isNotNull()).select(F.col(host).alias("host"), F.xxhash64(text).alias("t"), lines.alias("lines"))
+    once = each.select("host", "t", F.explode("lines").alias("line")).distinct()
+    return once.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > max_texts).select("host", "line")
+
+
+def quality(docs: DataFrame, text: str = "text", host: str = "source", max_texts: int = MAX_TEXTS, min_left: float = MIN_LEFT, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """docs with the base rules' columns, removed_words, clean_text and kept.
 
     clean_text is the text without the lines above the limits (null stays null). kept is false if the base rules fail
-    or if clean_text holds under min_left of the words. A null host is a host. Repeated rows get the same result and
+    or if clean_text holds under min_left of the words. More than max_texts near copies on a host lose the lines they share,
+    and are rejected if little else is left. A null host is a host. Repeated rows get the same result and
     are all returned; an empty table gives an empty result; input columns with the names of the added ones are replaced.
     """
     docs = without(base_rules(docs, text), "removed_words", "clean_text", "kept")
-    found = cut(common_lines(docs.select(text, host), text, host, max_texts, min_lengths))
+    found = cut(common_lines(docs.select(text, host), text, host, max_texts))
     g, gh, keep = named(docs, "gone_lines", "gone_host", "line_kept")
     keys = F.transform(normal_lines(F.col(text)), lambda x: F.xxhash64(x))
     if found.count() <= broadcast_lines:
