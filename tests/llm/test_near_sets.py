@@ -20,10 +20,9 @@ def kept(spark, rows):
 
 @pytest.mark.parametrize("hot", [256, 8])
 def test_random_sets_against_brute_force(spark, monkeypatch, hot):
-    # Hot shingles, large keys and chains of links: small limits bring every path into play.
+    # Hot shingles, keys of several shards and chains of links: small limits bring every path into play.
     monkeypatch.setattr(nearsets, "HOT", hot)
-    monkeypatch.setattr(nearsets, "ALL_PAIRS", 6)
-    monkeypatch.setattr(nearsets, "HUBS", 3)
+    monkeypatch.setattr(nearsets.links_within, "__defaults__", (16,))
     rng, texts = random.Random(5), []
     for _ in range(6):
         w = chain(rng, 80)
