@@ -56,10 +56,12 @@ l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap
               / sum(w) OVER (ORDER BY cap / w, i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 p AS (SELECT *, max(CASE WHEN cap / w > level THEN level END) OVER () AS shared FROM l),
 t AS (SELECT source, CAST(source_size AS BIGINT) AS source_size, CASE WHEN cap / w <= level THEN cap ELSE least(cap, w * shared) END AS target FROM p),
-r AS (SELECT d.doc_id, d.size, t.source_size, t.target, coalesce(t.target / nullif(t.source_size, 0), 0) AS rate,
-             ('0x' || substr(md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r
+r AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, coalesce(t.target / nullif(t.source_size, 0), 0) AS rate
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+k AS (SELECT *, CAST(size * (floor(rate) + CASE WHEN ('0x' || substr(md5(seed || ':' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+      FROM r, range({mixing.SEEDS}) seeds(seed)),
+b AS (SELECT source, arg_min(seed, (abs(got - target), seed)) AS seed FROM (SELECT source, seed, target, sum(taken) AS got FROM k GROUP BY ALL) GROUP BY source)
+SELECT doc_id, size, source_size, target, taken FROM k JOIN b ON k.source IS NOT DISTINCT FROM b.source AND k.seed = b.seed
 """
 
 

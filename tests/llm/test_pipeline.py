@@ -100,12 +100,13 @@ def test_mixing(outs):
         capped |= over
     rate = {s: x / per[s] for s, x in (capped | share).items()}
     want = Counter()
-    for d in size:
-        u = int(hashlib.md5(f"0:{d}".encode()).hexdigest()[:13], 16) / 2**52
-        r = rate[source[d]]
-        n = int(r) + (u < r - int(r))
-        if n:
-            want[d] = n
+    for s, r in rate.items():
+        mine = [d for d in size if source[d] == s]
+        take = lambda seed: {d: int(r) + (int(hashlib.md5(f"{seed}:{d}".encode()).hexdigest()[:13], 16) / 2**52 < r - int(r)) for d in mine}  # noqa: B023, E731
+        off = lambda seed: abs(sum(size[d] * n for d, n in take(seed).items()) - r * per[s])  # noqa: B023, E731
+        want.update({d: n for d, n in take(min(range(64), key=off)).items() if n})
+        # The words taken come near the target.
+        assert sum(size[d] * want[d] for d in mine) == pytest.approx(r * per[s], rel=0.03)
     assert Counter(r["doc_id"] for r in outs[4]) == want
 
 
