@@ -244,15 +244,17 @@ def test_top_k(spark):
     v = {i: (rng.integers(-40, 40, 8) / 64).tolist() for i in range(300)}
     v |= {300 + i: v[0] for i in range(60)}
     rows = [(i, x) for i, x in v.items()] + [(1000, None), (1001, [1.0, None]), (1002, [float("nan")] * 8), (1003, [float("inf")] * 8), (None, [0.5] * 8), (1004, [0.5]), (1005, [])]
+    rows += [(20, v[20]), (20, v[40]), (21, v[21])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("x"))
-    got = topk.top_k(df, F.col("vec_id") % 20 == 0, shard=64, block=8).collect()
-    ok = {i: np.floor(64 * np.pad(np.array(x, float), (0, 8 - len(x)))).astype(int) for i, x in rows if i is not None and x is not None and all(c is not None and np.isfinite(c) for c in x)}
-    want = set()
-    for q in ok:
+    got = topk.top_k(df, F.col("vec_id") % 20 == 0, shard=64).collect()
+    ok = [(i, np.floor(64 * np.pad(np.array(x, float), (0, 8 - len(x)))).astype(int)) for i, x in rows if i is not None and x is not None and all(c is not None and np.isfinite(c) for c in x)]
+    # A repeated query row has a list of its own, and the other row is a candidate.
+    want = []
+    for at, (q, x) in enumerate(ok):
         if q % 20 == 0:
-            best = sorted((-int(ok[q] @ x), i) for i, x in ok.items() if i != q)[:20]
-            want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(best)}
-    assert {tuple(r) for r in got} == want and len(got) == len(want)
+            best = sorted((-int(x @ y), i) for k, (i, y) in enumerate(ok) if k != at)[:20]
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert sorted(tuple(r) for r in got) == sorted(want)
     assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
