@@ -155,17 +155,20 @@ def held_out(key: Column, folds: int = 4, fold: int = 2) -> Column:
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> tuple[Network | None, list[str]]:
     """A network fit on a bounded sample of labelled rows (SAMPLE_DOCS per language, drawn by a hash of the key, and
-    SAMPLE_WINDOWS windows anywhere in their texts). Fewer than two languages need no network."""
+    about SAMPLE_WINDOWS windows anywhere in their texts, so fewer documents of each where languages are many). Fewer
+    than two languages need no network. Repeated rows are drawn together; of equally probable labels the first in
+    code-point order wins; an empty table learns nothing."""
     known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     counts = {r[0]: r[1] for r in known.groupBy(lang).agg(F.count("*").alias("n")).collect()}
     langs = sorted(counts)
     if len(langs) < 2:
         return None, langs
     (c, share) = named(known, "sample_lang", "sample_share")
-    shares = docs.sparkSession.createDataFrame([(x, SAMPLE_DOCS / counts[x]) for x in langs], f"{c} string, {share} double")
+    most = max(1, min(SAMPLE_DOCS, SAMPLE_WINDOWS // len(langs)))
+    shares = docs.sparkSession.createDataFrame([(x, most / counts[x]) for x in langs], f"{c} string, {share} double")
     draw = F.pmod(F.xxhash64(as_text(F.col(key)), F.lit(11)), F.lit(1 << 40)) / float(1 << 40)
     # Windows are cut and thinned where the documents are, so the driver gets at most about SAMPLE_WINDOWS of them.
-    per_doc = max(1, SAMPLE_WINDOWS // sum(min(SAMPLE_DOCS, n) for n in counts.values()))
+    per_doc = max(1, SAMPLE_WINDOWS // sum(min(most, n) for n in counts.values()))
     ids = {x: i for i, x in enumerate(langs)}
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +243,11 @@ def blocks(texts: list[str | None], ok: list[bool], size: int) -> Iterator[tuple
 
 
 def identify(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
-    """Learn from the rows that are not held out, label all: the other columns but lang, with held_out, lang_pred, score."""
+    """Learn from the rows that are not held out, label all: the other columns but lang, with held_out, lang_pred, score.
+
+    Repeated rows get the same label and are all returned; rows of null key count as the empty string; input columns with
+    the names of the added ones are replaced; an empty table gives an empty result.
+    """
     docs = docs.withColumn("held_out", held_out(F.col(key)))
     net, langs = train(docs.filter(~F.col("held_out")), text, lang, key)
     return predict(docs.drop(lang), net, langs, text)
