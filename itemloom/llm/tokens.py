@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 #: Entries of a generation of a worker's memo of pieces. Two are kept, so its memory (some 200 bytes an entry) is bounded.
 MEMO = 150_000
 #: Characters of a block of texts whose equal pieces are looked up once.
-BLOCK_CHARS = 6_000_000
+BLOCK_CHARS = 10_000_000
 
 
 def tokenizer_path(name: str) -> str:

@@ -138,6 +138,6 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, shard: int = SHARD, key: st
                 cols = [np.repeat(ids, count), np.repeat(row, count), np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]).astype(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["query_id", "row", "vec_id", "score"])
 
-    found = dealt.unionByName(asked).repartition(shards, "s").sortWithinPartitions("s", "asks").mapInArrow(run, "query_id long, row long, vec_id long, score long")
+    found = dealt.unionByName(asked).repartitionByRange(shards, "s").sortWithinPartitions("s", "asks").mapInArrow(run, "query_id long, row long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
