@@ -121,14 +121,19 @@ def plain_markdown(c: Column) -> Column:
     return trimmed(c)
 
 
+# Characters that an exported line may hold besides its words.
+NO_BREAK, INVISIBLE = "\u00a0", "\u200b\u200c\u200d\ufeff"
+BULLETS = "*+•‣●○·-"
+_LEADING = rf"(?U)^(?:[>\s]|[{BULLETS}](?=\s))+"
+
+
 def clean_export_line(c: Column) -> Column:
-    """A line of an exported question list without Markdown marks; words stay as they are."""
-    c = F.regexp_replace(F.regexp_replace(c, " ", " "), "[​‌‍﻿]", "")
-    c = trimmed(c)
-    for _ in range(4):
-        c = F.regexp_replace(F.regexp_replace(c, r"^>+\s*", ""), r"^[-*+•‣●○·]\s+", "")
-    c = collapse(F.regexp_replace(c, r"\*\*|__|`", ""))
-    return F.regexp_replace(c, r"^\*(.+)\*$", "$1")
+    """A line of an exported question list without Markdown marks; words stay as they are (F23): any run of quote and
+    bullet marks before them goes, marks of emphasis and code go, and so does a star at both ends."""
+    words = F.regexp_replace(F.translate(c, NO_BREAK + INVISIBLE, " "), _LEADING, "")
+    words = collapse(F.regexp_replace(words, "`|[*]{2}|_{2}", ""))
+    starred = words.startswith("*") & words.endswith("*") & (F.length(words) > 2)
+    return F.when(starred, F.substring(words, F.lit(2), F.length(words) - 2)).otherwise(words)
 
 
 def strip_fences(c: Column) -> Column:

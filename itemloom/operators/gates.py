@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +47,18 @@ def any_of(text: Column, phrases: tuple[str, ...]) -> Column:
     return F.coalesce(*[F.when(F.contains(text, F.lit(p.lower())), F.lit(p)) for p in phrases])
 
 
+def holds(text: Column, phrases: tuple[str, ...]) -> Column:
+    """Whether one of the phrases stands in a lower-cased text."""
+    return reduce(or_, [F.contains(text, F.lit(p.lower())) for p in phrases])
+
+
+def stem_fault(s: Column, low: Column, words=QUESTION_WORDS, unseen=UNSEEN_PHRASES, teaching=TEACHING_PHRASES) -> Column:
+    """The kind of a stem's problem (as stem_problem), of its trimmed and its lower-cased text. Both should be columns:
+    an expression would be computed for each phrase."""
+    asks = s.rlike("[?？]$") | holds(low, words)
+    return F.when(F.length(s) < MIN_STEM, "short").when(~asks, "asks nothing").when(holds(low, unseen), "unseen").when(holds(low, teaching), "teaching")
+
+
 def stem_problem(stem: Column, words=QUESTION_WORDS, unseen=UNSEEN_PHRASES, teaching=TEACHING_PHRASES) -> Column:
     """Why a stem is no good question (Q1a to Q1c); null if it is. Phrase lists are parameters."""
     s, low = trimmed(stem), F.lower(stem)

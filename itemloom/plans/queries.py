@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers
-from ..functions.text import PLAIN_RULES, clip, normalise_page, plain_markdown, squeeze
+from ..functions.text import PLAIN_RULES, clip, normalise_page, plain_markdown, squeeze, trimmed
 from ..operators import chunking, contract, decode, gates, graph, provenance, rank, report
 from ..sources import catalog
 from ..streaming import calls
@@ -106,9 +107,8 @@ _STEM_SQL = rf"""CASE WHEN length(regexp_replace(text, '^\s+|\s+$', '', 'g')) <
 
 
 def _stems(table) -> DataFrame:
-    why = gates.stem_problem(F.col("text"))
-    kind = F.when(why.startswith("stem is only"), "short").when(why.startswith("stem asks nothing"), "asks nothing").when(why.startswith("stem points"), "unseen").when(why.isNotNull(), "teaching")
-    return table("documents").select("doc_id", "lang", kind.alias("why"))
+    texts = table("documents").select("doc_id", "lang", trimmed(F.col("text")).alias("s"), F.lower("text").alias("low"))
+    return texts.select("doc_id", "lang", gates.stem_fault(F.col("s"), F.col("low")).alias("why"))
 
 
 @query(f"SELECT lang, count(*) AS n, CAST(sum(CASE WHEN w IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_passed, avg(CASE WHEN w IS NULL THEN 1.0 ELSE 0.0 END) AS pass_rate FROM (SELECT lang, {_STEM_SQL} AS w FROM documents) GROUP BY lang")
@@ -387,13 +387,25 @@ def has_taken(table):
     return catalog.with_taken(table("customer").select(F.col("c_custkey").alias("id")), table("orders").select(F.col("o_custkey").alias("exam_id")))
 
 
-@query("SELECT o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment <> 'BUILDING'")
+@query("""WITH u AS (SELECT c_custkey AS id FROM customer WHERE c_mktsegment <> 'BUILDING'), o AS (SELECT o_orderkey AS id FROM orders JOIN u ON o_custkey = u.id),
+l AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_linenumber AS n FROM lineitem JOIN o ON l_orderkey = o.id)
+SELECT 'users' AS name, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM u UNION ALL SELECT 'courses', count(*), CAST(sum(id) AS BIGINT) FROM o UNION ALL SELECT 'exams', count(*), CAST(sum(id) AS BIGINT) FROM l WHERE n = 1
+UNION ALL SELECT t, count(*), CAST(sum(id) AS BIGINT) FROM l, (VALUES ('lessons'), ('questions'), ('choices')) x(t) GROUP BY t""")
 def cascade_survivors(table):
-    """Orders left when the customers of one segment are deleted."""
+    """What is left of each table when the customers of one segment are deleted: orders as courses, their lines as lessons,
+    questions and choices, first lines as exams."""
+    lines = table("lineitem").select(F.col("l_orderkey").alias("course_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("id"), (F.col("l_orderkey") * 10 + 1).cast("long").alias("first"))
+    tables = {
+        "users": table("customer").select(F.col("c_custkey").cast("long").alias("id")),
+        "courses": table("orders").select(F.col("o_orderkey").cast("long").alias("id"), F.col("o_custkey").alias("user_id")),
+        "lessons": lines.select("id", "course_id"),
+        "exams": lines.filter("id = first").select("id", F.col("id").alias("lesson_id")),
+        "questions": lines.select("id", F.col("first").alias("exam_id")),
+        "choices": lines.select("id", F.col("id").alias("question_id")),
+    }
     gone = table("customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("id"))
-    users = table("customer").select(F.col("c_custkey").alias("id"))
-    alive = users.join(gone, "id", "left_anti")
-    return table("orders").join(alive, F.col("o_custkey") == F.col("id"), "left_semi").select("o_orderkey")
+    left = catalog.cascade_delete(tables, gone)
+    return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n"), F.sum("id").alias("ids")).select(F.lit(name).alias("name"), "n", "ids") for name, df in left.items()])
 
 
 @query("SELECT doc_id, source, CASE WHEN source = 'src0' THEN 0 ELSE 1 END AS priority FROM documents WHERE source <> ''")
