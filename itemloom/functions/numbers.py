@@ -136,12 +136,20 @@ def _scientific(v: Column, digits: int) -> Column:
     return F.regexp_replace(F.regexp_replace(s, r"e\+?(-?)0*(\d+)$", "e$1$2"), r"\+", "")
 
 
+def shortest(v: Column) -> Column:
+    """A value by the fewest digits that give it back, without an exponent where 18 places on either side will do."""
+    wide = v.try_cast("decimal(38,18)")
+    plain = F.regexp_replace(F.regexp_replace(wide.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    exact = plain.try_cast("double") == v
+    return F.coalesce(F.when(exact, plain), F.regexp_replace(v.cast("string"), r"\.0(?=E|$)", ""))
+
+
 def mentions(choice: Column, v: Column) -> Column:
-    """Whether a choice shows a value: in one of several roundings, in scientific notation, or as a word for 0 to 20
-    (F11; all as substrings, G10)."""
+    """Whether a choice shows a value: in full, in one of several roundings, in scientific notation, or as a word for 0 to 20
+    (F11; all as substrings, G10). Null without a value."""
     bare = F.regexp_replace(choice, ",", "")
     sci = plain_scientific(choice)
-    forms = [_fixed(v, d) for d in (6, 4, 3, 2, 1, 0)]
+    forms = [shortest(v), *[_fixed(v, d) for d in (6, 4, 3, 2, 1, 0)]]
     powers = [_scientific(v, d) for d in range(5)]
     words = F.array(*[F.lit(w) for w in NUMBER_WORDS])
     whole = v.between(0, 20) & (F.abs(v - F.round(v)) < 1e-9)
@@ -151,7 +159,7 @@ def mentions(choice: Column, v: Column) -> Column:
         out = out | F.contains(bare, f)
     for p in powers:
         out = out | F.contains(bare, p) | F.contains(sci, p)
-    return out
+    return F.when(v.isNotNull(), out)
 
 
 def symbolic(choice: Column) -> Column:

@@ -79,6 +79,11 @@ def lesson_profile(lessons: DataFrame, lesson_chunk: DataFrame, lesson_concept:
     return out.select("doc_id", "lesson_id", "question_budget", "n_chunks", "n_concepts").fillna(0, ["n_chunks", "n_concepts"])
 
 
+def orphans(chunks: DataFrame) -> DataFrame:
+    """Per document: its chunks and those in no lesson (A14); a lesson_id of null or '' is none."""
+    return chunks.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.count_if(F.coalesce("lesson_id", F.lit("")) == "").alias("n_orphans"))
+
+
 def plan_batches(chunks: DataFrame, most_chunks: int = 32, most_chars: int = 36_000, text: str = "text") -> DataFrame:
     """Chunks with batch (from 0) by next-fit in document order: a batch closes when a chunk would make it too many or
     too long; a row costs its text, its id and 32 (W7). A document's sizes are folded in one row, texts don't move."""
@@ -95,6 +100,11 @@ def plan_batches(chunks: DataFrame, most_chunks: int = 32, most_chars: int = 36_
     return chunks.join(put.select("doc_id", "x.c.chunk_ord", F.col("x.batch").alias("batch")), ["doc_id", "chunk_ord"])
 
 
+def batch_counts(batches: DataFrame) -> DataFrame:
+    """Per document: how many batches are planned."""
+    return batches.groupBy("doc_id").agg(F.countDistinct("batch").alias("n_batches"))
+
+
 def split_failed(batches: DataFrame, failed: DataFrame) -> DataFrame:
     """Failed batches of two chunks or more as two halves, by order, for a retry (R10): with half (0, 1)."""
     again = batches.join(failed.select("doc_id", "batch").distinct(), ["doc_id", "batch"], "left_semi")

@@ -114,6 +114,7 @@ CONSTRAINTS = {
     "lesson": {"budget": "question_budget BETWEEN 1 AND 20", "title": "trim(title) <> ''"},
     "draft": {"n_choices": "size(choices) = 4", "difficulty": "difficulty IN ('easy','medium','hard')", "skill": "skill IN ('recall','understanding','application','calculation')"},
     "atom": {"n_forms": "size(question_forms) BETWEEN 1 AND 4", "claim": "trim(claim) <> ''"},
+    "atoms": {"n_atoms": "size(atoms) BETWEEN 1 AND 80"},
     "quality": {"score": "score BETWEEN 0 AND 4"},
 }
 

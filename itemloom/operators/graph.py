@@ -135,6 +135,14 @@ def chunk_lessons(nodes: DataFrame, assigned: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "chunk_id").agg(F.min_by("lesson_id", "concept_ord").alias("lesson_id"))
 
 
+def listed_chunks(lessons: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(doc_id, lesson_id, nth, chunk columns): the chunks that a lesson's chunk_ids list, in the list's order from 1; ids
+    of no chunk are left out, an id listed twice stays twice, a lesson without any has no row (JN2)."""
+    rows = lessons.select("doc_id", "lesson_id", F.posexplode("chunk_ids").alias("pos", "chunk_id")).join(chunks.drop("lesson_id"), ["doc_id", "chunk_id"])
+    nth = F.row_number().over(Window.partitionBy("doc_id", "lesson_id").orderBy("pos"))
+    return rows.withColumn("nth", nth).drop("pos")
+
+
 def outline(lessons: DataFrame, nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(lessons that keep a chunk, concept to lesson, chunk to lesson) (K4)."""
     assigned = recover_orphans(nodes, links, claimed_concepts(lessons, nodes))
@@ -157,3 +165,6 @@ def source_bound_atoms(atoms: DataFrame, chunks: DataFrame, nodes: DataFrame) ->
     return a.withColumn("atom_id", F.format_string("A%03d", F.row_number().over(Window.partitionBy("doc_id").orderBy("atom_ord"))))
 
 
+def without_evidence(chunks: DataFrame, good: DataFrame) -> DataFrame:
+    """Documents none of whose atoms holds: refused, as nothing could be asked about them (K2)."""
+    return chunks.select("doc_id").distinct().join(good.select("doc_id"), "doc_id", "left_anti")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clip, trimmed
@@ -214,3 +214,10 @@ def concept_focus(lesson_concept: DataFrame, nodes: DataFrame) -> DataFrame:
     """(doc_id, lesson_id, chunk_id, concepts): the concepts that a lesson and a chunk share (JN17)."""
     at = nodes.select("doc_id", "concept_id", "title", F.explode("chunk_ids").alias("chunk_id"))
     return lesson_concept.join(at, ["doc_id", "concept_id"]).groupBy("doc_id", "lesson_id", "chunk_id").agg(F.array_sort(F.collect_set("title")).alias("concepts"))
+
+
+def progress(rows: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """(rows, observation): drafts and accepted ones, counted while rows are written anyway. A task that runs again after a
+    lost executor may count twice, so these figures are for watching a run, not for reports."""
+    seen = Observation(name)
+    return rows.observe(seen, F.count(F.lit(1)).alias("drafts"), F.count_if("passed").alias("accepted")), seen

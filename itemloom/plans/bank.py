@@ -59,10 +59,15 @@ def exam_run(drafts: DataFrame, chunks: DataFrame, visits: DataFrame, budgets: D
     }
 
 
-def set_run(candidates: DataFrame, atoms: DataFrame, slots: DataFrame, context: DataFrame, chunks: DataFrame, quality: DataFrame) -> dict[str, DataFrame]:
+def set_run(candidates: DataFrame, atoms: DataFrame, slots: DataFrame, context: DataFrame, chunks: DataFrame, quality: DataFrame, repairs: DataFrame | None = None) -> dict[str, DataFrame]:
     """Candidate sets of a lesson (K10): provenance repaired, gated with the contract, scored; the best set and the slots it
-    leaves open. candidates has run_id (the set's) and candidate."""
+    leaves open. candidates has run_id (the set's) and candidate. repairs are drafts for slots that an earlier run left
+    open; they follow their candidate's own and all are gated together (U4)."""
     group = ["doc_id", "lesson_id", "run_id", "candidate"]
+    if repairs is not None:
+        last = candidates.groupBy(*group).agg(F.max("draft_ord").alias("last"))
+        after = repairs.join(last, group, "left").withColumn("draft_ord", F.coalesce(F.col("last") + 1, F.lit(0)) + F.col("draft_ord")).drop("last")
+        candidates = candidates.unionByName(after, allowMissingColumns=True)
     one = slots.join(candidates.select("doc_id", "lesson_id", "run_id", "candidate").distinct(), ["doc_id", "lesson_id"])
     fixed = provenance.repair_provenance(candidates, atoms, one, chunks, ("doc_id", "run_id", "candidate"))
     gated = cut(gates.full_report(fixed, chunks, group, slots, context))

@@ -32,3 +32,7 @@ def test_bank(spark):
     got = bank.set_run(sets, c["atoms"], c["slots"], c["context"], t["chunks"], quality)
     assert [r.candidate for r in got["best"].collect()] == [1] and got["open_slots"].count() == 0
     assert got["drafts"].filter("candidate = 1").first().coverage_slot_id == "S01"
+    # A repair for the second candidate takes the slot that its own draft left open, and comes after it.
+    repairs = spark.createDataFrame([draft(0, quote="the acceleration is 5 metres per second squared")], DRAFT).withColumn("candidate", F.lit(2))
+    again = bank.set_run(sets, c["atoms"], c["slots"], c["context"], t["chunks"], quality, repairs)
+    assert {(r.candidate, r.draft_ord): r.passed for r in again["drafts"].collect()} == {(1, 0): True, (2, 0): False, (2, 1): True}

@@ -57,3 +57,13 @@ def test_shared_runs(spark):
         assert similarity.shared_run(a, b) == want and len(similarity.shared_text(a, b)) == want
     df = spark.createDataFrame([([1.0, 0.0], [1.0, 0.0], 1.0), ([1.0], [1.0, 0.0], 0.0), ([0.0], [1.0], 0.0)], "a array<float>, b array<float>, w double")
     assert all(r[0] == pytest.approx(r.w) for r in df.select(similarity.cosine(F.col("a"), F.col("b")), "w").collect())
+
+
+def test_shortest_form(spark):
+    from itemloom.functions.numbers import mentions, shortest
+
+    want = {1.99999999: "1.99999999", 10.0: "10", 0.5: "0.5", -2.25: "-2.25", 12345678.0: "12345678", 0.0: "0", 1e30: "1E30", 1e-7: "0.0000001"}
+    df = spark.createDataFrame([(v,) for v in want], "v double")
+    assert {r.v: r.s for r in df.select("v", shortest(F.col("v")).alias("s")).collect()} == want
+    assert spark.createDataFrame([(1.99999999, "it is 1.99999999")], "v double, c string").select(mentions(F.col("c"), F.col("v")).alias("m")).first().m
+    assert spark.createDataFrame([(None, "it is")], "v double, c string").select(mentions(F.col("c"), F.col("v")).alias("m")).first().m is None

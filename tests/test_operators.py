@@ -259,3 +259,14 @@ def test_blind_sheet(spark):
     assert {r.id: r.problem for r in report.sheet_problems(filled, key).collect()} == {"Q01": "unknown label", "Q02": "no label", "Q03": "not on the sheet"}
     side = report.comparison(q, ["ours", "x"]).orderBy("i").collect()
     assert len(side) == 6 and [r.category for r in side] == [0] * 5 + [1]
+
+
+def test_progress_counts_while_rows_pass(spark):
+    rows = spark.createDataFrame([(True,), (False,), (True,)], "passed boolean")
+    out, seen = report.progress(rows, "drafts_of_a_test")
+    assert out.count() == 3 and seen.get == {"drafts": 3, "accepted": 2}
+
+
+def test_evidence_limits(spark):
+    df = spark.createDataFrame([("a", [1]), ("b", [])], "id string, atoms array<int>")
+    assert [r.key for r in decode.violations(df, "atoms", F.col("id")).collect()] == ["b"]
