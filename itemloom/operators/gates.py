@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from math import ceil
 from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
@@ -157,17 +158,33 @@ def coverage_gate(drafts: DataFrame, slots: DataFrame, context: DataFrame, keys:
     return rows.withColumn("off_contract", why).drop("s_atom", "s_chunks", "s_skill", "s_level", "s_quote", "in_context")
 
 
+def _gram_floor(gram: int, share: float) -> int:
+    """The least length from which on a run of share of a stem always covers gram characters in the stem's middle."""
+    short = [n for n in range(1, int(gram / max(2 * share - 1, 0.01)) + 2) if 2 * ceil(share * n) - n < gram]
+    return max(short, default=0) + 1
+
+
 def same_stems(drafts: DataFrame, group: list[str], order: str = "draft_ord", gram: int = 8, share: float = SAME_TEXT) -> DataFrame:
     """(group, a, b): pairs a < b whose stems share a run of share of the shorter one or more (Q7), white space and case
-    ignored. A run of gram characters or more holds a common gram, so pairs meet on grams and are exact for stems of at
-    least gram / share characters; shorter stems meet within their group. Grams that are in no two stems go first."""
+    ignored; empty stems have none. share is above a half.
+
+    Wherever such a run begins, it covers the middle of the shorter stem. So any one gram of that middle stands in the
+    longer stem too, and each stem asks for the rarest it has there: a phrase that many stems begin with brings no
+    pairs. Exact for stems of _gram_floor() characters or more; shorter ones meet within their group.
+    """
     s = drafts.select(*group, F.col(order).alias("o"), squeeze(F.lower("stem")).alias("s")).filter("s <> ''")
-    least = int(gram / share + 1)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("s") - gram + 1, F.lit(1))), lambda i: F.xxhash64(F.substring(F.col("s"), i, F.lit(gram)))))
-    g = s.filter(F.length("s") >= least).select(*group, "o", F.explode(grams).alias("g"))
-    twice = g.groupBy(*group, "g").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    g = g.join(twice, [*group, "g"], "left_semi")
-    pairs = g.withColumnRenamed("o", "a").join(g.withColumnRenamed("o", "b"), [*group, "g"]).filter("a < b").select(*group, "a", "b").distinct()
+    least = _gram_floor(gram, share)
+    long_ = s.filter(F.length("s") >= least).withColumn("len", F.length("s"))
+    at = F.transform(F.sequence(F.lit(1), F.col("len") - gram + 1), lambda i: F.struct(i.alias("pos"), F.xxhash64(F.substring(F.col("s"), i, F.lit(gram))).alias("g")))
+    g = long_.select(*group, "o", "len", F.explode(at).alias("x")).select(*group, "o", "len", "x.pos", "x.g")
+    held = g.select(*group, "g", "o", "len").distinct()
+    common = held.groupBy(*group, "g").agg(F.count("*").alias("n")).filter("n > 1")
+    run = F.ceil(F.lit(share) * F.col("len"))
+    middle = g.filter(F.col("pos").between(F.col("len") - run + 1, run - gram + 1))
+    # A gram that no other stem has settles it: its stem is the shorter one of no pair.
+    asked = middle.join(common, [*group, "g"], "left").groupBy(*group, "o", "len").agg(F.min(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "g")).alias("m"))
+    asked = asked.filter("m.n > 1").select(*group, F.col("o").alias("x"), F.col("len").alias("xlen"), F.col("m.g").alias("g"))
+    pairs = asked.join(held, [*group, "g"]).filter("o <> x AND len >= xlen").select(*group, F.least("o", "x").alias("a"), F.greatest("o", "x").alias("b")).distinct()
     short = s.filter(F.length("s") < least).select(*group, F.col("o").alias("x")).join(s.select(*group, F.col("o").alias("y")), group).filter("x <> y").select(*group, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     left, right = s.withColumnsRenamed({"o": "a", "s": "sa"}), s.withColumnsRenamed({"o": "b", "s": "sb"})
     both = pairs.unionByName(short).distinct().join(left, [*group, "a"]).join(right, [*group, "b"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import acos, ceil, log, pi
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -39,22 +41,32 @@ def near_vectors(rows: DataFrame, group: str, key: str = "vec_id", vector: str =
     return both.filter(F.col("similarity") >= least).select(group, "a", "b", "similarity")
 
 
-def near_vectors_blocked(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", least: float = 0.9, tables: int = 24, bits: int = 8, seed: int = 5, dims: int = 64) -> DataFrame:
+def sign_tables(n: int, least: float, miss: float = 1e-3) -> tuple[int, int]:
+    """(tables, bits) for n vectors: the bits grow with the logarithm of n, so that a key's unrelated vectors stay some
+    sixteen, and the tables with the bits, so that a pair at least is missed with the same probability at every size."""
+    bits = min(30, max(8, n.bit_length() - 4))
+    agree = (1 - acos(least) / pi) ** bits
+    return ceil(log(miss) / log(1 - agree)), bits
+
+
+def near_vectors_blocked(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", least: float = 0.9, seed: int = 5) -> DataFrame:
     """(a, b, similarity) across a corpus: pairs share the signs of some random projections in one of several tables and
-    are then checked exactly, so there are no false pairs; at 0.9 a pair is missed in about one of 1,000 cases."""
-    planes = np.random.default_rng(seed).standard_normal((dims, tables * bits))
+    are then checked exactly, so there are no false pairs; a pair at least is missed in one of 1,000 cases, at any
+    size. All components count; null vectors take no part, null or missing components count as zero in keys only."""
+    unit = rows.filter(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    n, dims = unit.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    tables, bits = sign_tables(n, least)
+    planes = np.random.default_rng(seed).standard_normal((max(dims, 1), tables * bits))
     weights = 1 << np.arange(bits)
 
     @F.pandas_udf("array<int>")
     def keys_of(v: pd.Series) -> pd.Series:
-        rows = np.zeros((len(v), dims))
-        for i, x in enumerate(v):
-            x = np.nan_to_num(np.asarray(x, float))[:dims]
-            rows[i, : len(x)] = x
-        signs = (rows @ planes >= 0).reshape(len(v), tables, bits)
+        x = np.zeros((len(v), max(dims, 1)))
+        for i, row in enumerate(v):
+            x[i, : len(row)] = np.nan_to_num(np.asarray(row, float))
+        signs = (x @ planes >= 0).reshape(len(v), tables, bits)
         return pd.Series(list((signs @ weights).astype("int32")), dtype=object)
 
-    unit = rows.filter(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
     keys = unit.select("id", F.posexplode(keys_of("v")).alias("t", "k"))
     pairs = keys.select("t", "k", F.col("id").alias("a")).join(keys.select("t", "k", F.col("id").alias("b")), ["t", "k"]).filter("a < b").select("a", "b").distinct()
     both = pairs.join(unit.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(unit.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text
-from ..operators import chunking, contract, decode, gates, graph, provenance, report
-from .queries import query
+from ..operators import chunking, contract, decode, gates, graph, provenance, rank, report
+from .queries import query, same_stems_sql
 
 
 def _made(w, arr) -> tuple[str, str, str]:
@@ -329,3 +329,22 @@ def cleaned_lines(table):
     up = F.translate((F.col("p_partkey") % 8).cast("string"), "0123456789", "⁰¹²³⁴⁵⁶⁷⁸⁹")
     line = F.concat(F.lit("> * **Q** `"), "p_name", F.lit("`​ "))
     return table("part").select("p_partkey", text.clean_export_line(line).alias("line"), F.contains("p_name", F.lit("a")).alias("has_a"), numbers.plain_scientific(F.concat(F.col("p_size").cast("string"), F.lit(".5 × 10"), up)).alias("plain"))
+
+
+@query("WITH RECURSIVE " + _DRAFTS.removeprefix("WITH ") + ", o AS (" + same_stems_sql("(SELECT lang AS run, doc_id AS id, stem FROM d)") + ") SELECT run AS lang, a, b FROM o")
+def same_stem_drafts(table):
+    """Drafts of one language that ask the same."""
+    return gates.same_stems(_drafts(table), ["lang"], "doc_id")
+
+
+_TWINS = """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+v AS (SELECT vec_id, v FROM e UNION ALL SELECT vec_id + 100000000, list_transform(v, lambda x: x * 2 + 0.01) FROM e WHERE vec_id % 3 = 0)
+"""
+
+
+@query(_TWINS + """SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.9""")
+def twin_vectors(table):
+    """Pairs of near vectors among the embeddings and altered copies of every third (Q7 across a corpus)."""
+    e = table("embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    twins = e.filter("vec_id % 3 = 0").select((F.col("vec_id") + 100_000_000).alias("vec_id"), F.transform("embedding", lambda x: x * 2 + 0.01).alias("embedding"))
+    return rank.near_vectors_blocked(e.unionByName(twins)).withColumn("similarity", F.round("similarity", 6))

@@ -13,6 +13,7 @@ from ..functions.text import PLAIN_RULES, clip, normalise_page, plain_markdown,
 from ..operators import chunking, contract, decode, gates, graph, provenance, rank, report
 from ..sources import catalog
 from ..streaming import calls
+from ..tables import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -149,7 +150,15 @@ def duplicate_texts(table):
     return docs.join(first, docs["k"].eqNullSafe(first["k"])).select("doc_id", "first_id")
 
 
-@query()
+def same_stems_sql(rows: str) -> str:
+    """Pairs of rows (run, id, stem) by the rule itself, over all pairs of a run."""
+    return rf"""WITH s AS (SELECT run, id, regexp_replace(lower(stem), '\s+', '', 'g') AS s FROM {rows}),
+p AS (SELECT a.run, a.id AS a, b.id AS b, CASE WHEN length(a.s) <= length(b.s) THEN a.s ELSE b.s END AS x, CASE WHEN length(a.s) <= length(b.s) THEN b.s ELSE a.s END AS y FROM s a JOIN s b ON a.run = b.run AND a.id < b.id WHERE a.s <> '' AND b.s <> ''),
+r AS (SELECT *, CAST(ceil(length(x) * 85 / 100.0) AS BIGINT) AS r FROM p)
+SELECT run, a, b FROM r WHERE len(list_filter(range(1, length(x) - r + 2), lambda i: contains(y, substr(x, i, r)))) > 0"""
+
+
+@query("SELECT CAST(run AS INTEGER) AS run_id, a, b FROM (" + same_stems_sql("(SELECT 1 AS run, item_id AS id, text AS stem FROM benchmark)") + ")")
 def near_stems(table):
     return gates.same_stems(table("benchmark").select(F.lit(1).alias("run_id"), F.col("item_id").alias("draft_ord"), F.col("text").alias("stem")), ["run_id"])
 
@@ -318,13 +327,12 @@ def call_stats(table):
 
 def call_stats_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The running statistics of all events as a stream that ends when it has read them."""
-    import tempfile
     import uuid
 
     kind = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     rows = spark.readStream.schema(kind).parquet(f"{sf_dir}/events.parque[t]")  # a pattern: the table may be a file or a folder
     name = f"calls_{uuid.uuid4().hex}"
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    top = scratch(spark)
     q = calls.running_stats(_calls(rows)).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{top}/{name}").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name).select("label", "calls", F.round("total_ms", 3).alias("total_ms"), "eval_tokens")

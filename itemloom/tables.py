@@ -4,13 +4,21 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def scratch(spark: SparkSession) -> str:
+    """The folder for tables between steps: spark.checkpoint.dir, which all machines share. Only a local session, as in
+    tests, may go without and gets a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return shared or tempfile.mkdtemp()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Compute df once and cut its lineage with a reliable checkpoint in spark.checkpoint.dir; a temporary folder only where
-    that is unset (tests)."""
+    """Compute df once and cut its lineage with a reliable checkpoint in scratch()."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        spark.sparkContext.setCheckpointDir(scratch(spark))
     return df.checkpoint()

@@ -270,3 +270,50 @@ def test_progress_counts_while_rows_pass(spark):
 def test_evidence_limits(spark):
     df = spark.createDataFrame([("a", [1]), ("b", [])], "id string, atoms array<int>")
     assert [r.key for r in decode.violations(df, "atoms", F.col("id")).collect()] == ["b"]
+
+
+def test_same_stems_are_those_of_all_pairs(spark):
+    from itemloom.functions.similarity import shared_run
+
+    assert gates._gram_floor(8, 0.85) == 10
+    rng = random.Random(7)
+    stems = ["", "what?", "what?", "whatforce"]
+    while len(stems) < 120:
+        body = "".join(rng.choice("abcdefgh") for _ in range(rng.randint(6, 40)))
+        stems += [body, body[rng.randint(0, 4) :], "What is said of " + body, body[: len(body) // 2] + "Z" + body[len(body) // 2 :], body[:-1] + " Q"]
+    df = spark.createDataFrame([("r", i, s) for i, s in enumerate(stems)], "run_id string, draft_ord int, stem string")
+    got = sorted((r.a, r.b) for r in gates.same_stems(df, ["run_id"]).collect())
+    low = ["".join(s.lower().split()) for s in stems]
+    want = [(a, b) for a in range(len(low)) for b in range(a + 1, len(low)) if low[a] and low[b] and shared_run(low[a], low[b]) >= 0.85 * min(len(low[a]), len(low[b]))]
+    assert got == want and len(want) > 30
+
+
+def test_keys_of_vectors_grow_with_their_tables():
+    sizes = [rank.sign_tables(n, 0.9) for n in (10, 5_000, 10**6, 10**9)]
+    assert sizes[0][1] == sizes[1][1] - 1 == 8
+    for tables, bits in sizes:
+        assert (1 - 0.8563**bits) ** tables < 1.2e-3
+    assert [b for _, b in sizes] == sorted(b for _, b in sizes) and sizes[2][1] == 16
+
+
+def test_vectors_of_any_length(spark):
+    far = [0.0] * 64 + [1.0] * 30
+    rows = [(1, far), (2, [x * 3 for x in far]), (3, None), (4, [1.0] * 64 + [0.0] * 30)]
+    got = rank.near_vectors_blocked(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert [(r.a, r.b) for r in got] == [(1, 2)]
+    assert rank.near_vectors_blocked(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+
+
+def test_scratch_must_be_shared_on_a_cluster():
+    import pytest
+    from itemloom.tables import scratch
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError):
+        scratch(Session())
