@@ -16,10 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; a temporary one only where none is set (tests)."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Only a local session, as in tests, may go
+    without and gets a temporary one."""
     sc = spark.sparkContext
     known = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not known:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         known = tempfile.mkdtemp(prefix="itemloom-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(known)
