@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,3 +107,21 @@ def named(df: DataFrame, *names: str) -> list[str]:
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df without the columns that an operator is about to add: an operator's result wins over an input column of its name."""
     return df.drop(*[c for c in df.columns if c.lower() in {n.lower() for n in names}])
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[list]]]:
+    """(key, the other columns as lists) of each run of rows with equal first columns, across batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in itertools.chain(batches, [None]):
+        rows = list(zip(*(b.column(i).to_pylist() for i in range(keys)), strict=True)) if b is not None else [None]
+        start = 0
+        for i, key in enumerate(rows):
+            if key != last:
+                if i > start:
+                    held.append(b.slice(start, i - start))
+                if held:
+                    yield last, [[x for h in held for x in h.column(c).to_pylist()] for c in range(keys, held[0].num_columns)]
+                held, start, last = [], i, key
+        if b is not None and start < b.num_rows:
+            held.append(b.slice(start))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, mixing, packing, pii, quality, sharding, simhash, token_files, topk
+from . import chat, langid, mixing, negatives, packing, phrases, pii, quality, sharding, simhash, suffixes, token_files, topk
 from .common import scratch, table
 from .tokens import tokenizer_path
 
@@ -146,6 +146,52 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM c GROUP BY conv_id
 """
 
+
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+OP11_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS d, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, k AS size, w[i : i + k - 1] AS g FROM w, (VALUES (1), (2), (3)) ks(k), unnest(generate_series(1, len(w) - k + 1)) u(i) WHERE len(w) >= k),
+f AS (SELECT lang, size, g, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang),
+c AS (SELECT lang, size, g, f AS a FROM f WHERE size > 1 AND f >= 10),
+s AS (SELECT c.*, k, l.f AS l, r.f AS r, CAST((1000000::HUGEINT * a * a) // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+      FROM c, unnest(generate_series(1, size - 1)) u(k)
+      JOIN f l ON l.lang = c.lang AND l.g = c.g[1:k] JOIN f r ON r.lang = c.lang AND r.g = c.g[k + 1:]),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+held AS (SELECT lang, g[1:2] AS g, a FROM c WHERE size = 3 UNION ALL SELECT lang, g[2:3], a FROM c WHERE size = 3),
+most AS (SELECT lang, g, max(a) AS longer FROM held GROUP BY ALL),
+o AS (SELECT b.lang, array_to_string(b.g, ' ') AS phrase, b.a, l, r, n, score FROM b JOIN n ON n.lang = b.lang LEFT JOIN most ON most.lang = b.lang AND most.g = b.g WHERE coalesce(100 * longer < 50 * b.a, true)),
+t AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS INTEGER) AS rank FROM o)
+SELECT lang, rank, phrase, a, l, r, n, score FROM t WHERE rank <= 2000
+"""
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = suffixes.repeated_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return got.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows, F.col("vec_id") % 50 == 0, label)
+
+
+OP13_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, row_number() OVER () AS i, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.i, a.vec_id AS anchor_id, a.label = c.label AS same, c.vec_id, CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score FROM v a, v c WHERE a.vec_id % 50 = 0 AND c.i <> a.i),
+p AS (SELECT i, anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY i ORDER BY score DESC, vec_id) AS k FROM s WHERE same QUALIFY k <= 5),
+r AS (SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.i, k ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+      FROM p JOIN s ON s.i = p.i AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT * FROM r WHERE rank <= 3
+"""
+
 QUERIES = {
     "op1_extendible_shards": op1_extendible_shards,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -157,6 +203,9 @@ QUERIES = {
     "op8_exact_topk": op8_exact_topk,
     "op9_personal_data": op9_personal_data,
     "op10_chat_format": op10_chat_format,
+    "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_suffix_dedup": op12_suffix_dedup,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 SQL = {
     "op1_extendible_shards": OP1_SQL,
@@ -164,4 +213,6 @@ SQL = {
     "op5_quality_rules": OP5_SQL,
     "op8_exact_topk": OP8_SQL,
     "op10_chat_format": OP10_SQL,
+    "op11_phrase_collocations": OP11_SQL,
+    "op13_hard_negatives": OP13_SQL,
 }

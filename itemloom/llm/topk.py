@@ -19,12 +19,12 @@ SHARD = 1 << 16
 PROBE = 512
 
 
-def quantised(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", scale: int = SCALE) -> DataFrame:
-    """(vec_id, v): floor(scale * x) of each component as double. Vectors that are null or hold null or non-finite
-    components are left out."""
+def quantised(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", scale: int = SCALE, more: tuple = ()) -> DataFrame:
+    """(vec_id, v, more columns): floor(scale * x) of each component as double. Vectors that are null or hold null or
+    non-finite components are left out."""
     x = F.transform(F.col(column), lambda c: c.cast("double"))
     finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))))
-    return vectors.filter(F.col(column).isNotNull()).filter(finite).select(F.col(key).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * scale).cast("double")).alias("v"))
+    return vectors.filter(F.col(column).isNotNull()).filter(finite).select(F.col(key).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * scale).cast("double")).alias("v"), *more)
 
 
 class Shard:
