@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from itemloom.llm import negatives, phrases, queries, suffixes
+from pyspark.sql import functions as F
 
 from .conftest import SF
 
@@ -167,9 +168,9 @@ def test_negatives_with_ties_repeats_and_odd_rows(spark, block):
     rows += [(50, 1, [0.5] * 6), (50, 1, [0.5] * 6), (50, 2, [0.25] * 6), *[(300 + i, 1, [0.5] * 6) for i in range(9)], *[(400 + i, 0, [0.375] * 6) for i in range(9)]]
     rows += [(None, 1, [0.5] * 6), (1000, None, [0.5] * 6), (1001, 1, None), (1002, 1, [0.5, None]), (1003, 2, [float("nan")] * 6), (1004, 2, [float("inf")] * 6), (1050, 1, []), (1051, 1, [0.5])]
     df = spark.createDataFrame([(*r, "clash") for r in rows], VECTORS + ", block string").repartition(4)
-    got = negatives.hard_negatives(df, df["vec_id"] % 50 == 0, block=block)
+    got = negatives.hard_negatives(df, F.col("vec_id") % 50 == 0, block=block)
     assert sorted(tuple(r) for r in got.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score").collect()) == brute_negatives(rows)
-    assert negatives.hard_negatives(df.limit(0), df["vec_id"] % 50 == 0).collect() == []
+    assert negatives.hard_negatives(df.limit(0), F.col("vec_id") % 50 == 0).collect() == []
 
 
 def test_hilbert_steps_to_a_neighbour():
