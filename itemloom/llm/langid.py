@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_text, named
@@ -154,21 +154,21 @@ def held_out(key: Column, folds: int = 4, fold: int = 2) -> Column:
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> tuple[Network | None, list[str]]:
-    """A network fit on a bounded sample of labelled rows (SAMPLE_DOCS per language, drawn by a hash of the key, and
-    about SAMPLE_WINDOWS windows anywhere in their texts, so fewer documents of each where languages are many). Fewer
-    than two languages need no network. Repeated rows are drawn together; of equally probable labels the first in
+    """A network fit on a bounded sample of labelled rows: of each language at most SAMPLE_DOCS, and of their texts windows
+    anywhere, at most SAMPLE_WINDOWS in all or one for each language, if that is more. Rows are drawn one by one, whether
+    they repeat or have no key. Fewer than two languages need no network. Of equally probable labels the first in
     code-point order wins; an empty table learns nothing."""
     known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     counts = {r[0]: r[1] for r in known.groupBy(lang).agg(F.count("*").alias("n")).collect()}
     langs = sorted(counts)
     if len(langs) < 2:
         return None, langs
-    (c, share) = named(known, "sample_lang", "sample_share")
+    c, share, d, n = named(known, "sample_lang", "sample_share", "sample_draw", "sample_rank")
     most = max(1, min(SAMPLE_DOCS, SAMPLE_WINDOWS // len(langs)))
     shares = docs.sparkSession.createDataFrame([(x, most / counts[x]) for x in langs], f"{c} string, {share} double")
-    draw = F.pmod(F.xxhash64(as_text(F.col(key)), F.lit(11)), F.lit(1 << 40)) / float(1 << 40)
-    # Windows are cut and thinned where the documents are, so the driver gets at most about SAMPLE_WINDOWS of them.
-    per_doc = max(1, SAMPLE_WINDOWS // sum(min(most, n) for n in counts.values()))
+    draw = F.pmod(F.xxhash64(as_text(F.col(key)), text, F.monotonically_increasing_id()), F.lit(1 << 40)) / float(1 << 40)
+    # Windows are cut where the documents are, so the driver gets no more of them than the bound.
+    per_doc = max(1, SAMPLE_WINDOWS // sum(min(most, n_) for n_ in counts.values()))
     ids = {x: i for i, x in enumerate(langs)}
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +182,9 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
                     y += [ids[l]] * min(per_doc, len(w))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.int32())], ["w", "y"])
 
-    drawn = known.join(F.broadcast(shares), F.col(lang) == F.col(c)).filter(draw < F.col(share))
+    # Three times as many rows as are wanted pass a first draw, then the least draws of each language stay.
+    drawn = known.withColumn(d, draw).join(F.broadcast(shares), F.col(lang) == F.col(c)).filter(F.col(d) < 3 * F.col(share))
+    drawn = drawn.select(text, lang, d).withColumn(n, F.row_number().over(Window.partitionBy(lang).orderBy(d, F.xxhash64(text)))).filter(F.col(n) <= most)
     rows = drawn.select(text, lang).mapInArrow(sample, "w binary, y int")
     rows = sorted((bytes(r.w), r.y) for r in rows.collect())
     net = Network(len(langs))

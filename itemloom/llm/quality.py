@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import WORD, cut, n_words, named, without, words_of
 
 #: A line in more distinct documents of one host than this is boilerplate.
-MAX_TEXTS = 20
+MAX_DOCS = 20
 #: A document is depleted if the lines left hold less than this share of its words.
 MIN_LEFT = 0.2
 #: Up to so many (host, line) pairs, 8 bytes each, the removed lines are broadcast; above, they are joined by shuffle.
@@ -59,30 +59,33 @@ def base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
-def common_lines(docs: DataFrame, text: str = "text", host: str = "source", max_texts: int = MAX_TEXTS) -> DataFrame:
-    """(host, line): hashes of normalised lines that more than max_texts distinct documents of the host hold.
+def common_lines(docs: DataFrame, text: str = "text", host: str = "source", max_docs: int = MAX_DOCS, key: str = "doc_id", document: Column | None = None) -> DataFrame:
+    """(host, line): hashes of normalised lines that more than max_docs distinct documents of the host hold.
 
-    Documents with one text are one document, so exact copies count once; near copies count each. Pairs are made
-    distinct before they are counted, and counts are summed per task before the shuffle, so neither a hot host nor a hot
-    line meets in one task. A null host is a host; null texts have no lines; an empty table gives none.
+    Documents are told apart by their key (rows of null key by their text), or by document where it is given: repeated rows
+    of a key are one document, copies under keys of their own are several. Each document's lines are made distinct before
+    they are counted, and counts are summed per task before the shuffle, so neither a hot host nor a hot line meets in one
+    task. A null host is a host; null texts have no lines; an empty table gives none.
     """
     lines = F.array_distinct(F.transform(F.filter(normal_lines(F.col(text)), lambda x: x != ""), lambda x: F.xxhash64(x)))
+    doc = F.coalesce(F.col(key).cast("long"), F.xxhash64(text)) if document is None else document
     # What is known of a document is computed before its lines are spread, else it would be computed for each of them.
-    each = docs.filter(F.col(text).isNotNull()).select(F.col(host).alias("host"), F.xxhash64(text).alias("t"), lines.alias("lines"))
+    each = docs.filter(F.col(text).isNotNull()).select(F.col(host).alias("host"), doc.alias("t"), lines.alias("lines"))
     once = each.select("host", "t", F.explode("lines").alias("line")).distinct()
-    return once.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > max_texts).select("host", "line")
+    return once.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > max_docs).select("host", "line")
 
 
-def quality(docs: DataFrame, text: str = "text", host: str = "source", max_texts: int = MAX_TEXTS, min_left: float = MIN_LEFT, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
+def quality(docs: DataFrame, text: str = "text", host: str = "source", max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT, broadcast_lines: int = BROADCAST_LINES, key: str = "doc_id", document: Column | None = None) -> DataFrame:
     """docs with the base rules' columns, removed_words, clean_text and kept.
 
     clean_text is the text without the lines above the limits (null stays null). kept is false if the base rules fail
-    or if clean_text holds under min_left of the words. More than max_texts near copies on a host lose the lines they share,
-    and are rejected if little else is left. A null host is a host. Repeated rows get the same result and
+    or if clean_text holds under min_left of the words. Documents are counted by key, or by document where it is given
+    (a hash of the text: copies count once): more than max_docs copies on a host lose the lines they share, and are
+    rejected if little else is left. A null host is a host. Repeated rows get the same result and
     are all returned; an empty table gives an empty result; input columns with the names of the added ones are replaced.
     """
     docs = without(base_rules(docs, text), "removed_words", "clean_text", "kept")
-    found = cut(common_lines(docs.select(text, host), text, host, max_texts))
+    found = cut(common_lines(docs, text, host, max_docs, key, document))
     g, gh, keep = named(docs, "gone_lines", "gone_host", "line_kept")
     keys = F.transform(normal_lines(F.col(text)), lambda x: F.xxhash64(x))
     if found.count() <= broadcast_lines:

@@ -79,7 +79,7 @@ rw AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i +
 ln AS (SELECT doc_id, source, t, unnest(string_split(t, chr(10))) AS l FROM d WHERE NOT gone),
 ow AS (SELECT doc_id, source, t, l, {_NORMAL} AS line FROM ln WHERE regexp_matches(l, '{_WORD}')),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM ow GROUP BY doc_id),
-bad AS (SELECT source, line FROM ow GROUP BY source, line HAVING count(DISTINCT t) > {quality.MAX_TEXTS}),
+bad AS (SELECT source, line FROM ow GROUP BY source, line HAVING count(DISTINCT doc_id) > {quality.MAX_DOCS}),
 cutw AS (SELECT doc_id, sum(len(regexp_extract_all(l, '{_WORD}'))) AS n FROM ow JOIN bad ON ow.source IS NOT DISTINCT FROM bad.source AND ow.line = bad.line GROUP BY doc_id),
 base AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
                 CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,10 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, named
+from .common import cut, named, runs, written
 
-#: Fingerprints of a tree, and of a block of queries that meets it.
-SHARD = 512
+#: Fingerprints of a tree, and bytes of trees that are broadcast at once.
+SHARD, TREE_BYTES = 512, 32 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -84,6 +85,15 @@ class Tree:
         edges = sorted((p, d, c) for p, kids in enumerate(children) for d, c in kids.items())
         self.key = np.array([p * 8192 + d for p, d, _ in edges], np.int64)
         self.child = np.array([c for _, _, c in edges], np.int64)
+        self.visited = 0
+
+    @classmethod
+    def grown(cls, blob: bytes) -> tuple[np.ndarray, Tree]:
+        """(ids, tree) as built elsewhere."""
+        t = cls.__new__(cls)
+        ids, t.points, t.key, t.child = pickle.loads(blob)
+        t.key, t.child, t.visited = t.key.astype(np.int64), t.child.astype(np.int64), 0
+        return ids, t
 
     def within(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         """(query, point) pairs of at most radius differing bits; all queries go down the tree together, a level at a
@@ -91,6 +101,7 @@ class Tree:
         q, at = np.arange(len(queries)), np.zeros(len(queries), np.int64)
         found_q, found_p = [], []
         while len(q):
+            self.visited += len(q)
             d = np.bitwise_count(queries[q] ^ self.points[at]).sum(axis=1, dtype=np.int64)
             hit = d <= radius
             found_q.append(q[hit])
@@ -100,7 +111,7 @@ class Tree:
             n = hi - lo
             q = np.repeat(q, n)
             at = self.child[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(len(q))] if len(q) else at[:0]
-        return np.concatenate(found_q), np.concatenate(found_p)
+        return (np.concatenate(found_q), np.concatenate(found_p)) if found_q else (q, at)
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[int]:
@@ -129,60 +140,94 @@ def block_keys(points: DataFrame, bits: int, radius: int, blocks: int) -> DataFr
     return points.select("id", F.explode(F.array(*keys)).alias("key"))
 
 
-def near_edges(points: DataFrame, keys: DataFrame, radius: int, shard: int = SHARD) -> DataFrame:
+def near_edges(points: DataFrame, keys: DataFrame, radius: int, shard: int = SHARD, tree_bytes: int = TREE_BYTES) -> DataFrame:
     """(a, b): links that join all points (id, fp) with a common key (id, key) and at most radius differing bits.
 
-    Points are routed by their keys; keys with one point are left out before fingerprints travel. The points of a key
-    form shards of about shard fingerprints, each a BK-tree, and every shard's points query every tree of their key, so
-    a task's work is bounded and no key meets in one task. (Trees go only where queries are routed: sending every
-    tree to every task would cost points times shards.) Of a tree's hits only links of a spanning forest are returned,
-    never all pairs.
+    Keys with one point are left out before fingerprints travel. The points of a key form shards of about shard
+    fingerprints, each a BK-tree that is built once. A key of one shard is searched where its tree is built. The trees of
+    hot keys are broadcast, some tree_bytes at a time, and all points of their keys pass by; after each batch its links are
+    written and the broadcast ends, so no machine ever holds more. Of a tree's hits only links of a spanning forest are
+    returned, never all pairs.
     """
+    spark = points.sparkSession
     sizes = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").withColumnRenamed("key", "k")
     each = keys.join(sizes, F.col("key") == F.col("k")).drop("k")
     parts = F.ceil(F.col("n") / F.lit(shard)).cast("int")
     own = F.pmod(F.xxhash64("id", F.lit(1)), parts).cast("int")
     each = each.join(points.select(F.col("id").alias("p"), "fp"), F.col("id") == F.col("p"))
-    each = each.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    each = each.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "fp")
+    each = each.select("key", own.alias("own"), "id", "fp", (parts > 1).alias("hot"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lone = each.filter("NOT hot").select("key", "own", "id", "fp").repartition(n, "key", "own").sortWithinPartitions("key", "own", "id").mapInArrow(lambda it: _lone(it, radius), "a long, b long")
+    hot = cut(each.filter("hot").select("key", "own", "id", "fp"))
+    trees = cut(hot.repartition(n, "key", "own").sortWithinPartitions("key", "own", "id").mapInArrow(_planted, "key long, own int, tree binary"))
+    size = trees.agg(F.sum(F.octet_length("tree"))).first()[0] or 0
+    # A batch is a bucket of a hash: a fifth is left for uneven ones.
+    batches = -(-size * 5 // (tree_bytes * 4))
+    for i in range(batches):
+        held: dict[int, list] = {}
+        for r in trees.filter(F.pmod(F.xxhash64("key", "own", F.lit(9)), F.lit(batches)) == i).collect():
+            held.setdefault(r.key, []).append((r.own, bytes(r.tree)))
+        known = spark.sparkContext.broadcast(held)
+        found = written(hot.mapInArrow(_asking(known, radius), "a long, b long"), "tree-links")
+        known.destroy()
+        lone = lone.unionByName(found)
+    return lone
+
+
+def _rows(t: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    return t.column(0).to_numpy(), t.column(1).to_numpy(), t.column(2).to_numpy(), _words(t.column(3).to_pylist())
+
+
+def _words(fps: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(fps), ">u8").astype(np.uint64).reshape(len(fps), -1)
+
+
+def _links(ids: np.ndarray, q: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
+    """A spanning forest of the hits between some points, by their ids."""
+    at, both = np.unique(np.concatenate([q, p]), return_inverse=True)
+    top = forest(len(at), both[: len(q)], both[len(q) :])
+    pair = [(ids[at[k]], ids[at[r]]) for k, r in enumerate(top) if r != k]
+    a, b = zip(*pair, strict=True) if pair else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _lone(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    for _, (ids, fps) in runs(batches, 2):
+        w = _words(fps)
+        if len(ids) > 1:
+            yield _links(np.array(ids, np.int64), *Tree(w).within(w, radius))
+
+
+def _planted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for (key, own), (ids, fps) in runs(batches, 2):
+        t = Tree(_words(fps))
+        blob = pickle.dumps((np.array(ids, np.int64), t.points, t.key.astype(np.int32), t.child.astype(np.int32)), protocol=5)
+        yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([own], pa.int32()), pa.array([blob], pa.binary())], ["key", "own", "tree"])
+
+
+def _asking(known, radius: int):
+    """Points of hot keys ask the trees of their key: of two shards the lower one's points ask the higher one's tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for b in itertools.chain(batches, [None]):
-            t = rest if b is None else pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
-            if t is None or not t.num_rows:
-                continue
-            group = np.stack([t.column(c).to_numpy() for c in ("key", "x", "y")])
-            new = np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1
-            bounds = [0, *new.tolist()] + ([t.num_rows] if b is None else [])
-            rest = t.slice(bounds[-1])
-            yield links(t, bounds)
-
-    def links(t: pa.Table, bounds: list[int]) -> pa.RecordBatch:
-        ids, own = t.column("id").to_numpy(), t.column("own").to_numpy()
-        y = t.column("y").to_numpy()
-        fp = np.frombuffer(b"".join(t.column("fp").to_pylist()), ">u8").astype(np.uint64).reshape(t.num_rows, -1)
-        out_a, out_b = [], []
-        for lo, hi in itertools.pairwise(bounds):
-            if hi - lo < 2:
-                continue
-            i = lo + np.argsort(ids[lo:hi])
-            ask = own[i] == y[lo]
-            tree = np.flatnonzero(own[i] != y[lo]) if not ask.all() else np.arange(hi - lo)
-            ask = np.flatnonzero(ask)
-            if not len(tree) or not len(ask):
-                continue
-            q, p = Tree(fp[i[tree]]).within(fp[i[ask]], radius)
-            q, p = ask[q], tree[p]
-            for k, r in enumerate(forest(hi - lo, q, p)):
-                if r != k:
-                    out_a.append(ids[i[k]])
-                    out_b.append(ids[i[r]])
-        return pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
-
-    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = each.repartition(n, "key", "x", "y").sortWithinPartitions("key", "x", "y")
-    return dealt.mapInArrow(run, "a long, b long")
+        grown: dict[int, list] = {}
+        for b in batches:
+            key, own, ids, fp = _rows(b)
+            order = np.argsort(key, kind="stable")
+            for some in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+                k = int(key[some[0]]) if len(some) else None
+                if k not in known.value:
+                    continue
+                if k not in grown:
+                    grown = {k: [(o, *Tree.grown(t)) for o, t in known.value[k]]}
+                for o, its, tree in grown[k]:
+                    ask = some[own[some] <= o]
+                    q, p = tree.within(fp[ask], radius)
+                    if len(q):
+                        # A point and its copy in the tree are one: both stand under their id.
+                        every, at = np.unique(np.concatenate([ids[ask], its]), return_inverse=True)
+                        yield _links(every, at[q], at[len(ask) + p])
+
+    return run
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -212,7 +257,8 @@ def near_components(docs: DataFrame, words: int = 3, bits: int = 64, radius: int
 
     Rows with one fingerprint are one point, known by its least key. Points with at most radius differing bits are found
     exactly (by blocks). component_id is the least key that links lead to. Null and empty texts have fingerprint zero and link as any
-    other; rows of null key take part (their component is null only if it has no key at all). Extra columns are dropped.
+    other; rows of null key take part (their component is null only if it has no key at all). An empty table gives an empty
+    result. Extra columns are dropped.
     """
     fps = cut(fingerprints(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), words, bits))
     points = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("id")))
@@ -223,16 +269,18 @@ def near_components(docs: DataFrame, words: int = 3, bits: int = 64, radius: int
 
 
 def near_dedup(docs: DataFrame, similarity: float = 0.8, words: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs without near copies: of each group the row of least key stays (of equal rows with it, one).
+    """docs without near copies: of each group the row of least key stays, of a key's rows in it the one whose text has the
+    least hash, and of equal rows one.
 
     Two texts are near if the Jaccard similarity of their sets of shingles is at least that; all such pairs are found
-    and no others (nearsets.py), and links join groups. Texts of fewer words than a shingle are compared as whole
-    sequences; those without any word, null texts too, are one group. Rows of null key stay.
+    and no others (nearsets.py), and links join groups. Rows with one key and different texts are different documents.
+    Texts of fewer words than a shingle are compared as whole sequences; those without any word, null texts too, are one
+    group. Rows of null key stay. An empty table gives an empty result; extra columns pass through.
     """
-    from .nearsets import near_roots
+    from .nearsets import near_roots, text_hash
 
-    (c,) = named(docs, "nd_root")
-    roots = cut(near_roots(docs.filter(F.col(key).isNotNull()), similarity, words, text, key).withColumnRenamed("id", c))
-    kept = docs.join(roots, F.col(key).cast("long") == F.col(c), "left_semi")
-    one = kept.dropDuplicates([key])
-    return one.unionByName(docs.filter(F.col(key).isNull()))
+    c, h, own = named(docs, "nd_root", "nd_root_text", "nd_text")
+    roots = cut(near_roots(docs.filter(F.col(key).isNotNull()), similarity, words, text, key).toDF(c, h))
+    each = docs.withColumn(own, text_hash(F.col(text)))
+    kept = each.join(roots, (F.col(key).cast("long") == F.col(c)) & (F.col(own) == F.col(h)), "left_semi")
+    return kept.dropDuplicates([key, own]).drop(own).unionByName(docs.filter(F.col(key).isNull()))

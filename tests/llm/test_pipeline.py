@@ -41,7 +41,7 @@ def test_quality_rules(duck, outs):
         normal = lambda x: " ".join(WORD.findall(x.lower()))
         lines = [x for x in texts[r["doc_id"]]["text"].split("\n") if not WORD.search(x) or (r["source"], normal(x)) not in bad]
         assert r["text"] == "\n".join(lines) and r["n_chars"] == len(r["text"])
-    assert quality.MAX_TEXTS == 20
+    assert quality.MAX_DOCS == 20
 
 
 def shingles(text):
@@ -136,3 +136,16 @@ def test_packing(outs):
 def test_run_is_the_chain(spark, outs):
     got = Counter((r.doc_id, r.piece, r.ids_crc32) for r in corpus_pipeline.run(spark, SF).collect())
     assert got == Counter((r["doc_id"], r["piece"], r["ids_crc32"]) for r in outs[5])
+
+
+def test_odd_and_empty_tables(spark, odd, none):
+    """Every stage on its predecessor's rows, nulls, ties, repeated rows and clashing names among them."""
+    for df in (odd, none):
+        docs = df
+        for name, stage in corpus_pipeline.STAGES:
+            docs = written(stage(spark, docs, SF), name)
+            assert name == "pack_sequences" or docs.columns == corpus_pipeline.COLUMNS
+        assert bool(docs.count()) == bool(df.count() and corpus_pipeline.STAGES[0][1](spark, df, SF).count())
+        # The later stages on the odd rows themselves, as the first rejects most of them.
+        for _, stage in corpus_pipeline.STAGES[1:]:
+            stage(spark, df, SF).collect()
