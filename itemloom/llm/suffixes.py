@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -91,62 +92,74 @@ def blocks(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
     return spark.table(name)
 
 
-def _deal(names: np.ndarray, buckets: int) -> np.ndarray:
-    """The bucket of each name: names are dealt by their order, so a bucket is a range of it."""
-    return ((names >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-
-
-def _distinct(names: np.ndarray, more: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(where each distinct name stands first, whether it stands there again), by name (and more)."""
-    order = np.argsort(names, kind="stable") if more is None else np.lexsort((more, names))
-    same = names[order[1:]] == names[order[:-1]]
-    if more is not None:
-        same &= more[order[1:]] == more[order[:-1]]
-    new = np.flatnonzero(np.append(True, ~same)[: len(order)])
-    return order[new], np.diff(np.append(new, len(order))) > 1
-
-
-def _sent(block: int, names: np.ndarray, buckets: int, more: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-    """A block's distinct names, and which of them it holds twice, for the buckets that sort them."""
-    first, again = _distinct(names, more)
-    names, more = names[first], None if more is None else more[first]
-    where = _deal(names, buckets)
-    at = np.flatnonzero(np.diff(where)) + 1
-    for lo, hi in zip([0, *at.tolist()], [*at.tolist(), len(where)], strict=True):
-        if lo < hi:
-            parts = [names[lo:hi].tobytes(), b"" if more is None else more[lo:hi].tobytes(), np.packbits(again[lo:hi]).tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array([int(where[lo])], pa.int32()), pa.array([block]), *(pa.array([x], pa.binary()) for x in parts)], ["bucket", "block", "names", "more", "again"])
+class Names:
+    """A block's names, for the buckets that sort them: 48 bits each, and 64 more where they must be exact. Each distinct
+    name is sent once, in order, with a mark if the block holds it twice; a bucket answers with a mark for each."""
+
+    def __init__(self, names: np.ndarray, more: np.ndarray | None, buckets: int):
+        names = names >> np.uint64(16)
+        order = np.argsort(names, kind="stable") if more is None else np.lexsort((more, names))
+        same = names[order[1:]] == names[order[:-1]]
+        if more is not None:
+            same &= more[order[1:]] == more[order[:-1]]
+        new = np.append(True, ~same)[: len(order)]
+        first = np.flatnonzero(new)
+        self.which = np.empty(len(order), np.int64)
+        self.which[order] = np.cumsum(new) - 1
+        self.again = np.diff(np.append(first, len(order))) > 1
+        self.names, self.more = names[order[first]], None if more is None else more[order[first]]
+        where = ((self.names >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        at = [0, *(np.flatnonzero(np.diff(where)) + 1).tolist(), len(where)]
+        self.parts = [(int(where[lo]), lo, hi) for lo, hi in itertools.pairwise(at) if lo < hi]
+
+    def sent(self, block: int) -> Iterator[pa.RecordBatch]:
+        for bucket, lo, hi in self.parts:
+            parts = [_packed(self.names[lo:hi]), b"" if self.more is None else self.more[lo:hi].tobytes(), np.packbits(self.again[lo:hi]).tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([block]), *(pa.array([x], pa.binary()) for x in parts)], ["bucket", "block", "names", "more", "again"])
+
+    def marked(self, answers: list[dict] | None) -> np.ndarray:
+        """For each name as it was given: whether it stands elsewhere too."""
+        found = {a["bucket"]: a["marks"] for a in answers or []}
+        out = np.zeros(len(self.names), bool)
+        for bucket, lo, hi in self.parts:
+            if bucket in found:
+                out[lo:hi] = np.unpackbits(np.frombuffer(found[bucket], np.uint8), count=hi - lo)
+        return out[self.which]
+
+
+def _packed(names: np.ndarray) -> bytes:
+    """Ascending names as steps, in 4 bytes each where that is enough."""
+    steps = np.diff(names)
+    small = not len(steps) or int(steps.max()) < 1 << 32
+    return names[:1].tobytes() + bytes([small]) + steps.astype("<u4" if small else "<u8").tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    steps = np.frombuffer(data, "<u4" if data[8] else "<u8", offset=9)
+    return np.cumsum(np.append(np.frombuffer(data, np.uint64, 1), steps.astype(np.uint64)))
 
 
 _SENT = "bucket int, block long, names binary, more binary, again binary"
+_FOUND = "block long, found struct<bucket: int, marks: binary>"
 
 
 def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sort one bucket at a time and tell each block which of its names stand elsewhere too."""
-    for _, (owner, names, more, again) in runs(batches, 1):
-        n = [len(x) // 8 for x in names]
-        h = np.frombuffer(b"".join(names), np.uint64)
+    for (bucket,), (owner, names, more, again) in runs(batches, 1):
+        each = [_unpacked(x) for x in names]
+        n = [len(x) for x in each]
+        h = np.concatenate(each)
         m = np.frombuffer(b"".join(more), np.uint64) if more[0] else np.zeros(len(h), np.uint64)
-        twice = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=c) for x, c in zip(again, n, strict=True)]).astype(bool)
-        order = np.lexsort((m, h))
+        hit = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=c) for x, c in zip(again, n, strict=True)]).astype(bool)
+        order = np.lexsort((m, h)) if more[0] else np.argsort(h)
         same = (h[order[1:]] == h[order[:-1]]) & (m[order[1:]] == m[order[:-1]])
-        hit = twice
         hit[order[1:][same]] = True
         hit[order[:-1][same]] = True
-        at = np.concatenate([[0], np.cumsum(n)])
-        out = [(b, h[lo:hi][hit[lo:hi]].tobytes()) for b, lo, hi in zip(owner, at[:-1].tolist(), at[1:].tolist(), strict=True) if hit[lo:hi].any()]
+        at = np.cumsum([0, *n]).tolist()
+        out = [(b, {"bucket": bucket, "marks": np.packbits(hit[lo:hi]).tobytes()}) for b, lo, hi in zip(owner, at[:-1], at[1:], strict=True) if hit[lo:hi].any()]
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out]), pa.array([x for _, x in out], pa.binary())], ["block", "found"])
-
-
-def _isin(names: np.ndarray, known: np.ndarray) -> np.ndarray:
-    if not len(known):
-        return np.zeros(len(names), bool)
-    return known[np.minimum(np.searchsorted(known, names), len(known) - 1)] == names
-
-
-def _names(found: list[bytes] | None) -> np.ndarray:
-    return np.sort(np.frombuffer(b"".join(found or []), np.uint64))
+            kind = pa.struct([("bucket", pa.int32()), ("marks", pa.binary())])
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out]), pa.array([x for _, x in out], kind)], ["block", "found"])
 
 
 def _within(ends: np.ndarray, at: np.ndarray, length: int, skip: np.ndarray) -> np.ndarray:
@@ -161,13 +174,11 @@ def _samples(size: int, period: int, cover: np.ndarray) -> np.ndarray:
     return at[at < size]
 
 
-def _candidates(text: np.ndarray, ends: np.ndarray, skip: np.ndarray, known: np.ndarray, prints: Prints, length: int, period: int, cover: np.ndarray) -> np.ndarray:
-    """The suffixes that reach a sample of a known name within the period, and are long enough."""
-    at = _within(ends, _samples(len(text), period, cover), prints.length, skip)
-    at = at[_isin(prints(text, at), known)]
-    mark = np.zeros(len(text) + 1, np.int32)
-    np.add.at(mark, np.maximum(at - period + 1, 0), 1)
-    np.add.at(mark, at + 1, -1)
+def _candidates(size: int, ends: np.ndarray, skip: np.ndarray, samples: np.ndarray, length: int, period: int) -> np.ndarray:
+    """The suffixes that reach one of these samples within the period, and are long enough."""
+    mark = np.zeros(size + 1, np.int32)
+    np.add.at(mark, np.maximum(samples - period + 1, 0), 1)
+    np.add.at(mark, samples + 1, -1)
     return _within(ends, np.flatnonzero(np.cumsum(mark[:-1]) > 0), length, skip)
 
 
@@ -180,8 +191,8 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
     A string of length bytes that stands twice has, within its first period bytes, a position of the difference cover that
     both places sample; from there length - period + 1 bytes are equal. So samples alone (a seventh of the positions) are
     named and ranked first, and only suffixes before a sample whose rank is shared are sorted at all: in buckets, one at a
-    time, by fingerprints of 128 bits of their first length bytes. Each block of texts sends a name once, so a passage in a
-    third of all documents is a name of each block; copies of a whole text are represented by one. Memory is bounded by
+    time, by fingerprints of 112 bits of their first length bytes. Each block of texts sends a name once and gets a mark
+    for it, so a passage in a third of all documents is a name of each block; copies of a whole text are represented by one. Memory is bounded by
     block_bytes and bucket, whatever repeats.
 
     Null text is empty; null and repeated keys are rows like any other; repeated rows repeat each other; an empty table
@@ -211,29 +222,36 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
                     skip[-1 - x] = True
             yield r, np.frombuffer(zstandard.decompress(r["texts"]), np.uint8), ends, skip, same
 
+    def sampled(t: np.ndarray, ends: np.ndarray, skip: np.ndarray, prints: Prints) -> tuple[np.ndarray, Names]:
+        at = _within(ends, _samples(len(t), period, cover), depth, skip)
+        return at, Names(prints(t, at), None, buckets)
+
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prints = Prints(depth)
         for b in batches:
             for r, t, ends, skip, _ in unpacked(b):
-                at = _within(ends, _samples(len(t), period, cover), depth, skip)
-                yield from _sent(r["block"], prints(t, at), n_samples)
+                yield from sampled(t, ends, skip, prints)[1].sent(r["block"])
+
+    def reached(r: dict, t: np.ndarray, ends: np.ndarray, skip: np.ndarray, prints: list[Prints]) -> tuple[np.ndarray, Names]:
+        at, names = sampled(t, ends, skip, prints[0])
+        at = _candidates(len(t), ends, skip, at[names.marked(r["samples"])], length, period)
+        return at, Names(prints[1](t, at), prints[2](t, at), buckets)
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prints, first, second = Prints(depth), Prints(length), Prints(length, 1)
+        prints = [Prints(depth), Prints(length), Prints(length, 1)]
         for b in batches:
             for r, t, ends, skip, _ in unpacked(b):
                 if r["samples"]:
-                    at = _candidates(t, ends, skip, _names(r["samples"]), prints, length, period, cover)
-                    yield from _sent(r["block"], first(t, at), n_suffixes, second(t, at))
+                    yield from reached(r, t, ends, skip, prints)[1].sent(r["block"])
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prints, whole = Prints(depth), Prints(length)
+        prints = [Prints(depth), Prints(length), Prints(length, 1)]
         for b in batches:
             for r, t, ends, skip, same in unpacked(b):
                 at = np.zeros(0, np.int64)
                 if r["suffixes"]:
-                    at = _candidates(t, ends, skip, _names(r["samples"]), prints, length, period, cover)
-                    at = at[_isin(whole(t, at), _names(r["suffixes"]))]
+                    at, names = reached(r, t, ends, skip, prints)
+                    at = at[names.marked(r["suffixes"])]
                 starts = np.concatenate([[0], ends[:-1]])
                 mark = np.zeros(len(t) + 1, np.int32)
                 mark[at] += 1
@@ -261,12 +279,11 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
         right = right.withColumnRenamed("block", "its")
         return left.join(right.hint("shuffle_hash"), F.col("block") == F.col("its"), "left").drop("its")
 
-    n_samples = max(1, -(-seen * len(cover) // period // bucket), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    n_suffixes = n_samples
+    buckets = max(-(-seen * len(cover) // period // bucket), int(spark.conf.get("spark.sql.shuffle.partitions")))
     base = joined(held.select("block", "ends", "texts"), copies)
     names = base.mapInArrow(ranked, _SENT)
-    samples = cut(asked(names.repartition(n_samples, "bucket").sortWithinPartitions("bucket").mapInArrow(_sorted, "block long, found binary"), "samples"))
+    samples = cut(asked(names.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_sorted, _FOUND), "samples"))
     names = joined(base, samples).mapInArrow(suffixes, _SENT)
-    found = cut(asked(names.repartition(n_suffixes, "bucket").sortWithinPartitions("bucket").mapInArrow(_sorted, "block long, found binary"), "suffixes"))
+    found = cut(asked(names.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_sorted, _FOUND), "suffixes"))
     every = joined(joined(joined(held.select("block", "ids", "ends", "texts"), copies), samples), found)
     return every.mapInArrow(removed, "doc_id long, n_bytes long, removed array<struct<start: long, end: long>>, kept binary")
