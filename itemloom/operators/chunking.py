@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalise_page, source_role, squeeze, trimmed
+from ..tables import cut
 
 TARGET, OVERLAP = 1200, 150
 # Words that announce a formula.
@@ -86,18 +87,29 @@ def orphans(chunks: DataFrame) -> DataFrame:
 
 def plan_batches(chunks: DataFrame, most_chunks: int = 32, most_chars: int = 36_000, text: str = "text") -> DataFrame:
     """Chunks with batch (from 0) by next-fit in document order: a batch closes when a chunk would make it too many or
-    too long; a row costs its text, its id and 32 (W7). A document's sizes are folded in one row, texts don't move."""
-    cost = F.length(text) + F.length("chunk_id") + 32
-    sizes = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_ord", cost.alias("cost")))).alias("c"))
-    zero = F.expr("struct(0 AS b, 0 AS n, 0 AS used, CAST(array() AS array<int>) AS bs)")
-
-    def step(a, x):
-        new = (a["n"] > 0) & ((a["n"] >= most_chunks) | (a["used"] + x["cost"] > most_chars))
-        b = a["b"] + new.cast("int")
-        return F.struct(b.alias("b"), F.when(new, 1).otherwise(a["n"] + 1).alias("n"), F.when(new, x["cost"]).otherwise(a["used"] + x["cost"]).alias("used"), F.concat(a["bs"], F.array(b)).alias("bs"))
-
-    put = sizes.select("doc_id", F.explode(F.arrays_zip("c", F.aggregate("c", zero, step, lambda a: a["bs"]).alias("batch"))).alias("x"))
-    return chunks.join(put.select("doc_id", "x.c.chunk_ord", F.col("x.batch").alias("batch")), ["doc_id", "chunk_ord"])
+    too long; a row costs its text, its id and 32 (W7).
+
+    The batch that begins at a chunk ends where prefix sums say, so every chunk has a successor: where the next batch would
+    begin. Successors are doubled while any stays inside its document, and the true beginnings are those reached from the
+    first chunk: a logarithm of the batches of the longest document in rounds of joins, over sizes only.
+    """
+    w = Window.partitionBy("doc_id").orderBy("chunk_ord")
+    sizes = chunks.select("doc_id", "chunk_ord", (F.coalesce(F.length(text), F.lit(0)) + F.length("chunk_id") + 32).cast("long").alias("cost"))
+    sizes = sizes.withColumn("i", F.row_number().over(w).cast("long")).withColumn("s", F.sum("cost").over(w) - F.col("cost"))
+    end = F.max(F.col("s") + F.col("cost")).over(Window.partitionBy("doc_id"))
+    # A chunk fits if the next one begins within the limit; the last if the document ends within it.
+    inside = F.count("*").over(Window.partitionBy("doc_id").orderBy("s").rangeBetween(0, most_chars)) - 1 + (end - F.col("s") <= most_chars).cast("int")
+    sizes = cut(sizes.select("doc_id", "chunk_ord", "i", (F.col("i") + F.greatest(F.lit(1), F.least(F.lit(most_chunks), inside))).alias("next")))
+    jumps = [cut(sizes.join(sizes.select("doc_id", F.col("i").alias("next")), ["doc_id", "next"], "left_semi").select("doc_id", "i", "next"))]
+    while not jumps[-1].isEmpty():
+        far = jumps[-1].select("doc_id", F.col("i").alias("next"), F.col("next").alias("far"))
+        jumps.append(cut(jumps[-1].join(far, ["doc_id", "next"]).select("doc_id", "i", F.col("far").alias("next"))))
+    starts = sizes.filter("i = 1").select("doc_id", "i")
+    for jump in reversed(jumps[:-1]):
+        starts = cut(starts.unionByName(starts.join(jump, ["doc_id", "i"]).select("doc_id", F.col("next").alias("i"))))
+    put = sizes.join(starts.withColumn("starts", F.lit(1)), ["doc_id", "i"], "left")
+    put = put.select("doc_id", "chunk_ord", (F.count("starts").over(w) - 1).cast("int").alias("batch"))
+    return chunks.join(put, ["doc_id", "chunk_ord"])
 
 
 def batch_counts(batches: DataFrame) -> DataFrame:

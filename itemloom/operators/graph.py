@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import concept_key, trimmed
+from ..tables import cut
 
 FLICKER = 2
 MOST_DROPPED = 0.5
@@ -97,36 +97,35 @@ def claimed_concepts(lessons: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def recover_orphans(nodes: DataFrame, links: DataFrame, claimed: DataFrame) -> DataFrame:
     """claimed with a lesson for every concept of a document that has one (K3): by a co_occurs neighbour, then by one of
-    follows, then by the nearest concept in order, left first. Each step sees those before it, so a document's
-    concepts (hundreds) are handled in one group."""
-    c = nodes.select("doc_id", "concept_ord", "concept_id").join(claimed, ["doc_id", "concept_id"], "left").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("concept_ord", "concept_id", "lesson_id"))).alias("nodes"))
-    e = links.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("edge_ord", "kind", "src", "dst"))).alias("links"))
-
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for r in pdf.itertuples():
-            order = [x["concept_id"] for x in r.nodes]
-            lesson = {x["concept_id"]: x["lesson_id"] for x in r.nodes if x["lesson_id"]}
-            by_kind: dict[tuple[str, str], list[str]] = {}
-            for x in r.links if r.links is not None else []:
-                by_kind.setdefault((x["kind"], x["src"]), []).append(x["dst"])
-                by_kind.setdefault((x["kind"], x["dst"]), []).append(x["src"])
-            for c in order:
-                if c not in lesson:
-                    near = next((n for kind in ("co_occurs", "follows") for n in by_kind.get((kind, c), []) if n in lesson), None)
-                    if near:
-                        lesson[c] = lesson[near]
-            for i, c in enumerate(order):
-                if c not in lesson:
-                    sides = (j for d in range(1, len(order)) for j in (i - d, i + d) if 0 <= j < len(order))
-                    near = next((order[j] for j in sides if order[j] in lesson), None)
-                    if near:
-                        lesson[c] = lesson[near]
-            out += [(r.doc_id, c, lesson[c]) for c in order if c in lesson]
-        return pd.DataFrame(out, columns=["doc_id", "concept_id", "lesson_id"])
-
-    schema = f"doc_id {nodes.schema['doc_id'].dataType.simpleString()}, concept_id string, lesson_id string"
-    return c.join(e, "doc_id", "left").mapInPandas(lambda it: (settle(x) for x in it), schema)
+    follows, in the order of edges, then by the nearest concept in order, left first.
+
+    The rule goes through the concepts in order, so a concept only sees claimed neighbours and those before it. That is a
+    graph of dependencies: rounds of joins find which concepts it reaches from the claimed ones; each of these points to
+    its first neighbour that has a lesson, and pointers are doubled until they end at a claimed concept. What is left
+    takes the last lesson before it, or else the first behind. Rounds are checkpointed; no document meets in one row.
+    """
+    key = ["doc_id", "concept_id"]
+    every = cut(nodes.select("doc_id", "concept_ord", "concept_id").join(claimed, key, "left"))
+    both = links.select("doc_id", F.col("src").alias("concept_id"), F.col("dst").alias("to"), "kind", "edge_ord").unionByName(links.select("doc_id", F.col("dst").alias("concept_id"), F.col("src").alias("to"), "kind", "edge_ord"))
+    both = both.filter(F.col("kind").isin("co_occurs", "follows")).join(every.filter("lesson_id IS NULL").select(*key, "concept_ord"), key)
+    its = every.select("doc_id", F.col("concept_id").alias("to"), F.col("concept_ord").alias("to_ord"), F.col("lesson_id").isNotNull().alias("to_claimed"))
+    sees = cut(both.join(its, ["doc_id", "to"]).filter("to_claimed OR to_ord < concept_ord").groupBy(*key, "to", "to_claimed").agg(F.min(F.struct(F.col("kind") != "co_occurs", "edge_ord")).alias("turn")))
+    fresh = cut(sees.filter("to_claimed").select(*key).distinct())
+    reached = fresh
+    while not fresh.isEmpty():
+        more = sees.filter("NOT to_claimed").join(fresh.withColumnRenamed("concept_id", "to"), ["doc_id", "to"], "left_semi").select(*key).distinct()
+        fresh = cut(more.join(reached, key, "left_anti"))
+        reached = reached.unionByName(fresh)
+    seen = sees.filter("to_claimed").select(*key, "to", "to_claimed", "turn").unionByName(sees.filter("NOT to_claimed").join(reached.withColumnRenamed("concept_id", "to"), ["doc_id", "to"], "left_semi").select(*key, "to", "to_claimed", "turn"))
+    at = cut(seen.groupBy(*key).agg(F.min_by(F.struct("to", "to_claimed"), "turn").alias("p")).select(*key, "p.to", F.col("p.to_claimed").alias("ends")))
+    while not at.filter("NOT ends").isEmpty():
+        on = at.select("doc_id", F.col("concept_id").alias("to"), F.col("to").alias("further"), F.col("ends").alias("its_end"))
+        at = cut(at.join(on, ["doc_id", "to"], "left").select(*key, F.coalesce("further", "to").alias("to"), (F.col("ends") | F.col("its_end")).alias("ends")))
+    found = at.join(claimed.withColumnRenamed("concept_id", "to"), ["doc_id", "to"]).select(*key, F.col("lesson_id").alias("found"))
+    w = Window.partitionBy("doc_id").orderBy("concept_ord")
+    own = every.join(found, key, "left").withColumn("own", F.coalesce("lesson_id", "found"))
+    before, behind = F.last("own", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first("own", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    return own.select(*key, F.coalesce(before, behind).alias("lesson_id")).filter("lesson_id IS NOT NULL")
 
 
 def chunk_lessons(nodes: DataFrame, assigned: DataFrame) -> DataFrame:
@@ -150,6 +149,22 @@ def outline(lessons: DataFrame, nodes: DataFrame, links: DataFrame) -> tuple[Dat
     return lessons.join(chunks.select("doc_id", "lesson_id").distinct(), ["doc_id", "lesson_id"], "left_semi"), assigned, chunks
 
 
+def numbered_lessons(lessons: DataFrame) -> DataFrame:
+    """lessons with lesson_id L01 on by lesson_pos, in each document."""
+    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("lesson_pos"))
+    return lessons.withColumn("lesson_id", F.format_string("L%02d", n))
+
+
+def listing(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(doc_id, request): a document's concepts with their pages and its edges, each on a line, in order."""
+    node = F.concat(F.lit("- "), "concept_id", F.lit(" | "), "title", F.lit(" | pages "), F.array_join(F.transform("pages", lambda x: x.cast("string")), " "))
+    link = F.concat(F.lit("- "), "src", F.lit(" -> "), "dst", F.lit(" | "), "kind")
+    rows = nodes.select("doc_id", F.lit(0).alias("part"), F.col("concept_ord").cast("long").alias("ord"), node.alias("t")).unionByName(links.select("doc_id", F.lit(1).alias("part"), F.col("edge_ord").cast("long").alias("ord"), link.alias("t")))
+    rows = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("part", "ord", "t"))).alias("p"))
+    of = lambda k: F.array_join(F.transform(F.filter("p", lambda x: x["part"] == k), lambda x: x["t"]), "\n")
+    return rows.select("doc_id", F.concat(F.lit("Concepts, in the order of their first evidence:\n"), of(0), F.lit("\n\nEdges:\n"), of(1)).alias("request"))
+
+
 def source_bound_atoms(atoms: DataFrame, chunks: DataFrame, nodes: DataFrame) -> DataFrame:
     """Evidence atoms that hold (K2): a claim, quote, relation and known chunk that has the quote verbatim; known concepts
     once each; the first of equal (chunk, relation, claim), numbered A001 on in input order (atom_ord)."""

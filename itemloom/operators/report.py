@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clip, trimmed
+from ..tables import cut
+from .ordered import numbered
 
 DETERMINISTIC = ("well_formed", "source_role", "quote_verbatim", "arithmetic", "unit_check", "coverage_contract", "not_a_duplicate")
 LABELS = ("good", "wrong", "not-in-source", "trivial", "unclear")
 MARGIN = 4
 # Names shown for gates, skills and levels.
 GATE_NAMES = {"well_formed": "Well-formed", "source_role": "Source section", "quote_verbatim": "Verbatim quote", "arithmetic": "Arithmetic", "unit_check": "Unit", "coverage_contract": "Coverage contract", "not_a_duplicate": "Distinct"}
+SKILL_NAMES = {"understanding": "Understanding", "calculation": "Calculation", "application": "Application", "recall": "Recall"}
+LEVEL_NAMES = {"easy": "Easy", "medium": "Medium", "hard": "Hard"}
+REASONS = {"structurally sound": "Nothing is wrong with its form", "no arithmetic in this question": "Nothing is calculated", "distinct from the questions already accepted": "No earlier question is like it"}
+REASON_STARTS = {"verbatim in ": "Stands in the source, in ", "chunk ": "Taken from chunk ", "slot ": "Fills coverage slot "}
 
 
 def pass_rate(rows: DataFrame, *by: str, passed: str = "passed") -> DataFrame:
@@ -126,19 +134,18 @@ def ceiling(rows: DataFrame, budgets: DataFrame, by: str = "run_id") -> DataFram
     return budgets.withColumn("budget", b).join(n, by, "left").select(by, "budget", F.coalesce("accepted", F.lit(0)).alias("accepted"), F.coalesce("visits", F.lit(0)).alias("visits"), (F.coalesce("accepted", F.lit(0)) < F.col("budget")).alias("below_budget"))
 
 
-def blind_sheet(questions: DataFrame, seed: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(sheet, key) of questions (source, ordinal, stem, choices, correct): ids in an order that only the seed decides,
-    whatever the partitions; the sheet has no source and no answer (R7, U1). The shuffle ranks hashes by range, so no
-    task sees all rows; ids are as wide as the count asks for."""
-    h = F.xxhash64(F.lit(seed), "source", "ordinal")
-    rows = questions.withColumn("h", h)
-    buckets = F.pmod(F.shiftrightunsigned("h", 54), F.lit(1024))
-    rows = rows.withColumn("b", buckets)
-    before = rows.groupBy("b").agg(F.count("*").alias("n"))
-    before = before.withColumn("before", F.sum("n").over(Window.orderBy("b")) - F.col("n")).drop("n")
-    nth = F.row_number().over(Window.partitionBy("b").orderBy("h", "source", "ordinal"))
-    width = len(str(max(1, questions.count())))
-    rows = rows.withColumn("nth", nth).join(before, "b").withColumn("id", F.format_string(f"Q%0{max(width, 2)}d", F.col("nth") + F.col("before")))
+def blind_sheet(*sources: DataFrame, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(sheet, key) of the union of questions (source, ordinal, stem, choices, correct) of several sources; what a source
+    lacks is null. Ids follow the MD5 of seed, source and ordinal, whatever the partitions; the sheet has no source and no
+    answer (R7, U1). Rows are dealt into sampled ranges of it, which are numbered side by side from where the ranges before
+    end, so no range grows with the others; ids are as wide as the count asks for."""
+    names = ["source", "ordinal", "stem", "choices", "correct"]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [s.select(*[c for c in names if c in s.columns]) for s in sources]).select(*names)
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce("source", F.lit("")), F.col("ordinal").cast("string")))
+    rows = cut(rows.withColumn("h", h).repartitionByRange("h", "source", "ordinal").withColumn("part", F.spark_partition_id()))
+    rows = numbered(rows, [], "part", ["h", "source", "ordinal"], "nth")
+    width = len(str(max(1, rows.count())))
+    rows = rows.withColumn("id", F.format_string(f"Q%0{max(width, 2)}d", "nth"))
     cell = lambda i: F.regexp_replace(trimmed(F.get("choices", F.lit(i))), r"\s+", " ")
     sheet = rows.select("id", trimmed(F.col("stem")).alias("stem"), *[cell(i).alias(f"choice_{c}") for i, c in enumerate("abcd")], F.lit("").alias("label"))
     return sheet, rows.select("id", "source", F.col("ordinal").alias("original_index"), F.col("correct").alias("correct_choice"))
@@ -182,11 +189,28 @@ def source_sizes(rows: DataFrame) -> DataFrame:
     return out.withColumn("equal_n", F.min("n").over(all_) == F.max("n").over(all_))
 
 
+QUESTIONS = "source string, ordinal int, stem string, choices array<string>, correct int, passed boolean, skill string, difficulty string, explanation string, source_quote string, coverage_slot_id string, evidence_atom_id string, evidence_chunk_id string, gates array<struct<gate:string,pass:boolean,reason:string>>"
+
+
+def united(*sources: DataFrame) -> DataFrame:
+    """Questions of ours and of other sources as one table of QUESTIONS (U7): texts that a source lacks are empty, gates
+    none, correct and passed null; numbered per source in the order of ordinal (i), in categories of five (W11)."""
+    kinds = dict(x.split(" ", 1) for x in QUESTIONS.split(", "))
+
+    def full(df: DataFrame) -> DataFrame:
+        empty = {"string": F.lit("")}
+        have = lambda c, k: F.col(c).cast(k) if c in df.columns else F.lit(None).cast(k)
+        return df.select(*[(F.coalesce(have(c, k), empty.get(k, F.array().cast(k))) if k == "string" or k.startswith("array") else have(c, k)).alias(c) for c, k in kinds.items()])
+
+    rows = reduce(lambda a, b: a.unionByName(b), map(full, sources))
+    rows = rows.withColumn("i", F.row_number().over(Window.partitionBy("source").orderBy("ordinal")))
+    return rows.withColumn("category", F.least(F.floor((F.col("i") - 1) / 5), F.lit(2)))
+
+
 def comparison(rows: DataFrame, sources: list[str]) -> DataFrame:
     """Side by side: the i-th question of every source, in five-question categories (JN18, R9, U7, W11)."""
-    i = F.row_number().over(Window.partitionBy("source").orderBy("ordinal"))
-    out = rows.withColumn("i", i).groupBy("i").pivot("source", sources).agg(F.first("stem"))
-    return out.withColumn("category", F.least(F.floor((F.col("i") - 1) / 5), F.lit(2))).orderBy("i")
+    rows = united(rows)
+    return rows.groupBy("i", "category").pivot("source", sources).agg(F.first("stem")).select("i", *sources, "category").orderBy("i")
 
 
 def search(rows: DataFrame, q: str) -> DataFrame:
@@ -199,10 +223,26 @@ def failing(rows: DataFrame) -> DataFrame:
     return rows.filter("NOT passed").orderBy("run_id", "draft_ord")
 
 
+def _named(c: str, names: dict[str, str]) -> Column:
+    m = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    return F.coalesce(m[F.col(c)], F.col(c))
+
+
 def shown_gates(gates: DataFrame) -> DataFrame:
-    """gates with the names that reports show."""
-    m = F.create_map(*[F.lit(x) for kv in GATE_NAMES.items() for x in kv])
-    return gates.withColumn("name", F.coalesce(m[F.col("gate")], F.col("gate")))
+    """gates with the names and reasons that reports show (F24): a reason with a known beginning is said again in the
+    report's words, with what follows it."""
+    reason = F.col("reason")
+    shown = F.coalesce(
+        *[F.when(reason == k, v) for k, v in REASONS.items()],
+        *[F.when(F.startswith(reason, F.lit(k)), F.concat(F.lit(v), F.substr(reason, F.lit(len(k) + 1)))) for k, v in REASON_STARTS.items()],
+        F.replace(reason, F.lit(", matches the correct choice"), F.lit(" and equals the correct choice")),
+    )
+    return gates.withColumn("name", _named("gate", GATE_NAMES)).withColumn("shown_reason", shown)
+
+
+def shown_questions(rows: DataFrame) -> DataFrame:
+    """Questions with the names of skill and difficulty that reports show."""
+    return rows.withColumn("skill", _named("skill", SKILL_NAMES)).withColumn("difficulty", _named("difficulty", LEVEL_NAMES))
 
 
 def pick_lesson(lessons: DataFrame, fragment: str) -> DataFrame:

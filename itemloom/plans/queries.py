@@ -331,11 +331,9 @@ def call_stats_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     kind = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     rows = spark.readStream.schema(kind).parquet(f"{sf_dir}/events.parque[t]")  # a pattern: the table may be a file or a folder
-    name = f"calls_{uuid.uuid4().hex}"
-    top = scratch(spark)
-    q = calls.running_stats(_calls(rows)).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{top}/{name}").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).select("label", "calls", F.round("total_ms", 3).alias("total_ms"), "eval_tokens")
+    top = f"{scratch(spark)}/calls-{uuid.uuid4().hex}"
+    calls.start(_calls(rows), f"{top}/stats", f"{top}/checkpoint", availableNow=True).awaitTermination()
+    return calls.current(spark, f"{top}/stats").select("label", "calls", F.round("total_ms", 3).alias("total_ms"), "eval_tokens")
 
 
 QUERIES["call_stats_stream"] = call_stats_stream
@@ -383,7 +381,9 @@ def ids_to_ask_again(table):
     return decode.reconcile(table("documents").select("doc_id"), table("labels").select("doc_id", F.lit(1).alias("reply_ord")), ("doc_id",))[1]
 
 
-@query()
+@query("""WITH r AS (SELECT source, doc_id, text, md5('1:' || coalesce(source, '') || ':' || doc_id) AS h FROM documents),
+n AS (SELECT *, row_number() OVER (ORDER BY h, source, doc_id) AS n, CAST(length(CAST(count(*) OVER () AS VARCHAR)) AS INTEGER) AS w FROM r)
+SELECT 'Q' || lpad(CAST(n AS VARCHAR), w, '0') AS id, source, doc_id AS original_index, 'A' AS correct_choice, CAST(length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS INTEGER) AS n_chars FROM n""")
 def blind_sheet(table):
     rows = table("documents").select("source", F.col("doc_id").alias("ordinal"), F.col("text").alias("stem"), F.array(F.lit("a"), F.lit("b"), F.lit("c"), F.lit("d")).alias("choices"), F.lit("A").alias("correct"))
     sheet, key = report.blind_sheet(rows)

@@ -8,17 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder for tables between steps: spark.checkpoint.dir, which all machines share. Only a local session, as in
-    tests, may go without and gets a temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return shared or tempfile.mkdtemp()
+    """The folder for tables between steps: spark.checkpoint.dir, or the checkpoint folder that was set on the context,
+    which all machines share. Only a local session, as in tests, may go without and gets a temporary one."""
+    sc = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not shared:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        shared = tempfile.mkdtemp(prefix="itemloom-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared)
+    return shared
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Compute df once and cut its lineage with a reliable checkpoint in scratch()."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(scratch(spark))
+    scratch(df.sparkSession)
     return df.checkpoint()

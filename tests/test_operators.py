@@ -311,6 +311,9 @@ def test_scratch_must_be_shared_on_a_cluster():
     class Context:
         master = "spark://host:7077"
 
+        def getCheckpointDir(self):
+            return None
+
     class Session:
         sparkContext = Context()
         conf = {}

@@ -4,10 +4,10 @@ import math
 
 import duckdb
 import pytest
-from itemloom.plans import draft_queries, queries
+from itemloom.plans import bank_queries, draft_queries, queries
 
 SF = "/root/testdata/sf0.001"
-assert draft_queries.query is queries.query
+assert draft_queries.query is bank_queries.query is queries.query
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
