@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import runs, written
 
 #: Bytes of texts that a task counts at once, and n-grams of a range of prefixes (bounds its task's memory).
-SHARD_BYTES, RANGE_GRAMS = 16 << 20, 2_000_000
+SHARD_BYTES, RANGE_GRAMS = 16 << 20, 5_000_000
 #: N-grams that the bounds of ranges are drawn from, and bytes of a word that a bound keeps.
 SAMPLE_GRAMS, BOUND_BYTES = 20_000, 32
 MIN_COUNT, MAX_WORDS, TOP = 10, 3, 2000
@@ -95,8 +96,8 @@ class Transducer:
     def __len__(self) -> int:
         return len(self.weight)
 
-    def paths(self, depth: int = MAX_WORDS) -> tuple[np.ndarray, np.ndarray]:
-        """(paths, weights) as build() takes them, of the accepted phrases."""
+    def paths(self, depth: int = MAX_WORDS, in_order: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """(paths, weights) of the accepted phrases, as build() takes them if in order."""
         state, path = np.array([len(self.weight) - 1]), np.full((1, depth), -1, np.int32)
         found = []
         for d in range(depth + 1):
@@ -110,7 +111,7 @@ class Transducer:
             path[:, d] = self.symbol[arc]
             state = self.target[arc]
         path, weight = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.lexsort(path.T[::-1])
+        order = _order(path, len(self.words)) if in_order else slice(None)
         return path[order], weight[order]
 
     def compose(self, paths: np.ndarray, words: pa.Array) -> np.ndarray:
@@ -128,8 +129,8 @@ class Transducer:
 
     def dumps(self) -> bytes:
         small = [x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0)) for x in (self.weight, np.diff(self.first), self.symbol, self.target)]
-        lengths = np.fromiter(map(len, self.words.to_pylist()), np.int64, len(self.words))
-        text = b"".join(self.words.to_pylist())
+        at, text = _buffers(self.words)
+        lengths = np.diff(at)
         return zstandard.compress(pickle.dumps((text, lengths.astype(np.min_scalar_type(int(lengths.max()) if len(lengths) else 0)), *small), protocol=5), 1)
 
     @classmethod
@@ -141,10 +142,25 @@ class Transducer:
         return cls(words, weight.astype(np.int64), first, symbol.astype(np.int32), target.astype(np.int64))
 
 
+def _buffers(words: pa.Array) -> tuple[np.ndarray, bytes]:
+    """(offsets, bytes) of an array of words."""
+    at = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int32)
+    return at - at[0], words.buffers()[2][int(at[0]) : int(at[-1])].to_pybytes() if at[-1] > at[0] else b""
+
+
 def _positions(known: pa.Array, asked: pa.Array) -> np.ndarray:
     """Where each asked word stands among the known ones; -1: nowhere."""
-    where = {w: i for i, w in enumerate(known.to_pylist())}
-    return np.fromiter((where.get(w, -1) for w in asked.to_pylist()), np.int64, len(asked))
+    return pc.fill_null(pc.index_in(asked, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _order(paths: np.ndarray, size: int) -> np.ndarray:
+    """The order of paths over size words: as one number each where they fit."""
+    if (size + 1) ** paths.shape[1] >= 1 << 63:
+        return np.lexsort(paths.T[::-1])
+    key = np.zeros(len(paths), np.int64)
+    for d in range(paths.shape[1]):
+        key = key * (size + 1) + paths[:, d] + 1
+    return np.argsort(key, kind="stable")
 
 
 def _compact(words: pa.Array, paths: np.ndarray, weights: np.ndarray) -> Transducer:
@@ -155,24 +171,24 @@ def _compact(words: pa.Array, paths: np.ndarray, weights: np.ndarray) -> Transdu
     return Transducer.build(words.take(pa.array(used)), small, weights)
 
 
-def united(parts: list[Transducer], combine=np.add) -> Transducer:
-    """The union of transducers; weights of one phrase are summed (or combined otherwise)."""
-    if len(parts) == 1:
-        return parts[0]
-    every = sorted(set().union(*(p.words.to_pylist() for p in parts)))
-    words = pa.array(every, pa.binary())
-    where = {w: i for i, w in enumerate(every)}
+def merged(parts: list[Transducer], combine=np.add) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(words, paths, weights) of the union of transducers; weights of one phrase are summed (or combined otherwise)."""
+    words = pc.unique(pa.concat_arrays([p.words for p in parts]))
+    words = words.take(pc.array_sort_indices(words))
     paths, weights = [], []
     for p in parts:
-        path, weight = p.paths()
-        ids = np.append(np.fromiter((where[w] for w in p.words.to_pylist()), np.int32, len(p.words)), np.int32(-1))
-        paths.append(ids[path])
+        path, weight = p.paths(in_order=False)
+        paths.append(np.append(_positions(words, p.words), -1).astype(np.int32)[path])
         weights.append(weight)
     path, weight = np.concatenate(paths), np.concatenate(weights)
-    order = np.lexsort(path.T[::-1])
+    order = _order(path, len(words))
     path, weight = path[order], weight[order]
     new = np.flatnonzero(np.append(True, (path[1:] != path[:-1]).any(axis=1))[: len(path)])
-    return Transducer.build(words, path[new], combine.reduceat(weight, new) if len(new) else weight)
+    return words, path[new], combine.reduceat(weight, new) if len(new) else weight
+
+
+def united(parts: list[Transducer], combine=np.add) -> Transducer:
+    return parts[0] if len(parts) == 1 else Transducer.build(*merged(parts, combine))
 
 
 def tokens(texts: list[str | None]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
@@ -186,11 +202,10 @@ def tokens(texts: list[str | None]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     at = np.zeros(len(start) + 1, np.int64)
     np.cumsum(end - start, out=at[1:])
     got = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(at), pa.py_buffer(b[on])]).dictionary_encode()
-    words = got.dictionary.to_pylist()
-    order = sorted(range(len(words)), key=words.__getitem__)
-    rank = np.empty(len(words), np.int64)
-    rank[order] = np.arange(len(words))
-    return rank[got.indices.to_numpy()], pa.array([words[i] for i in order], pa.binary()), piece
+    order = pc.array_sort_indices(got.dictionary)
+    rank = np.empty(len(order), np.int64)
+    rank[order.to_numpy()] = np.arange(len(order))
+    return rank[got.indices.to_numpy()], got.dictionary.take(order).cast(pa.binary()), piece
 
 
 def grams(ids: np.ndarray, piece: np.ndarray, size: int, starts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -207,7 +222,7 @@ def grams(ids: np.ndarray, piece: np.ndarray, size: int, starts: int) -> tuple[n
         paths.append(path)
         counts.append(c)
     path, count = np.concatenate(paths), np.concatenate(counts).astype(np.int64)
-    order = np.lexsort(path.T[::-1])
+    order = _order(path, size)
     return path[order], count[order]
 
 
@@ -290,11 +305,10 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", min_co
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (k, l), rows in runs(batches, 2):
-            all_ = united([Transducer.loads(b) for b in rows[0]])
-            path, weight = all_.paths()
-            words = int(weight[path[:, 1] < 0].sum())
+            words, path, weight = merged([Transducer.loads(b) for b in rows[0]])
+            n = int(weight[path[:, 1] < 0].sum())
             path, weight = path[weight >= min_count], weight[weight >= min_count]
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([l]), pa.array([words]), pa.array([_compact(all_.words, path, weight).dumps()], pa.binary())], ["range", "lang", "words", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([l]), pa.array([n]), pa.array([_compact(words, path, weight).dumps()], pa.binary())], ["range", "lang", "words", "part"])
 
     shards = docs.mapInArrow(count, "range int, lang string, part binary")
     known = written(shards.repartition(n_ranges, "range").sortWithinPartitions("range", "lang").mapInArrow(unite, "range int, lang string, words long, part binary"), "phrase-ranges")
