@@ -22,6 +22,8 @@ SHARD_BYTES, RANGE_GRAMS = 16 << 20, 5_000_000
 #: N-grams that the bounds of ranges are drawn from, and bytes of a word that a bound keeps.
 SAMPLE_GRAMS, BOUND_BYTES = 20_000, 32
 MIN_COUNT, MAX_WORDS, TOP = 10, 3, 2000
+#: Parts of a language that are ranked on their own before the language is.
+SALTS = 16
 #: Bytes that end a word and stay in the piece, and those that end a piece.
 BLANKS, BREAKS = b"\x20\x09", b".,;:!?\x0a\x0b\x0c\x0d"
 UNKNOWN = "und"
@@ -380,6 +382,10 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", min_co
     scored = both.repartition(n_ranges, "range").sortWithinPartitions("range", "lang", "kind").mapInArrow(score, "lang string, phrase string, a long, l long, r long, score long")
     totals = known.groupBy("lang").agg(F.sum("words").alias("n"))
     scored = scored.join(totals.withColumnRenamed("lang", "its"), F.col("lang") == F.col("its")).drop("its")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    out = scored.withColumn("rank", rank)
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    if top is not None:
+        # First the best of each of SALTS parts of a language, so that its last task gets a bounded number of phrases.
+        part = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(SALTS))).orderBy(*order)
+        scored = scored.withColumn("rank", F.row_number().over(part)).filter(F.col("rank") <= top).drop("rank")
+    out = scored.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
     return (out if top is None else out.filter(F.col("rank") <= top)).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
