@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from math import ceil
-from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,8 +49,11 @@ def any_of(text: Column, phrases: tuple[str, ...]) -> Column:
 
 
 def holds(text: Column, phrases: tuple[str, ...]) -> Column:
-    """Whether one of the phrases stands in a lower-cased text."""
-    return reduce(or_, [F.contains(text, F.lit(p.lower())) for p in phrases])
+    """Whether one of the phrases stands in a lower-cased text: one pattern that looks on only where one of them may begin."""
+    by: dict[str, list[str]] = {}
+    for p in sorted({x.lower() for x in phrases}):
+        by.setdefault(p[0], []).append(re.escape(p[1:]))
+    return text.rlike(f"(?=[{''.join(map(re.escape, by))}])(?:{'|'.join(f'{re.escape(k)}(?:{"|".join(v)})' for k, v in by.items())})")
 
 
 def stem_fault(s: Column, low: Column, words=QUESTION_WORDS, unseen=UNSEEN_PHRASES, teaching=TEACHING_PHRASES) -> Column:
@@ -164,32 +167,46 @@ def _gram_floor(gram: int, share: float) -> int:
     return max(short, default=0) + 1
 
 
-def same_stems(drafts: DataFrame, group: list[str], order: str = "draft_ord", gram: int = 8, share: float = SAME_TEXT) -> DataFrame:
-    """(group, a, b): pairs a < b whose stems share a run of share of the shorter one or more (Q7), white space and case
-    ignored; empty stems have none. share is above a half.
+def near_stems(stems: DataFrame, group: list[str], gram: int = 8, share: float = SAME_TEXT) -> DataFrame:
+    """(group, a, b): pairs a < b of different stems (group, s) of which a run of share of the shorter one or more is in both
+    (Q7). share is above a half.
 
     Wherever such a run begins, it covers the middle of the shorter stem. So any one gram of that middle stands in the
     longer stem too, and each stem asks for the rarest it has there: a phrase that many stems begin with brings no
-    pairs. Exact for stems of _gram_floor() characters or more; shorter ones meet within their group.
+    pairs. Exact for stems of _gram_floor() characters or more; shorter ones meet, by each of their characters, stems that
+    hold it.
     """
-    s = drafts.select(*group, F.col(order).alias("o"), squeeze(F.lower("stem")).alias("s")).filter("s <> ''")
+    s = cut(stems.select(*group, "s").filter("s <> ''").distinct())
     least = _gram_floor(gram, share)
     long_ = s.filter(F.length("s") >= least).withColumn("len", F.length("s"))
     at = F.transform(F.sequence(F.lit(1), F.col("len") - gram + 1), lambda i: F.struct(i.alias("pos"), F.xxhash64(F.substring(F.col("s"), i, F.lit(gram))).alias("g")))
-    g = long_.select(*group, "o", "len", F.explode(at).alias("x")).select(*group, "o", "len", "x.pos", "x.g")
-    held = g.select(*group, "g", "o", "len").distinct()
+    g = long_.select(*group, "s", "len", F.explode(at).alias("x")).select(*group, "s", "len", "x.pos", "x.g")
+    held = g.select(*group, "g", "s", "len").distinct()
     common = held.groupBy(*group, "g").agg(F.count("*").alias("n")).filter("n > 1")
     run = F.ceil(F.lit(share) * F.col("len"))
     middle = g.filter(F.col("pos").between(F.col("len") - run + 1, run - gram + 1))
     # A gram that no other stem has settles it: its stem is the shorter one of no pair.
-    asked = middle.join(common, [*group, "g"], "left").groupBy(*group, "o", "len").agg(F.min(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "g")).alias("m"))
-    asked = asked.filter("m.n > 1").select(*group, F.col("o").alias("x"), F.col("len").alias("xlen"), F.col("m.g").alias("g"))
-    pairs = asked.join(held, [*group, "g"]).filter("o <> x AND len >= xlen").select(*group, F.least("o", "x").alias("a"), F.greatest("o", "x").alias("b")).distinct()
-    short = s.filter(F.length("s") < least).select(*group, F.col("o").alias("x")).join(s.select(*group, F.col("o").alias("y")), group).filter("x <> y").select(*group, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    left, right = s.withColumnsRenamed({"o": "a", "s": "sa"}), s.withColumnsRenamed({"o": "b", "s": "sb"})
-    both = pairs.unionByName(short).distinct().join(left, [*group, "a"]).join(right, [*group, "b"])
-    both = both.withColumn("n", shared_run_length("sa", "sb"))
-    return both.filter(F.col("n") >= share * F.least(F.length("sa"), F.length("sb"))).select(*group, "a", "b")
+    asked = middle.join(common, [*group, "g"], "left").groupBy(*group, "s", "len").agg(F.min(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "g")).alias("m"))
+    asked = asked.filter("m.n > 1").select(*group, F.col("s").alias("x"), F.col("len").alias("xlen"), F.col("m.g").alias("g"))
+    ordered = [*group, F.least("s", "x").alias("a"), F.greatest("s", "x").alias("b")]
+    pairs = asked.join(held, [*group, "g"]).filter("s <> x AND len >= xlen").select(*ordered)
+    # A stem that is too short for a gram shares a run of share of itself, so the character in its middle, with the other.
+    few = s.filter(F.length("s") < least).select(*group, F.col("s").alias("x"), F.expr("substring(s, CAST(ceil(length(s) / 2) AS INT), 1)").alias("c"))
+    have = s.select(*group, "s", F.explode(F.array_distinct(F.split("s", ""))).alias("c"))
+    short = few.join(have, [*group, "c"]).filter("s <> x AND length(s) >= length(x)").select(*ordered)
+    both = pairs.unionByName(short).distinct().withColumn("n", shared_run_length("a", "b"))
+    return both.filter(F.col("n") >= share * F.least(F.length("a"), F.length("b"))).select(*group, "a", "b")
+
+
+def same_stems(drafts: DataFrame, group: list[str], order: str = "draft_ord", gram: int = 8, share: float = SAME_TEXT) -> DataFrame:
+    """(group, a, b): pairs a < b of drafts whose stems are equal or near, white space and case ignored; empty stems have
+    none. Near stems are found once for each text; drafts of one text all pair here, so use conflicts() to accept."""
+    d = drafts.select(*group, F.col(order).alias("o"), squeeze(F.lower("stem")).alias("s")).filter("s <> ''")
+    texts = near_stems(d, group, gram, share)
+    own = d.select(*group, "s").distinct().select(*group, F.col("s").alias("a"), F.col("s").alias("b"))
+    texts = texts.unionByName(own)
+    both = texts.join(d.withColumnsRenamed({"s": "a", "o": "x"}), [*group, "a"]).join(d.withColumnsRenamed({"s": "b", "o": "y"}), [*group, "b"]).filter("x <> y")
+    return both.select(*group, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def same_vectors(drafts: DataFrame, group: list[str], order: str = "draft_ord", least: float = SAME_VECTOR) -> DataFrame:
@@ -199,40 +216,61 @@ def same_vectors(drafts: DataFrame, group: list[str], order: str = "draft_ord",
     return both.filter(cosine(F.col("va"), F.col("vb")) >= least).select(*group, "a", "b")
 
 
-def conflicts(drafts: DataFrame, group: list[str], order: str = "draft_ord") -> DataFrame:
-    """(group, a, b): a < b and both cannot be kept: one slot, one atom, near stems or near vectors."""
-    out = same_stems(drafts, group, order)
-    for c in ("coverage_slot_id", "evidence_atom_id"):
-        if c in drafts.columns:
-            k = drafts.filter(F.coalesce(c, F.lit("")) != "").select(*group, c, F.col(order).alias("a"))
-            out = out.unionByName(k.join(k.withColumnRenamed("a", "b"), [*group, c]).filter("a < b").select(*group, "a", "b"))
+def conflicts(drafts: DataFrame, group: list[str], order: str = "draft_ord") -> tuple[DataFrame, DataFrame]:
+    """(members, links) of what cannot be kept together: members (group, o, c) say that draft o is of class c, links
+    (group, c, d) that a draft of c and another one of d conflict. A slot, an atom and a stem are classes that are linked
+    to themselves, so a thousand drafts of one slot are a thousand rows; near stems link their classes, and drafts of
+    near vectors are classes of their own."""
+    said = drafts.select(*group, F.col(order).alias("o"), squeeze(F.lower("stem")).alias("s")).filter("s <> ''")
+    stem = lambda c: F.concat(F.lit("stem "), F.col(c))
+    members = [said.select(*group, "o", stem("s").alias("c"))]
+    for name in ("coverage_slot_id", "evidence_atom_id"):
+        if name in drafts.columns:
+            members.append(drafts.filter(F.coalesce(name, F.lit("")) != "").select(*group, F.col(order).alias("o"), F.concat(F.lit(f"{name} "), F.col(name)).alias("c")))
+    every = reduce(DataFrame.unionByName, members)
+    links = [every.select(*group, "c", F.col("c").alias("d")).distinct()]
+    near = near_stems(said, group).select(*group, stem("a").alias("c"), stem("b").alias("d"))
+    links += [near, near.select(*group, F.col("d").alias("c"), F.col("c").alias("d"))]
     if "vector" in drafts.columns:
-        out = out.unionByName(same_vectors(drafts, group, order))
-    return out.distinct()
+        own, more = _as_classes(same_vectors(drafts, group, order), group)
+        every, links = every.unionByName(own), [*links, more]
+    return every, reduce(DataFrame.unionByName, links)
+
+
+def _as_classes(pairs: DataFrame, group: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(members, links) of pairs of drafts."""
+    name = lambda c: F.concat(F.lit("draft "), F.col(c).cast("string"))
+    both = pairs.select(*group, "a", "b").unionByName(pairs.select(*group, F.col("b").alias("a"), F.col("a").alias("b")))
+    return both.select(*group, F.col("a").alias("o"), name("a").alias("c")).distinct(), both.select(*group, name("a").alias("c"), name("b").alias("d")).distinct()
 
 
-def accept_first(rows: DataFrame, pairs: DataFrame, group: list[str], order: str = "draft_ord") -> DataFrame:
-    """rows with accepted: a row is kept unless an earlier kept row of its group conflicts with it.
+def accept_first(rows: DataFrame, found: DataFrame | tuple[DataFrame, DataFrame], group: list[str], order: str = "draft_ord") -> DataFrame:
+    """rows with accepted: a row is kept unless an earlier kept row of its group conflicts with it. found: pairs (group, a, b)
+    that conflict, or what conflicts() returns.
 
     That is the lexicographically first maximal independent set, found in rounds (Blelloch, Fineman, Shun, SPAA 2012): of the
-    undecided, those without an undecided earlier neighbour are kept, and their later neighbours go. Rounds end when none
-    is undecided; each is cut by a checkpoint.
+    undecided, those without an undecided earlier neighbour are kept, and their later neighbours go. A class knows its
+    first undecided draft, so a round looks at members and links, never at pairs; only what is undecided is carried on,
+    and what a round drops is written once. Rounds end when none is undecided.
     """
-    state = cut(rows.select(*group, F.col(order).alias("o")).withColumn("st", F.lit(0)))
-    edges = cut(pairs.select(*group, "a", "b"))
-    while not edges.isEmpty():
-        heads = edges.select(*group, F.col("b").alias("o")).distinct().withColumn("blocked", F.lit(True))
-        touched = edges.select(*group, F.col("a").alias("o")).unionByName(edges.select(*group, F.col("b").alias("o"))).distinct()
-        kept = touched.join(heads, [*group, "o"], "left_anti")
-        gone = edges.join(kept.withColumnRenamed("o", "a"), [*group, "a"], "left_semi").select(*group, F.col("b").alias("o")).distinct().withColumn("gone", F.lit(1))
-        gone = cut(gone)
-        state = cut(state.join(gone, [*group, "o"], "left").withColumn("st", F.when(F.col("gone") == 1, 2).otherwise(F.col("st"))).drop("gone"))
-        out = gone.drop("gone")
-        kept_a = kept.withColumnRenamed("o", "a")
-        edges = edges.join(out.withColumnRenamed("o", "a"), [*group, "a"], "left_anti").join(out.withColumnRenamed("o", "b"), [*group, "b"], "left_anti").join(kept_a, [*group, "a"], "left_anti")
-        edges = cut(edges)
-    final = state.select(*group, F.col("o").alias(order), (F.col("st") != 2).alias("accepted"))
-    return rows.join(final, [*group, order])
+    members, links = found if isinstance(found, tuple) else _as_classes(found, group)
+    members, links, gone = cut(members.select(*group, "o", "c").distinct()), cut(links.select(*group, "c", "d").distinct()), []
+    while not members.isEmpty():
+        least = members.groupBy(*group, F.col("c").alias("d")).agg(F.min("o").alias("first"))
+        first = links.join(least, [*group, "d"]).groupBy(*group, "c").agg(F.min("first").alias("first"))
+        blocked = members.join(first, [*group, "c"], "left").groupBy(*group, "o").agg(F.max(F.coalesce(F.col("first") < F.col("o"), F.lit(False))).alias("blocked"))
+        kept = blocked.filter("NOT blocked").select(*group, F.col("o").alias("k"))
+        hit = members.withColumnRenamed("o", "k").join(kept, [*group, "k"], "left_semi").join(links, [*group, "c"]).select(*group, F.col("d").alias("c"), "k")
+        hit = hit.groupBy(*group, "c").agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
+        # A kept draft that hits its own class is not hit itself; another one of the class would have kept it back.
+        out = cut(members.join(hit, [*group, "c"]).filter("o <> lo OR o <> hi").select(*group, "o").distinct().join(kept.withColumnRenamed("k", "o"), [*group, "o"], "left_anti"))
+        gone.append(out)
+        decided = out.unionByName(kept.select(*group, F.col("k").alias("o")))
+        members = cut(members.join(decided, [*group, "o"], "left_anti"))
+    if not gone:
+        return rows.withColumn("accepted", F.lit(True))
+    away = reduce(DataFrame.unionByName, gone).select(*group, F.col("o").alias(order), F.lit(False).alias("accepted"))
+    return rows.join(away, [*group, order], "left").withColumn("accepted", F.coalesce("accepted", F.lit(True)))
 
 
 def full_report(drafts: DataFrame, chunks: DataFrame, group: list[str], slots: DataFrame | None = None, context: DataFrame | None = None) -> DataFrame:

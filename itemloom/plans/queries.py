@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers
-from ..functions.text import PLAIN_RULES, clip, normalise_page, plain_markdown, squeeze, trimmed
+from ..functions.text import clip, normalise_page, plain_markdown, squeeze, trimmed
 from ..operators import chunking, contract, decode, gates, graph, provenance, rank, report
 from ..sources import catalog
 from ..streaming import calls
-from ..tables import scratch
+from ..tables import cut, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -65,14 +65,20 @@ def native_text_pages(table):
     return chunking.native_text(_pages(table))
 
 
-def _plain_sql(c: str) -> str:
-    for pattern, to in PLAIN_RULES:
-        lit = pattern.replace("'", "''")
-        c = f"regexp_replace({c}, '{lit}', '{to.replace("$", chr(92)).replace(chr(39), chr(39) * 2)}', 'g')"
-    return f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+# Each step of cleaning a page, restated: breaks, dropped elements, pictures, block ends, cells, tags, Markdown, entities, space.
+_PLAIN_SQL = r"""WITH a AS (SELECT page_id, regexp_replace(replace(replace(html, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '(?is)<script\b[^>]*>.*?</script\s*>', '', 'g') AS t FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '(?is)<style\b[^>]*>.*?</style\s*>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '(?i)<img\b[^>]*?\balt\s*=\s*["'']([^"'']*)["''][^>]*>', '\1', 'g') AS t FROM a),
+c AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?i)<br\s*/?>|</(p|div|tr|li|h[1-6]|table|ul|ol|section|article|title)\s*>', chr(10), 'g'), '(?i)</t[dh]\s*>', ' ', 'g') AS t FROM b),
+d AS (SELECT page_id, regexp_replace(regexp_replace(t, '<[^>]*>', '', 'g'), '!?\[([^\]]*)\]\([^)]*\)', '\1', 'g') AS t FROM c),
+e AS (SELECT page_id, list_transform(string_split(t, chr(10)), lambda x: CASE WHEN regexp_full_match(x, '[ \t]*\|?[ \t]*:?-{2,}:?[ \t]*(\|[ \t]*:?-{2,}:?[ \t]*)*\|?[ \t]*') OR regexp_matches(x, '^[ \t]*(```|~~~)') THEN ''
+        ELSE regexp_replace(regexp_replace(regexp_replace(x, '^[ \t]{0,3}#{1,6}[ \t]+', ''), '^[ \t]*(>[ \t]?)+', ''), '^[ \t]*[-*+•][ \t]+', '') END) AS l FROM d),
+f AS (SELECT page_id, list_transform(l, lambda x: regexp_replace(replace(replace(replace(x, '**', ''), '__', ''), '`', ''), '[ \t]*\|[ \t]*', ' ', 'g')) AS l FROM e),
+g AS (SELECT page_id, list_transform(l, lambda x: replace(replace(replace(replace(replace(replace(replace(replace(x, '&nbsp;', ' '), chr(160), ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&apos;', chr(39)), '&amp;', '&')) AS l FROM f),
+h AS (SELECT page_id, array_to_string(list_transform(l, lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'), ' ')), chr(10)) AS t FROM g)
+SELECT page_id, regexp_replace(regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM h"""
 
 
-@query(f"SELECT page_id, {_plain_sql('html')} AS text FROM pages")
+@query(_PLAIN_SQL)
 def page_clean_text(table):
     return table("pages").select("page_id", plain_markdown(F.col("html")).alias("text"))
 
@@ -188,8 +194,11 @@ def accept_first_wins(table):
     """Orders as drafts of a customer's run; two within 200 days conflict."""
     n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
     rows = table("orders").select("o_custkey", "o_orderkey", "o_orderdate", n.alias("draft_ord"))
-    left = rows.select("o_custkey", F.col("draft_ord").alias("a"), F.col("o_orderdate").alias("da"))
-    pairs = left.join(left.withColumnsRenamed({"a": "b", "da": "db"}), "o_custkey").filter("a < b AND db < da + INTERVAL 200 DAYS").select("o_custkey", "a", "b")
+    # Orders of one span of 200 days or of the next one meet.
+    span = F.floor(F.datediff("o_orderdate", F.lit("1970-01-01")) / 200)
+    left = rows.select("o_custkey", F.col("draft_ord").alias("a"), F.col("o_orderdate").alias("da"), F.explode(F.array(span, span + 1)).alias("span"))
+    right = rows.select("o_custkey", F.col("draft_ord").alias("b"), F.col("o_orderdate").alias("db"), span.alias("span"))
+    pairs = left.join(right, ["o_custkey", "span"]).filter("a < b AND db < da + INTERVAL 200 DAYS").select("o_custkey", "a", "b")
     return gates.accept_first(rows, pairs, ["o_custkey"]).select("o_custkey", "o_orderkey", "accepted")
 
 
@@ -217,7 +226,7 @@ def _graph(table) -> tuple[DataFrame, DataFrame]:
     lines = table("lineitem").join(table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     key = F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
     rows = lines.groupBy(F.col("o_custkey").alias("doc_id"), F.col("l_orderkey").alias("chunk_ord"), F.col("l_orderkey").cast("string").alias("chunk_id"), F.lit(1).alias("page"), key.alias("key")).agg(F.min(F.col("l_linenumber") * F.lit(10**10) + F.col("l_partkey")).alias("pos"))
-    seen = rows.withColumn("title", F.col("key"))
+    seen = cut(rows.withColumn("title", F.col("key")))
     return seen, graph.concepts(seen)
 
 

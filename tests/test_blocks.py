@@ -214,3 +214,33 @@ def test_sources_meet_on_one_sheet(spark):
     assert key.filter("source = 'other' AND correct_choice IS NULL").count() == 9
     both = report.united(ours.drop("correct"), other).collect()
     assert len(both) == 39 and all(r.gates == [] and r.skill == "" and r.correct is None and r.category == min((r.i - 1) // 5, 2) for r in both)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_acceptance_over_classes_as_the_scan(spark, seed):
+    """Slots, atoms, equal and near stems and near vectors at once, many drafts in one class."""
+    from itemloom.operators import gates
+
+    rng, rows = random.Random(seed), []
+    base = ["what is the mass of a falling body here", "which of these planets is the largest one", "ab", "abc", ""]
+    for g in range(4):
+        for i in range(30):
+            stem = rng.choice(base)
+            stem = stem + "x" if rng.random() < 0.3 else stem if rng.random() < 0.5 else f"{stem} {rng.getrandbits(30)} {rng.getrandbits(40)}"
+            rows.append((g, i, stem, rng.choice(["", None, *[f"S{k}" for k in range(9)]]), rng.choice(["", *[f"A{k}" for k in range(12)]]), [rng.choice([-1.0, 1.0]), rng.random() * 3, rng.choice([0.0, 2.0])]))
+    df = spark.createDataFrame(rows, "run_id int, draft_ord int, stem string, coverage_slot_id string, evidence_atom_id string, vector array<double>")
+
+    def near(a, b):
+        a, b = sorted(("".join(a.split()).lower(), "".join(b.split()).lower()), key=len)
+        r = -(-len(a) * 85 // 100)
+        return bool(a) and any(a[i : i + r] in b for i in range(len(a) - r + 1))
+
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+    clash = lambda a, b: near(a[2], b[2]) or (a[3] and a[3] == b[3]) or (a[4] and a[4] == b[4]) or cosine(a[5], b[5]) >= 0.9
+    want, kept = {}, []
+    for r in sorted(rows, key=lambda r: r[:2]):
+        want[r[:2]] = not any(k[0] == r[0] and clash(k, r) for k in kept)
+        if want[r[:2]]:
+            kept.append(r)
+    got = {(r.run_id, r.draft_ord): r.accepted for r in gates.accept_first(df, gates.conflicts(df, ["run_id"]), ["run_id"]).collect()}
+    assert got == want and 4 < len(kept) < 60
