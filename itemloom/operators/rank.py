@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import cosine
+from ..tables import cut
 
 
 def by_relevance(chunks: DataFrame, queries: DataFrame, key: str = "lesson_id") -> DataFrame:
@@ -52,8 +53,12 @@ def sign_tables(n: int, least: float, miss: float = 1e-3) -> tuple[int, int]:
 def near_vectors_blocked(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", least: float = 0.9, seed: int = 5) -> DataFrame:
     """(a, b, similarity) across a corpus: pairs share the signs of some random projections in one of several tables and
     are then checked exactly, so there are no false pairs; a pair at least is missed in one of 1,000 cases, at any
-    size. All components count; null vectors take no part, null or missing components count as zero in keys only."""
-    unit = rows.filter(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    size. Equal vectors are one class, known by its least id: only classes meet in the tables, so thousands of copies of a
+    vector cost what one does, and all their pairs are found. All components count; null vectors take no part, null or
+    missing components count as zero in keys only."""
+    every = rows.filter(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    classes = cut(every.groupBy("v").agg(F.min("id").alias("c"), F.count("*").alias("n")))
+    unit = classes.select(F.col("c").alias("id"), "v")
     n, dims = unit.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
     tables, bits = sign_tables(n, least)
     planes = np.random.default_rng(seed).standard_normal((max(dims, 1), tables * bits))
@@ -70,4 +75,12 @@ def near_vectors_blocked(rows: DataFrame, key: str = "vec_id", vector: str = "em
     keys = unit.select("id", F.posexplode(keys_of("v")).alias("t", "k"))
     pairs = keys.select("t", "k", F.col("id").alias("a")).join(keys.select("t", "k", F.col("id").alias("b")), ["t", "k"]).filter("a < b").select("a", "b").distinct()
     both = pairs.join(unit.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(unit.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
-    return both.select("a", "b", cosine(F.col("va"), F.col("vb")).alias("similarity")).filter(F.col("similarity") >= least)
+    links = both.select("a", "b", cosine(F.col("va"), F.col("vb")).alias("similarity")).filter(F.col("similarity") >= least)
+    # Members of classes; only classes of several have pairs of their own.
+    members = cut(every.join(classes, "v").select("id", "c", "n", "v"))
+    of = lambda x: members.select(F.col("c").alias(x), F.col("id").alias(f"{x}_id"))
+    across = links.join(of("a"), "a").join(of("b"), "b").select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), "similarity")
+    copies = members.filter("n > 1")
+    inside = copies.select("c", F.col("id").alias("a"), "v").join(copies.select("c", F.col("id").alias("b")), "c").filter("a < b")
+    inside = inside.select("a", "b", cosine(F.col("v"), F.col("v")).alias("similarity")).filter(F.col("similarity") >= least)
+    return across.unionByName(inside)

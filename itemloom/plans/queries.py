@@ -39,7 +39,26 @@ def _pages(table) -> DataFrame:
     return table("documents").select("doc_id", F.lit(1).alias("page"), "text")
 
 
-@query()
+def _cut_sql(mark: str) -> str:
+    """Where a chunk of w, the last quarter of its reach, ends by its last mark; 0 if it has none behind its first place."""
+    n, back = len(mark), f"strpos(reverse(w), '{mark[::-1]}')" if mark.strip() else f"strpos(reverse(w), {' || '.join(['chr(10)'] * len(mark))})"
+    return f"CASE WHEN {back} > 0 AND length(w) - {back} + 1 > 1 THEN length(w) - {back} + 1 ELSE 0 END" if n else "0"
+
+
+_MARKS = ["\n\n", "\n", ".", "。", "!", "?", ";", ":"]
+_CHUNKS = rf"""WITH RECURSIVE p AS (SELECT doc_id, regexp_replace(regexp_replace(replace(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(160), ' '), '\n{{3,}}', chr(10) || chr(10), 'g'), '[ \t]+', ' ', 'g') AS t FROM documents),
+n AS (SELECT doc_id, t, length(t) AS n FROM p WHERE length(regexp_replace(t, '\s+', '', 'g')) > 0),
+r AS (SELECT doc_id, 0 AS k, CAST(0 AS BIGINT) AS start_off, CAST(NULL AS BIGINT) AS end_off, t, n FROM n
+      UNION ALL
+      SELECT doc_id, k + 1, CASE WHEN stop - 150 > start_off THEN stop - 150 ELSE stop END, stop, t, n FROM (
+        SELECT doc_id, k, start_off, t, n, CASE WHEN hard = n THEN hard ELSE coalesce(low + nullif({_cut_sql(_MARKS[0])}, 0), {', '.join(f'low + nullif({_cut_sql(m)}, 0)' for m in _MARKS[1:])}, hard) END AS stop FROM (
+          SELECT *, least(n, start_off + 1200) AS hard, start_off + 900 AS low, substr(t, CAST(start_off + 901 AS BIGINT), 300) AS w FROM r WHERE end_off IS NULL OR end_off < n))),
+c AS (SELECT a.doc_id, a.start_off, b.end_off, regexp_replace(substr(a.t, a.start_off + 1, b.end_off - a.start_off), '^\s+|\s+$', '', 'g') AS body FROM r a JOIN r b ON b.doc_id = a.doc_id AND b.k = a.k + 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start_off) - 1 AS chunk_ord FROM c WHERE body <> '')
+SELECT doc_id, CAST(chunk_ord AS INTEGER) AS chunk_ord, 'p1-c' || chunk_ord AS chunk_id, CAST(start_off AS INTEGER) AS start_off, CAST(end_off AS INTEGER) AS end_off, CAST(length(body) AS INTEGER) AS n_chars, 'core' AS source_role FROM o"""
+
+
+@query(_CHUNKS)
 def chunk_corpus(table):
     out = chunking.chunk_pages(_pages(table))
     return out.select("doc_id", "chunk_ord", "chunk_id", "start_off", "end_off", F.length("text").alias("n_chars"), "source_role")

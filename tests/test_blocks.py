@@ -244,3 +244,23 @@ def test_acceptance_over_classes_as_the_scan(spark, seed):
             kept.append(r)
     got = {(r.run_id, r.draft_ord): r.accepted for r in gates.accept_first(df, gates.conflicts(df, ["run_id"]), ["run_id"]).collect()}
     assert got == want and 4 < len(kept) < 60
+
+
+def test_near_vectors_around_the_limit(spark):
+    """Pairs planted at cosines of 0.88 to 0.92 and copies: none below the limit, all copies, next to all at or above it."""
+    import numpy as np
+    from itemloom.operators import rank
+
+    rng, rows = np.random.default_rng(4), []
+    for i in range(0, 800, 2):
+        x, y = rng.standard_normal((2, 24))
+        x /= np.linalg.norm(x)
+        y -= (y @ x) * x
+        c = rng.uniform(0.88, 0.92)
+        rows += [(i, x.tolist()), (i + 1, (c * x + (1 - c * c) ** 0.5 * y / np.linalg.norm(y)).tolist())]
+    rows += [(1000 + k, rows[7][1]) for k in range(20)] + [(2000, None), (2001, [0.0] * 24)]
+    v = {i: np.array(x) for i, x in rows if x and any(x)}
+    want = {(a, b) for a in v for b in v if a < b and v[a] @ v[b] / np.sqrt((v[a] @ v[a]) * (v[b] @ v[b])) >= 0.9}
+    got = [(r.a, r.b) for r in rank.near_vectors_blocked(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()]
+    assert len(got) == len(set(got)) and set(got) <= want and len(got) >= 0.99 * len(want)
+    assert {(a, b) for a, b in want if a in (7, *range(1000, 1020)) and b >= 1000} <= set(got)
