@@ -176,6 +176,21 @@ def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP12_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+e AS (SELECT *, length(h) // 2 AS n FROM d),
+w AS (SELECT r, i, md5(substr(h, 2 * i + 1, 800)) AS m FROM e, unnest(range(n - 399)) u(i) WHERE n >= 400),
+c AS (SELECT m FROM w GROUP BY m HAVING count(*) > 1),
+s AS (SELECT r, i FROM w WHERE m IN (SELECT m FROM c)),
+g AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 400 THEN 0 ELSE 1 END AS fresh FROM s),
+k AS (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS run FROM g),
+p AS (SELECT r, min(i) AS a, max(i) + 400 AS b FROM k GROUP BY r, run),
+l AS (SELECT r, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b, count(*) AS spans, CAST(sum(b - a) AS BIGINT) AS gone FROM p GROUP BY r),
+o AS (SELECT doc_id, n, h, coalesce(spans, 0) AS spans, coalesce(gone, 0) AS gone, list_prepend(0, coalesce(b, [])) AS f, list_append(coalesce(a, []), n) AS t FROM e LEFT JOIN l ON l.r = e.r)
+SELECT doc_id, n AS n_bytes, gone AS n_removed, spans AS n_spans, sha256(unhex(array_to_string(list_transform(range(1, len(f) + 1), lambda j: substr(h, 2 * f[j] + 1, 2 * (t[j] - f[j]))), ''))) AS kept_sha256 FROM o
+"""
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -214,5 +229,6 @@ SQL = {
     "op8_exact_topk": OP8_SQL,
     "op10_chat_format": OP10_SQL,
     "op11_phrase_collocations": OP11_SQL,
+    "op12_suffix_dedup": OP12_SQL,
     "op13_hard_negatives": OP13_SQL,
 }

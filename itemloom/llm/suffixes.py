@@ -179,7 +179,7 @@ def _candidates(size: int, ends: np.ndarray, skip: np.ndarray, samples: np.ndarr
     mark = np.zeros(size + 1, np.int32)
     np.add.at(mark, np.maximum(samples - period + 1, 0), 1)
     np.add.at(mark, samples + 1, -1)
-    return _within(ends, np.flatnonzero(np.cumsum(mark[:-1]) > 0), length, skip)
+    return _within(ends, np.flatnonzero(np.cumsum(mark[:-1], dtype=np.int32) > 0), length, skip)
 
 
 def repeated_bytes(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, bucket: int = BUCKET, cover: np.ndarray = COVER, period: int = PERIOD) -> DataFrame:
@@ -260,7 +260,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
                 full = np.flatnonzero(same & (ends - starts >= length))
                 np.add.at(mark, starts[full], 1)
                 np.add.at(mark, ends[full], -1)
-                gone = np.cumsum(mark[:-1]) > 0
+                gone = np.cumsum(mark[:-1], dtype=np.int32) > 0
                 out = []
                 for i, lo, hi in zip(r["ids"], starts.tolist(), ends.tolist(), strict=True):
                     g = gone[lo:hi]
