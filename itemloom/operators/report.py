@@ -134,13 +134,13 @@ def ceiling(rows: DataFrame, budgets: DataFrame, by: str = "run_id") -> DataFram
     return budgets.withColumn("budget", b).join(n, by, "left").select(by, "budget", F.coalesce("accepted", F.lit(0)).alias("accepted"), F.coalesce("visits", F.lit(0)).alias("visits"), (F.coalesce("accepted", F.lit(0)) < F.col("budget")).alias("below_budget"))
 
 
-def blind_sheet(*sources: DataFrame, seed: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(sheet, key) of the union of questions (source, ordinal, stem, choices, correct) of several sources; what a source
-    lacks is null. Ids follow the MD5 of seed, source and ordinal, whatever the partitions; the sheet has no source and no
+def blind_sheet(questions: DataFrame, seed: int = 1, *others: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sheet, key) of the union of questions (source, ordinal, stem, choices, correct) with those of other sources; what a
+    source lacks is null. Ids follow the MD5 of seed, source and ordinal, whatever the partitions; the sheet has no source and no
     answer (R7, U1). Rows are dealt into sampled ranges of it, which are numbered side by side from where the ranges before
     end, so no range grows with the others; ids are as wide as the count asks for."""
     names = ["source", "ordinal", "stem", "choices", "correct"]
-    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [s.select(*[c for c in names if c in s.columns]) for s in sources]).select(*names)
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [s.select(*[c for c in names if c in s.columns]) for s in (questions, *others)]).select(*names)
     h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce("source", F.lit("")), F.col("ordinal").cast("string")))
     rows = cut(rows.withColumn("h", h).repartitionByRange("h", "source", "ordinal").withColumn("part", F.spark_partition_id()))
     rows = numbered(rows, [], "part", ["h", "source", "ordinal"], "nth")

@@ -207,8 +207,8 @@ def test_stream_survives_a_repeated_batch_and_a_restart(spark, tmp_path):
 def test_sources_meet_on_one_sheet(spark):
     ours = spark.createDataFrame([("ours", i, f"s{i}", ["a", "b", "c", "d"], "A") for i in range(30)], "source string, ordinal int, stem string, choices array<string>, correct string")
     other = spark.createDataFrame([("other", i, f"t{i}", ["a", "b", "c", "d"]) for i in range(9)], "source string, ordinal int, stem string, choices array<string>")
-    sheet, key = report.blind_sheet(ours.repartition(5), other, seed=3)
-    again, _ = report.blind_sheet(ours, other.repartition(2), seed=3)
+    sheet, key = report.blind_sheet(ours.repartition(5), 3, other)
+    again, _ = report.blind_sheet(ours, 3, other.repartition(2))
     rows = sorted(map(tuple, sheet.collect()))
     assert rows == sorted(map(tuple, again.collect())) and [r[0] for r in rows] == [f"Q{i:02}" for i in range(1, 40)]
     assert key.filter("source = 'other' AND correct_choice IS NULL").count() == 9
