@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, named, without
+from .common import BATCH_BYTES, cut, named, small_batches, without
 
 CAPACITY = 4096
 END_ID = 1
@@ -107,7 +107,10 @@ def pack(pieces: DataFrame, length: str = "length", order: tuple[str, ...] = ("d
     keyed = pieces.withColumn(k, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
     counts = cut(keyed.groupBy(length, k).agg(F.count("*").alias(r)))
     histogram = {int(x[0]): x[1] for x in counts.groupBy(length).agg(F.sum(r)).collect() if x[0] and 0 < x[0] <= capacity}
-    rows = spark.createDataFrame(plan(histogram, capacity), PLAN)
+    # By Arrow, as rows of Python objects would start Python workers on the executors.
+    schema = pa.schema([(c, pa.int32() if t == "int" else pa.int64()) for c, t in (x.split() for x in PLAN.split(", "))])
+    planned = list(zip(*plan(histogram, capacity), strict=True)) or [()] * len(schema)
+    rows = spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(planned, schema, strict=True)], schema=schema))
     before = counts.withColumn(o, F.sum(r).over(Window.partitionBy(length).orderBy(k)) - F.col(r)).drop(r)
     (l2, k2) = named(keyed, "pk_length2", "pk_bucket2")
     before = before.withColumnsRenamed({length: l2, k: k2})
@@ -147,10 +150,13 @@ def cut_documents(docs: DataFrame, path: str, drops_space: bool, capacity: int =
                 arrays += [pa.array(map(bytes, parts), pa.binary())] if keep_ids else []
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(arrays)])
                 at += len(ends)
+            pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES + (", ids binary" if keep_ids else ""))
 
 
 def pack_documents(docs: DataFrame, path: str, drops_space: bool = True, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Whole documents as packed pieces. Repeated rows are packed as often as they occur; an empty table gives none."""
-    return pack(cut(cut_documents(docs, path, drops_space, capacity, end_id)), capacity=capacity)
+    with small_batches(docs.sparkSession, 2 * BATCH_BYTES):
+        pieces = cut(cut_documents(docs, path, drops_space, capacity, end_id))
+    return pack(pieces, capacity=capacity)
