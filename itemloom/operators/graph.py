@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,33 +51,60 @@ def mentions(chunks: DataFrame, labelled: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "chunk_ord", "chunk_id", "page", "key").agg(F.min(F.struct("pos", "title")).alias("m")).select("doc_id", "chunk_ord", "chunk_id", "page", "key", "m.title", "m.pos")
 
 
+def concept_name(ord_: Column) -> Column:
+    """C001 on, of a number from 0."""
+    n = (ord_ + 1).cast("string")
+    return F.concat(F.lit("C"), F.when(ord_ < 999, F.lpad(n, 3, "0")).otherwise(n))
+
+
+def placed(seen: DataFrame, parts: int | None = None) -> DataFrame:
+    """seen with concept_ord, a concept's number by first sight in its document (W4), and its title of then. Rows are dealt
+    by document once, into parts partitions; concepts and edges of the result need no other shuffle."""
+    rows = seen.repartition("doc_id") if parts is None else seen.repartition(parts, "doc_id")
+    first = F.min(F.struct("chunk_ord", "pos", "title")).over(Window.partitionBy("doc_id", "key"))
+    rows = rows.withColumn("first", first)
+    n = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("first.chunk_ord", "first.pos", "key"))
+    return rows.withColumn("concept_ord", n - 1).withColumn("title", F.col("first.title")).drop("first")
+
+
+def concepts_of(at: DataFrame) -> DataFrame:
+    """Nodes of placed() rows (A8, W4): doc_id, concept_ord, concept_id, key, title, chunk_ids, pages."""
+    nodes = at.groupBy("doc_id", "concept_ord", "key", "title").agg(_ordered("chunk_id").alias("chunk_ids"), _ordered("page").alias("pages"))
+    return nodes.select("doc_id", "concept_ord", concept_name(F.col("concept_ord")).alias("concept_id"), "key", "title", "chunk_ids", "pages")
+
+
 def concepts(seen: DataFrame) -> DataFrame:
     """Nodes (A8, W4): doc_id, concept_ord, concept_id, key, title, chunk_ids, pages; numbered by first sight."""
-    nodes = seen.groupBy("doc_id", "key").agg(F.min(F.struct("chunk_ord", "pos", "title")).alias("first"), _ordered("chunk_id").alias("chunk_ids"), _ordered("page").alias("pages"))
-    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("first.chunk_ord", "first.pos"))
-    nodes = nodes.withColumn("concept_ord", n - 1)
-    return nodes.select("doc_id", "concept_ord", F.format_string("C%03d", F.col("concept_ord") + 1).alias("concept_id"), "key", F.col("first.title").alias("title"), "chunk_ids", "pages")
+    return concepts_of(placed(seen))
+
+
+def edges_of(at: DataFrame) -> DataFrame:
+    """Edges of placed() rows (A9, W3): doc_id, edge_ord, kind, src, dst, evidence_chunk_ids. co_occurs goes from the earlier
+    concept of a chunk to the later (G8); follows joins the last concept of a chunk to the first of the next that has any (G9)."""
+    chunk = at.groupBy("doc_id", "chunk_ord", "chunk_id").agg(F.sort_array(F.collect_list(F.struct("pos", F.col("concept_ord").alias("c")))).alias("l"))
+    chunk = chunk.withColumn("before", F.lag(F.element_at("l", -1)["c"]).over(Window.partitionBy("doc_id").orderBy("chunk_ord")))
+    each = chunk.select("doc_id", "chunk_ord", "chunk_id", "before", "l", F.posexplode("l").alias("i", "x"))
+    # The first concept of a chunk also meets the last one of the chunk before.
+    link = lambda follows, src, dst, pos, rpos: F.struct(F.lit(follows).alias("follows"), src.alias("src"), dst.alias("dst"), pos.cast("long").alias("pos"), rpos.cast("long").alias("rpos"))
+    later = F.transform(F.slice("l", F.col("i") + 2, F.size("l")), lambda y: link(False, F.col("x.c"), y["c"], F.col("x.pos"), y["pos"]))
+    follows = F.array(link(True, F.col("before"), F.col("x.c"), F.lit(1 << 20), F.lit(0)))
+    its = F.when((F.col("i") == 0) & (F.col("before") != F.col("x.c")), F.concat(later, follows)).otherwise(later)
+    both = each.select("doc_id", "chunk_ord", "chunk_id", F.explode(its).alias("e")).select("doc_id", "chunk_ord", "chunk_id", "e.*").filter("follows OR pos < rpos")
+    out = both.groupBy("doc_id", "follows", "src", "dst").agg(F.min(F.struct("chunk_ord", "pos", "rpos")).alias("first"), _ordered("chunk_id").alias("evidence_chunk_ids"))
+    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("first")) - 1
+    kind = F.when(F.col("follows"), "follows").otherwise("co_occurs")
+    return out.select("doc_id", n.alias("edge_ord"), kind.alias("kind"), concept_name(F.col("src")).alias("src"), concept_name(F.col("dst")).alias("dst"), "evidence_chunk_ids")
 
 
 def edges(seen: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges (A9, W3): doc_id, edge_ord, kind, src, dst, evidence_chunk_ids. co_occurs goes from the earlier concept of a
-    chunk to the later (G8); follows joins the last concept of a chunk to the first of the next that has any (G9)."""
-    at = seen.join(nodes.select("doc_id", "key", "concept_id"), ["doc_id", "key"]).select("doc_id", "chunk_ord", "chunk_id", "concept_id", "pos")
-    right = at.select("doc_id", "chunk_ord", F.col("concept_id").alias("dst"), F.col("pos").alias("rpos"))
-    both = at.join(right, ["doc_id", "chunk_ord"]).filter("pos < rpos").select("doc_id", "chunk_ord", "chunk_id", F.lit("co_occurs").alias("kind"), F.col("concept_id").alias("src"), "dst", "pos", "rpos")
-    ends = at.groupBy("doc_id", "chunk_ord", "chunk_id").agg(F.min_by("concept_id", "pos").alias("dst"), F.max_by("concept_id", "pos").alias("last"))
-    ends = ends.withColumn("src", F.lag("last").over(Window.partitionBy("doc_id").orderBy("chunk_ord"))).filter("src <> dst")
-    follows = ends.select("doc_id", "chunk_ord", "chunk_id", F.lit("follows").alias("kind"), "src", "dst", F.lit(1 << 20).alias("pos"), F.lit(0).alias("rpos"))
-    out = both.unionByName(follows).groupBy("doc_id", "kind", "src", "dst").agg(F.min(F.struct("chunk_ord", "pos", "rpos")).alias("first"), _ordered("chunk_id").alias("evidence_chunk_ids"))
-    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("first")) - 1
-    return out.select("doc_id", n.alias("edge_ord"), "kind", "src", "dst", "evidence_chunk_ids")
+    """Edges, as edges_of(), of mentions and their nodes."""
+    return edges_of(seen.join(nodes.select("doc_id", "key", "concept_ord"), ["doc_id", "key"]).repartition("doc_id"))
 
 
 def evidence_graph(chunks: DataFrame, labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(concepts, edges) (K1)."""
-    seen = mentions(chunks, labelled)
-    nodes = concepts(seen)
-    return nodes, edges(seen, nodes)
+    at = placed(mentions(chunks, labelled))
+    return concepts_of(at), edges_of(at)
 
 
 def neighbourhood(start: DataFrame, links: DataFrame, hops: int = 2) -> DataFrame:
@@ -104,28 +133,36 @@ def recover_orphans(nodes: DataFrame, links: DataFrame, claimed: DataFrame) -> D
     its first neighbour that has a lesson, and pointers are doubled until they end at a claimed concept. What is left
     takes the last lesson before it, or else the first behind. Rounds are checkpointed; no document meets in one row.
     """
-    key = ["doc_id", "concept_id"]
-    every = cut(nodes.select("doc_id", "concept_ord", "concept_id").join(claimed, key, "left"))
-    both = links.select("doc_id", F.col("src").alias("concept_id"), F.col("dst").alias("to"), "kind", "edge_ord").unionByName(links.select("doc_id", F.col("dst").alias("concept_id"), F.col("src").alias("to"), "kind", "edge_ord"))
-    both = both.filter(F.col("kind").isin("co_occurs", "follows")).join(every.filter("lesson_id IS NULL").select(*key, "concept_ord"), key)
-    its = every.select("doc_id", F.col("concept_id").alias("to"), F.col("concept_ord").alias("to_ord"), F.col("lesson_id").isNotNull().alias("to_claimed"))
-    sees = cut(both.join(its, ["doc_id", "to"]).filter("to_claimed OR to_ord < concept_ord").groupBy(*key, "to", "to_claimed").agg(F.min(F.struct(F.col("kind") != "co_occurs", "edge_ord")).alias("turn")))
-    fresh = cut(sees.filter("to_claimed").select(*key).distinct())
-    reached = fresh
-    while not fresh.isEmpty():
-        more = sees.filter("NOT to_claimed").join(fresh.withColumnRenamed("concept_id", "to"), ["doc_id", "to"], "left_semi").select(*key).distinct()
-        fresh = cut(more.join(reached, key, "left_anti"))
+    every = cut(nodes.select("doc_id", "concept_ord", "concept_id").join(claimed, ["doc_id", "concept_id"], "left"))
+    its = lambda end, n: every.select("doc_id", F.col("concept_id").alias(end), F.col("concept_ord").alias(n), F.col("lesson_id").isNotNull().alias(f"{n}_claimed"))
+    turn = F.when(F.col("kind") == "co_occurs", 0).otherwise(1 << 40) + F.col("edge_ord")
+    ends = links.filter(F.col("kind").isin("co_occurs", "follows")).select("doc_id", "src", "dst", turn.alias("turn"))
+    ends = ends.join(its("src", "a"), ["doc_id", "src"]).join(its("dst", "b"), ["doc_id", "dst"])
+    way = lambda x, y: F.when(~F.col(f"{x}_claimed") & (F.col(f"{y}_claimed") | (F.col(y) < F.col(x))), F.struct(F.col(x).alias("c"), F.col(y).alias("to"), F.col(f"{y}_claimed").alias("ends"), "turn"))
+    sees = cut(ends.select("doc_id", F.explode(F.array_compact(F.array(way("a", "b"), way("b", "a")))).alias("w")).groupBy("doc_id", "w.c", "w.to", "w.ends").agg(F.min("w.turn").alias("turn")))
+    # Rounds carry on only what is not reached yet: rows whose end was reached have said so, rows of reached ones are done.
+    fresh = cut(sees.filter("ends").select("doc_id", "c").distinct())
+    reached, rest = fresh, cut(sees.filter("NOT ends").select("doc_id", "c", "to").join(fresh, ["doc_id", "c"], "left_anti"))
+    while not fresh.isEmpty() and not rest.isEmpty():
+        hit = rest.join(fresh.select("doc_id", F.col("c").alias("to"), F.lit(True).alias("hit")), ["doc_id", "to"], "left")
+        hit = cut(hit.withColumn("hit", F.max(F.coalesce("hit", F.lit(False))).over(Window.partitionBy("doc_id", "c"))))
+        fresh, rest = hit.filter("hit").select("doc_id", "c").distinct(), hit.filter("NOT hit").drop("hit")
         reached = reached.unionByName(fresh)
-    seen = sees.filter("to_claimed").select(*key, "to", "to_claimed", "turn").unionByName(sees.filter("NOT to_claimed").join(reached.withColumnRenamed("concept_id", "to"), ["doc_id", "to"], "left_semi").select(*key, "to", "to_claimed", "turn"))
-    at = cut(seen.groupBy(*key).agg(F.min_by(F.struct("to", "to_claimed"), "turn").alias("p")).select(*key, "p.to", F.col("p.to_claimed").alias("ends")))
-    while not at.filter("NOT ends").isEmpty():
-        on = at.select("doc_id", F.col("concept_id").alias("to"), F.col("to").alias("further"), F.col("ends").alias("its_end"))
-        at = cut(at.join(on, ["doc_id", "to"], "left").select(*key, F.coalesce("further", "to").alias("to"), (F.col("ends") | F.col("its_end")).alias("ends")))
-    found = at.join(claimed.withColumnRenamed("concept_id", "to"), ["doc_id", "to"]).select(*key, F.col("lesson_id").alias("found"))
+    # Of ends that have a lesson the first counts: all that are claimed, and the reached ones.
+    open_ = sees.filter("NOT ends").join(reached.withColumnRenamed("c", "to"), ["doc_id", "to"], "left_semi")
+    at = sees.filter("ends").unionByName(open_.select(*sees.columns)).groupBy("doc_id", "c").agg(F.min_by(F.struct("to", "ends"), "turn").alias("p"))
+    at = cut(at.select("doc_id", "c", "p.to", "p.ends"))
+    done, at = [at.filter("ends")], at.filter("NOT ends")
+    while not at.isEmpty():
+        on = reduce(DataFrame.unionByName, [*done, at]).select("doc_id", F.col("c").alias("to"), F.col("to").alias("further"), F.col("ends").alias("its_end"))
+        at = cut(at.join(on, ["doc_id", "to"]).select("doc_id", "c", F.col("further").alias("to"), F.col("its_end").alias("ends")))
+        done, at = [*done, at.filter("ends")], at.filter("NOT ends")
+    lessons = every.filter("lesson_id IS NOT NULL").select("doc_id", F.col("concept_ord").alias("to"), F.col("lesson_id").alias("found"))
+    found = reduce(DataFrame.unionByName, done).join(lessons, ["doc_id", "to"]).select("doc_id", F.col("c").alias("concept_ord"), "found")
     w = Window.partitionBy("doc_id").orderBy("concept_ord")
-    own = every.join(found, key, "left").withColumn("own", F.coalesce("lesson_id", "found"))
+    own = every.join(found, ["doc_id", "concept_ord"], "left").withColumn("own", F.coalesce("lesson_id", "found"))
     before, behind = F.last("own", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first("own", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return own.select(*key, F.coalesce(before, behind).alias("lesson_id")).filter("lesson_id IS NOT NULL")
+    return own.select("doc_id", "concept_id", F.coalesce(before, behind).alias("lesson_id")).filter("lesson_id IS NOT NULL")
 
 
 def chunk_lessons(nodes: DataFrame, assigned: DataFrame) -> DataFrame:

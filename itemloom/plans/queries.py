@@ -13,7 +13,7 @@ from ..functions.text import clip, normalise_page, plain_markdown, squeeze, trim
 from ..operators import chunking, contract, decode, gates, graph, provenance, rank, report
 from ..sources import catalog
 from ..streaming import calls
-from ..tables import cut, scratch
+from ..tables import parts_for, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -240,13 +240,16 @@ def drop_share_guard(table):
     return graph.drop_share(_kinds(table), "source")
 
 
-def _graph(table) -> tuple[DataFrame, DataFrame]:
-    """Customers as documents, their orders as chunks, parts as concepts."""
-    lines = table("lineitem").join(table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    key = F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
-    rows = lines.groupBy(F.col("o_custkey").alias("doc_id"), F.col("l_orderkey").alias("chunk_ord"), F.col("l_orderkey").cast("string").alias("chunk_id"), F.lit(1).alias("page"), key.alias("key")).agg(F.min(F.col("l_linenumber") * F.lit(10**10) + F.col("l_partkey")).alias("pos"))
-    seen = cut(rows.withColumn("title", F.col("key")))
-    return seen, graph.concepts(seen)
+def _graph(table) -> DataFrame:
+    """Customers as documents, their orders as chunks, parts as concepts, all placed. What a task holds doesn't grow with
+    the tables, and rows are dealt by document once."""
+    lines, orders = table("lineitem").select("l_orderkey", "l_partkey", "l_linenumber"), table("orders").select("o_orderkey", "o_custkey")
+    n = parts_for(lines.sparkSession, lines.count())
+    rows = lines.repartition(n, "l_orderkey").join(orders.repartition(n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = rows.select(F.col("o_custkey").alias("doc_id"), F.col("l_orderkey").alias("chunk_ord"), F.col("l_partkey").alias("key"), (F.col("l_linenumber") * F.lit(10**10) + F.col("l_partkey")).alias("pos"))
+    rows = rows.repartition(n, "doc_id").groupBy("doc_id", "chunk_ord", "key").agg(F.min("pos").alias("pos"))
+    seen = rows.select("doc_id", "chunk_ord", F.col("chunk_ord").cast("string").alias("chunk_id"), F.lit(1).alias("page"), F.concat(F.lit("p"), F.col("key").cast("string")).alias("key"), "pos")
+    return graph.placed(seen.withColumn("title", F.col("key")), n)
 
 
 _GRAPH_SQL = """WITH s AS (SELECT o_custkey AS doc_id, l_orderkey AS chunk_ord, l_partkey, min(l_linenumber * 10000000000 + l_partkey) AS pos FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
@@ -258,22 +261,20 @@ a AS (SELECT s.*, 'C' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0'
 
 @query(_GRAPH_SQL + "SELECT doc_id, concept_id, 'p' || l_partkey AS title, count(*) AS n_chunks FROM a GROUP BY ALL")
 def concept_nodes(table):
-    _, nodes = _graph(table)
+    nodes = graph.concepts_of(_graph(table))
     return nodes.select("doc_id", "concept_id", "title", F.size("chunk_ids").cast("long").alias("n_chunks"))
 
 
 @query(_GRAPH_SQL + "SELECT x.doc_id, x.concept_id AS src, y.concept_id AS dst, count(*) AS n_chunks FROM a x JOIN a y ON x.doc_id = y.doc_id AND x.chunk_ord = y.chunk_ord AND x.pos < y.pos GROUP BY ALL")
 def concept_co_occurs(table):
-    seen, nodes = _graph(table)
-    return graph.edges(seen, nodes).filter("kind = 'co_occurs'").select("doc_id", "src", "dst", F.size("evidence_chunk_ids").cast("long").alias("n_chunks"))
+    return graph.edges_of(_graph(table)).filter("kind = 'co_occurs'").select("doc_id", "src", "dst", F.size("evidence_chunk_ids").cast("long").alias("n_chunks"))
 
 
 @query(_GRAPH_SQL + """, e AS (SELECT doc_id, chunk_ord, arg_min(concept_id, pos) AS first, arg_max(concept_id, pos) AS last FROM a GROUP BY ALL),
 l AS (SELECT doc_id, lag(last) OVER (PARTITION BY doc_id ORDER BY chunk_ord) AS src, first AS dst FROM e)
 SELECT doc_id, src, dst, count(*) AS n_chunks FROM l WHERE src <> dst GROUP BY ALL""")
 def concept_follows(table):
-    seen, nodes = _graph(table)
-    return graph.edges(seen, nodes).filter("kind = 'follows'").select("doc_id", "src", "dst", F.size("evidence_chunk_ids").cast("long").alias("n_chunks"))
+    return graph.edges_of(_graph(table)).filter("kind = 'follows'").select("doc_id", "src", "dst", F.size("evidence_chunk_ids").cast("long").alias("n_chunks"))
 
 
 @query("""SELECT s_suppkey AS owner, 'n' || m.n_nationkey AS concept_id FROM supplier JOIN nation n ON s_nationkey = n.n_nationkey JOIN nation m ON m.n_regionkey = n.n_regionkey
