@@ -63,40 +63,49 @@ def directive_targets(directive: Column, calculation_only: Column) -> tuple[Colu
 SLOTS = "slot_id string, slot_ord int, atom_id string, source_chunk_ids array<string>, concept_ids array<string>, skill string, difficulty string, operation string, target string, evidence_quote string"
 
 
-def pickable(rows: DataFrame, key: list[str]) -> DataFrame:
+def pickable(rows: DataFrame, key: list[str], parts: int | None = None) -> DataFrame:
     """The atoms of each lesson that picks of budget slots can ever reach, an exact choice: rows need key, budget, forms,
-    relation, claim, chunk_id, atom_id and concept_ids.
+    relation, claim, chunk_id, atom_id and concept_ids, and may have widest, the most concepts of an atom of the lesson.
 
     Atoms with equal forms and relation are always worth the same, but for a fresh concept, and go by chunk and atom. So
     among those with one concept (or any, where none is fresh) the first of each claim stands for the claim, and the
     first budget claims are enough: fewer can be taken before. Of one claim, atoms that bring a concept of their own go on
     until more concepts have come than slots can use up. What is left of a class is bounded by the budget and an atom's
-    concepts. All limits are ranks, which Spark applies before its shuffles.
+    concepts. Rows are dealt by lesson, forms and relation once; all limits are ranks inside such a class.
     """
-    same, order = [*key, "forms", F.lower("relation")], ["chunk_id", "atom_id"]
-    widest = rows.groupBy(*key).agg(F.max(F.size("concept_ids")).alias("widest"))
-    rows = rows.join(widest, key).withColumn("most", (F.col("budget") - 1) * F.col("widest") + 1).drop("widest")
+    same, order = [*key, "forms", "kind"], ["chunk_id", "atom_id"]
+    if "widest" not in rows.columns:
+        rows = rows.join(rows.groupBy(*key).agg(F.max(F.size("concept_ids")).alias("widest")), key)
+    dealt = [*key, "forms", "kind"]
+    rows = rows.withColumn("kind", F.lower("relation"))
+    rows = rows.repartition(*dealt) if parts is None else rows.repartition(parts, *dealt)
+    rows = rows.withColumn("most", (F.col("budget") - 1) * F.col("widest") + 1).drop("widest")
     each = rows.withColumn("concept", F.explode(F.concat(F.array(F.lit(None).cast("string")), "concept_ids"))).withColumn("says", F.lower("claim"))
     first = each.withColumn("rn", F.row_number().over(Window.partitionBy(*same, "says", "concept").orderBy(*order))).filter("rn = 1")
     few = first.withColumn("rn", F.row_number().over(Window.partitionBy(*same, "concept").orderBy(*order))).filter("rn <= budget")
     new = few.withColumn("rn", F.row_number().over(Window.partitionBy(*same, "says").orderBy(*order))).filter("concept IS NULL OR rn <= most + 1")
-    return new.drop("concept", "says", "rn", "most").distinct()
+    return new.drop("concept", "says", "rn", "most").distinct().drop("kind")
 
 
-def build_contract(lessons: DataFrame, context: DataFrame, atoms: DataFrame) -> DataFrame:
+def build_contract(lessons: DataFrame, context: DataFrame, atoms: DataFrame, parts: int | None = None) -> DataFrame:
     """Slots of each lesson (K6, O4): budget slots, cycling through the skills or all of the required one; each takes the
     atom of the best score, given what was taken before; ties go to the smaller chunk id, then atom id, as strings (G6).
 
     lessons: doc_id, lesson_id, question_budget, required_skill, required_difficulty. What an atom is worth by itself is
-    a column; atoms that no sequence of picks can reach are left out (pickable), and only the picks are in a group.
+    a column; atoms that no sequence of picks can reach are left out (pickable), and only the picks are in a group. parts:
+    partitions, where the size of the atoms is known.
     """
     key = ["doc_id", "lesson_id"]
     asked = lessons.select(*key, "question_budget", "required_skill", "required_difficulty")
-    rows = context.select(*key, "chunk_id").distinct().join(atoms, ["doc_id", "chunk_id"]).join(asked.select(*key, F.col("question_budget").alias("budget")), key)
+    # What a lesson asks for goes to its chunks first, so that atoms meet both in one join.
+    widest = atoms.groupBy("doc_id").agg(F.max(F.coalesce(F.size("concept_ids"), F.lit(0))).alias("widest"))
+    chunks = context.select(*key, "chunk_id").distinct().join(asked.select(*key, F.col("question_budget").alias("budget")), key).join(widest, "doc_id")
+    dealt = lambda df: df if parts is None else df.repartition(parts, "doc_id", "chunk_id")
+    rows = dealt(chunks).join(dealt(atoms), ["doc_id", "chunk_id"])
     forms = F.array_sort(F.array_distinct(F.transform(F.coalesce("question_forms", F.array()), lambda x: F.lower(F.trim(x)))))
-    rows = rows.select(*key, "budget", "chunk_id", "atom_id", "claim", "relation", F.coalesce("concept_ids", F.array()).alias("concept_ids"), forms.alias("forms"), "quote", relation_worth(F.col("relation")).alias("worth"))
-    rows = pickable(rows, key)
-    rows = rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("chunk_id", "atom_id", "claim", "relation", "concept_ids", "forms", "quote", "worth"))).alias("atoms"))
+    rows = rows.select(*key, "budget", "chunk_id", "atom_id", "claim", "relation", F.coalesce("concept_ids", F.array()).alias("concept_ids"), forms.alias("forms"), "quote", relation_worth(F.col("relation")).alias("worth"), "widest")
+    rows = pickable(rows, key, parts).drop("widest")
+    rows = (rows if parts is None else rows.repartition(parts, *key)).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("chunk_id", "atom_id", "claim", "relation", "concept_ids", "forms", "quote", "worth"))).alias("atoms"))
     rows = asked.join(rows, key)
 
     def pick(r) -> list[tuple]:
