@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import cut, parts_for
+
 
 def numbered(rows: DataFrame, group: list[str], block: str, order: list[str], name: str = "n") -> DataFrame:
     """rows with numbers from 1 on, without gaps, in each group, by block and then by order. Blocks are counted and their
@@ -16,6 +18,18 @@ def numbered(rows: DataFrame, group: list[str], block: str, order: list[str], na
     return rows.withColumn("_nth", nth).join(count, [*group, block]).withColumn(name, F.col("_nth") + F.col("_before")).drop("_nth", "_before")
 
 
+def numbered_ranges(rows: DataFrame, group: list[str], order: list[str], name: str, each: int = 20_000) -> DataFrame:
+    """rows with numbers from 1 on in each group, by order, groups of any size: rows are dealt into sampled ranges of some each
+    rows, sorted there and written with their place; a range's count of a group moves the ranges behind it on."""
+    n = parts_for(rows.sparkSession, rows.count(), each)
+    at = cut(rows.repartitionByRange(n, *group, *order).sortWithinPartitions(*group, *order).withColumn("_at", F.monotonically_increasing_id()))
+    at = at.withColumn("_part", F.shiftright("_at", 33))
+    count = at.groupBy(*group, "_part").agg(F.min("_at").alias("_least"), F.count("*").alias("_in"))
+    w = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    count = count.withColumn("_before", F.coalesce(F.sum("_in").over(w), F.lit(0))).drop("_in")
+    return at.join(count, [*group, "_part"]).withColumn(name, (F.col("_at") - F.col("_least") + F.col("_before") + 1).cast("int")).drop("_at", "_part", "_least", "_before")
+
+
 def with_neighbours(rows: DataFrame, group: list[str], size: int, reach: int, n: str = "n") -> tuple[DataFrame, Window]:
     """(rows in blocks of size by their number n, a window over a block): rows within reach of a border are in the block
     behind it too, with _own false there. Windows that look at most reach rows away see what they would see in the whole

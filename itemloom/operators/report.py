@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clip, trimmed
 from ..tables import cut
-from .ordered import numbered
+from .ordered import numbered, numbered_ranges
 
 DETERMINISTIC = ("well_formed", "source_role", "quote_verbatim", "arithmetic", "unit_check", "coverage_contract", "not_a_duplicate")
 LABELS = ("good", "wrong", "not-in-source", "trivial", "unclear")
@@ -203,7 +203,7 @@ def united(*sources: DataFrame) -> DataFrame:
         return df.select(*[(F.coalesce(have(c, k), empty.get(k, F.array().cast(k))) if k == "string" or k.startswith("array") else have(c, k)).alias(c) for c, k in kinds.items()])
 
     rows = reduce(lambda a, b: a.unionByName(b), map(full, sources))
-    rows = rows.withColumn("i", F.row_number().over(Window.partitionBy("source").orderBy("ordinal")))
+    rows = numbered_ranges(rows, ["source"], ["ordinal"], "i")
     return rows.withColumn("category", F.least(F.floor((F.col("i") - 1) / 5), F.lit(2)))
 
 
