@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import acos, ceil, log, pi
+from math import acos, ceil, comb, log, pi
 
 import numpy as np
 import pandas as pd
@@ -50,6 +50,20 @@ def sign_tables(n: int, least: float, miss: float = 1e-3) -> tuple[int, int]:
     return ceil(log(miss) / log(1 - agree)), bits
 
 
+#: Signs of a vector by which pairs of a key are told apart.
+SKETCH = 64
+
+
+def sketch_limit(least: float, miss: float) -> int:
+    """In how many of SKETCH signs vectors may differ: those with a cosine of least differ in more with probability miss
+    at most."""
+    p, tail, k = acos(least) / pi, 1.0, -1
+    while tail > miss:
+        k += 1
+        tail -= comb(SKETCH, k) * p**k * (1 - p) ** (SKETCH - k)
+    return k
+
+
 def near_vectors_blocked(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", least: float = 0.9, seed: int = 5) -> DataFrame:
     """(a, b, similarity) across a corpus: pairs share the signs of some random projections in one of several tables and
     are then checked exactly, so there are no false pairs; a pair at least is missed in one of 1,000 cases, at any
@@ -60,20 +74,26 @@ def near_vectors_blocked(rows: DataFrame, key: str = "vec_id", vector: str = "em
     classes = cut(every.groupBy("v").agg(F.min("id").alias("c"), F.count("*").alias("n")))
     unit = classes.select(F.col("c").alias("id"), "v")
     n, dims = unit.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
-    tables, bits = sign_tables(n, least)
-    planes = np.random.default_rng(seed).standard_normal((max(dims, 1), tables * bits))
+    tables, bits = sign_tables(n, least, miss=9e-4)
+    apart = sketch_limit(least, miss=1e-4)
+    planes = np.random.default_rng(seed).standard_normal((max(dims, 1), tables * bits + SKETCH))
     weights = 1 << np.arange(bits)
 
-    @F.pandas_udf("array<int>")
-    def keys_of(v: pd.Series) -> pd.Series:
+    @F.pandas_udf("keys array<int>, sketch long")
+    def keys_of(v: pd.Series) -> pd.DataFrame:
         x = np.zeros((len(v), max(dims, 1)))
         for i, row in enumerate(v):
             x[i, : len(row)] = np.nan_to_num(np.asarray(row, float))
-        signs = (x @ planes >= 0).reshape(len(v), tables, bits)
-        return pd.Series(list((signs @ weights).astype("int32")), dtype=object)
-
-    keys = unit.select("id", F.posexplode(keys_of("v")).alias("t", "k"))
-    pairs = keys.select("t", "k", F.col("id").alias("a")).join(keys.select("t", "k", F.col("id").alias("b")), ["t", "k"]).filter("a < b").select("a", "b").distinct()
+        signs = x @ planes >= 0
+        keys = signs[:, : tables * bits].reshape(len(v), tables, bits) @ weights
+        sketch = np.packbits(signs[:, tables * bits :], axis=1).view(np.int64)[:, 0]
+        return pd.DataFrame({"keys": list(keys.astype("int32")), "sketch": sketch})
+
+    # Most of what shares a key is unrelated: sketches tell before pairs are sent on.
+    keys = unit.select("id", keys_of("v").alias("x")).select("id", "x.sketch", F.posexplode("x.keys").alias("t", "k"))
+    side = lambda x: keys.select("t", "k", F.col("id").alias(x), F.col("sketch").alias(f"s{x}"))
+    near = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= apart
+    pairs = side("a").join(side("b"), ["t", "k"]).filter("a < b").filter(near).select("a", "b").distinct()
     both = pairs.join(unit.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(unit.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
     links = both.select("a", "b", cosine(F.col("va"), F.col("vb")).alias("similarity")).filter(F.col("similarity") >= least)
     # Members of classes; only classes of several have pairs of their own.
