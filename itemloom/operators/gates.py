@@ -101,7 +101,13 @@ def well_formed(drafts: DataFrame) -> DataFrame:
     stem = squeeze(F.lower("stem"))
     folded = F.transform("choices", lambda c: squeeze(F.lower(c["content"])))
     ok = F.col("early").isNull()
-    out = out.withColumn("runs", choice_runs(F.when(ok, stem), F.when(ok, folded)))
+    # Runs are measured where one can be as long as a check asks for.
+    n = F.length(stem)
+    may_echo = F.exists(folded, lambda c: F.length(c) >= STEM_SHARE * n)
+    may_restate = (F.size("choices") >= 3) & (n >= 30) & F.forall(folded, lambda c: F.length(c) >= ECHO)
+    may_repeat = (F.size("choices") >= 3) & F.forall("choices", lambda c: F.length(trimmed(c["content"])) >= CHOICE_SHARE)
+    out = out.withColumn("asked", ok & F.coalesce(may_echo | may_restate | may_repeat, F.lit(True)))
+    out = out.withColumn("runs", choice_runs(F.when(F.col("asked"), stem), F.when(F.col("asked"), folded)))
     each, shared = F.slice("runs", 1, F.size("runs") - 1), F.element_at("runs", -1)
     echo = F.exists(each, lambda r: r >= STEM_SHARE * F.length(stem))
     all_echo = (F.size("choices") >= 3) & (F.length(stem) >= 30) & F.forall(each, lambda r: r >= ECHO)
@@ -112,7 +118,7 @@ def well_formed(drafts: DataFrame) -> DataFrame:
         skew,
         F.when((F.size("choices") >= 3) & long_ & (shared >= CHOICE_SHARE), "choices are formulaic"),
     )
-    return out.withColumn("malformed", F.coalesce("early", F.when(ok, late))).drop("early", "runs")
+    return out.withColumn("malformed", F.coalesce("early", F.when(F.col("asked"), late), F.when(ok, skew))).drop("early", "runs", "asked")
 
 
 def cheap_gates(drafts: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -189,7 +195,9 @@ def near_stems(stems: DataFrame, group: list[str], gram: int = 8, share: float =
     asked = middle.join(common, [*group, "g"], "left").groupBy(*group, "s", "len").agg(F.min(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "g")).alias("m"))
     asked = asked.filter("m.n > 1").select(*group, F.col("s").alias("x"), F.col("len").alias("xlen"), F.col("m.g").alias("g"))
     ordered = [*group, F.least("s", "x").alias("a"), F.greatest("s", "x").alias("b")]
-    pairs = asked.join(held, [*group, "g"]).filter("s <> x AND len >= xlen").select(*ordered)
+    # The run that both share holds that middle, so the longer stem holds all of it.
+    inside = F.contains("s", F.expr(f"substring(x, CAST(xlen - ceil({share} * xlen) + 1 AS INT), CAST(2 * ceil({share} * xlen) - xlen AS INT))"))
+    pairs = asked.join(held, [*group, "g"]).filter("s <> x AND len >= xlen").filter(inside).select(*ordered)
     # A stem that is too short for a gram shares a run of share of itself, so the character in its middle, with the other.
     few = s.filter(F.length("s") < least).select(*group, F.col("s").alias("x"), F.expr("substring(s, CAST(ceil(length(s) / 2) AS INT), 1)").alias("c"))
     have = s.select(*group, "s", F.explode(F.array_distinct(F.split("s", ""))).alias("c"))
@@ -198,15 +206,27 @@ def near_stems(stems: DataFrame, group: list[str], gram: int = 8, share: float =
     return both.filter(F.col("n") >= share * F.least(F.length("a"), F.length("b"))).select(*group, "a", "b")
 
 
-def same_stems(drafts: DataFrame, group: list[str], order: str = "draft_ord", gram: int = 8, share: float = SAME_TEXT) -> DataFrame:
+def same_stems(drafts: DataFrame, group: list[str], order: str = "draft_ord", gram: int = 8, share: float = SAME_TEXT, block: int = 2_000) -> DataFrame:
     """(group, a, b): pairs a < b of drafts whose stems are equal or near, white space and case ignored; empty stems have
     none. Near stems are found once for each text; drafts of one text all pair here, so use conflicts() to accept."""
-    d = drafts.select(*group, F.col(order).alias("o"), squeeze(F.lower("stem")).alias("s")).filter("s <> ''")
-    texts = near_stems(d, group, gram, share)
-    own = d.select(*group, "s").distinct().select(*group, F.col("s").alias("a"), F.col("s").alias("b"))
-    texts = texts.unionByName(own)
-    both = texts.join(d.withColumnsRenamed({"s": "a", "o": "x"}), [*group, "a"]).join(d.withColumnsRenamed({"s": "b", "o": "y"}), [*group, "b"]).filter("x <> y")
-    return both.select(*group, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    d = drafts.select(*group, F.col(order).alias("o"), squeeze(F.lower("stem")).alias("s")).filter("s <> ''").distinct()
+    # A text is known by its number; its drafts are dealt into blocks, and pairs of blocks meet.
+    d = cut(d.withColumn("texts", F.count("*").over(Window.partitionBy(*group, "o"))))
+    number = cut(d.groupBy(*group, "s").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.min("o").alias("c")).withColumn("c", F.xxhash64("s", "c")).withColumn("c", F.struct("c", F.xxhash64(F.lit(7), "s").alias("c2"))))
+    d = cut(d.join(number, [*group, "s"]).select(*group, "o", "c", "texts", "blocks", F.pmod(F.xxhash64("o"), F.col("blocks")).cast("int").alias("block")))
+    near = near_stems(drafts.select(*group, squeeze(F.lower("stem")).alias("s")), group, gram, share)
+    ends = lambda x: number.select(*group, F.col("s").alias(x), F.col("c").alias(f"c{x}"), F.col("blocks").alias(f"n{x}"))
+    near = near.join(ends("a"), [*group, "a"]).join(ends("b"), [*group, "b"]).select(*group, "ca", "cb", "na", "nb")
+    own = number.select(*group, F.col("c").alias("ca"), F.col("c").alias("cb"), F.col("blocks").alias("na"), F.col("blocks").alias("nb"))
+    of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    met = near.unionByName(own).withColumn("ba", of("na")).withColumn("bb", of("nb")).filter("ca <> cb OR ba <= bb").select(*group, "ca", "cb", "ba", "bb")
+    member = lambda o, c, b, t: d.select(*group, F.col("o").alias(o), F.col("c").alias(c), F.col("block").alias(b), F.col("texts").alias(t))
+    left = cut(met.join(member("x", "ca", "ba", "tx"), [*group, "ca", "ba"]).select(*group, "cb", "bb", "x", "tx", ((F.col("ca") == F.col("cb")) & (F.col("ba") == F.col("bb"))).alias("same")))
+    both = left.join(member("y", "cb", "bb", "ty"), [*group, "cb", "bb"]).filter("x <> y AND (NOT same OR x < y)")
+    pair = [*group, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
+    # Only drafts of several texts can meet more than once.
+    several = d.filter("texts > 1").isEmpty()
+    return both.select(*pair) if several else both.filter("tx = 1 AND ty = 1").select(*pair).unionByName(both.filter("tx > 1 OR ty > 1").select(*pair).distinct())
 
 
 def same_vectors(drafts: DataFrame, group: list[str], order: str = "draft_ord", least: float = SAME_VECTOR) -> DataFrame:
@@ -253,7 +273,9 @@ def accept_first(rows: DataFrame, found: DataFrame | tuple[DataFrame, DataFrame]
     first undecided draft, so a round looks at members and links, never at pairs; only what is undecided is carried on,
     and what a round drops is written once. Rounds end when none is undecided.
     """
-    members, links = found if isinstance(found, tuple) else _as_classes(found, group)
+    if not isinstance(found, tuple):
+        return _without(rows, _gone_of_pairs(found, group), group, order)
+    members, links = found
     members, links, gone = cut(members.select(*group, "o", "c").distinct()), cut(links.select(*group, "c", "d").distinct()), []
     while not members.isEmpty():
         least = members.groupBy(*group, F.col("c").alias("d")).agg(F.min("o").alias("first"))
@@ -267,6 +289,26 @@ def accept_first(rows: DataFrame, found: DataFrame | tuple[DataFrame, DataFrame]
         gone.append(out)
         decided = out.unionByName(kept.select(*group, F.col("k").alias("o")))
         members = cut(members.join(decided, [*group, "o"], "left_anti"))
+    return _without(rows, gone, group, order)
+
+
+def _gone_of_pairs(pairs: DataFrame, group: list[str]) -> list[DataFrame]:
+    """(group, o) of what accept_first drops, by rounds over pairs that are undecided on both sides: firsts that are second
+    in none are kept, and their seconds go with all their pairs."""
+    pairs, gone = cut(pairs.filter("a <> b").select(*group, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), []
+    while not pairs.isEmpty():
+        seconds = pairs.select(*group, F.col("b").alias("a")).distinct()
+        judged = pairs.join(seconds.withColumn("open", F.lit(True)), [*group, "a"], "left")
+        # A second goes by any kept first; what is left of its pairs goes with it.
+        judged = cut(judged.withColumn("goes", F.max(F.col("open").isNull()).over(Window.partitionBy(*group, "b"))))
+        out = judged.filter("goes").select(*group, F.col("b").alias("o")).distinct()
+        gone.append(out)
+        pairs = cut(judged.filter("NOT goes").select(*group, "a", "b").join(out.withColumnRenamed("o", "a"), [*group, "a"], "left_anti"))
+    return gone
+
+
+def _without(rows: DataFrame, gone: list[DataFrame], group: list[str], order: str) -> DataFrame:
+    """rows with accepted, false for what is gone."""
     if not gone:
         return rows.withColumn("accepted", F.lit(True))
     away = reduce(DataFrame.unionByName, gone).select(*group, F.col("o").alias(order), F.lit(False).alias("accepted"))

@@ -38,3 +38,55 @@ def test_a_graph_is_dealt_by_document_once(spark):
 
 def test_partitions_follow_the_rows(spark):
     assert parts_for(spark, 50_000_000, 100_000) == 500 and parts_for(spark, 0) >= 1
+
+
+def test_numbers_of_one_large_source_come_from_several_ranges(spark):
+    from itemloom.operators.ordered import numbered_ranges
+
+    rows = spark.range(5_000).selectExpr("IF(id < 4500, 'a', 'b') AS source", "hash(id) AS ordinal", "id")
+    got = numbered_ranges(rows, ["source"], ["ordinal"], "i", each=500)
+    assert got.select(F.spark_partition_id()).distinct().count() > 1
+    for s in "ab":
+        mine = [r.i for r in got.filter(F.col("source") == s).orderBy("ordinal").collect()]
+        assert mine == list(range(1, len(mine) + 1)) and len(mine) == (4500 if s == "a" else 500)
+
+
+def test_sketches_rule_unrelated_pairs_out(spark):
+    from math import acos, comb, pi
+
+    from itemloom.operators import rank
+
+    k, p = rank.sketch_limit(0.9, 1e-4), acos(0.9) / pi
+    over = lambda p: sum(comb(64, i) * p**i * (1 - p) ** (64 - i) for i in range(k + 1, 65))
+    assert over(p) <= 1e-4 and over(0.5) > 0.98
+
+
+def test_many_drafts_of_one_stem_meet_in_blocks(spark):
+    from itemloom.operators import gates
+
+    rows = [("r", i, "What is it that we see?") for i in range(23)] + [("r", 99, "Another one altogether"), ("r", 3, "What else is there")]
+    got = gates.same_stems(spark.createDataFrame(rows, "run string, draft_ord int, stem string"), ["run"], block=4)
+    assert sorted((r.a, r.b) for r in got.collect()) == [(a, b) for a in range(23) for b in range(a + 1, 23)]
+
+
+def test_pairs_are_settled_as_in_the_scan(spark):
+    import random
+
+    from itemloom.operators import gates
+
+    rnd = random.Random(3)
+    pairs = [(g, *sorted(rnd.sample(range(12), 2))) for g in range(6) for _ in range(14)]
+    rows = [(g, i) for g in range(6) for i in range(12)]
+    got = {(r.g, r.draft_ord): r.accepted for r in gates.accept_first(spark.createDataFrame(rows, "g int, draft_ord int"), spark.createDataFrame(pairs, "g int, a int, b int"), ["g"]).collect()}
+    want: dict = {}
+    for g, i in rows:
+        want[g, i] = not any(want.get((g, a)) for h, a, b in pairs if h == g and b == i)
+    assert got == want
+
+
+def test_runs_are_measured_only_where_they_count(spark):
+    from itemloom.operators import gates
+
+    df = spark.createDataFrame([(1, "Which of these is said about the moon and the tides?", [("one", True), ("two", False)])], "id int, stem string, choices array<struct<content:string,is_correct:boolean>>")
+    out = gates.well_formed(df)
+    assert "asked" in out._jdf.queryExecution().analyzed().toString() and out.first().malformed is None
