@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, cut, small_batches, written
-from .simhash import components, shingle_hashes
+from .simhash import block_keys, components, fingerprints, near_edges, shingle_hashes
 
 #: Characters of text whose shingles meet in one bucket, and shingles that a task holds before it hands them on.
 BUCKET_CHARS, HELD = 6_000_000, 1_000_000
@@ -20,6 +20,8 @@ SAMPLE_TEXTS, HOT = 10_000, 256
 _LAST = 1 << 30
 #: Keys of up to this many texts propose pairs, which are the same for many keys; larger ones are searched in blocks.
 ALL_PAIRS = 64
+#: Fingerprints of near texts may differ in this many of their 64 bits; keys are all but RADIUS of these blocks.
+RADIUS, BLOCKS = 3, 5
 #: Members of a key that are searched for links at once, and about the bytes of their sets.
 SHARD, SHARD_BYTES = 512, 16 << 20
 
@@ -195,6 +197,17 @@ def sets_of(texts: DataFrame, words: int) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "node long, s binary").dropDuplicates(["node"])
 
 
+def fingerprint_pairs(texts: DataFrame, words: int, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """(a, b), a < b: pairs of texts (node, text) that SimHash fingerprints of their sets propose. Texts of one fingerprint
+    meet its least node; fingerprints of at most radius differing bits are found by BK-trees, which return the links of a
+    spanning forest, so their number is bounded by that of the texts and of the trees that hold them."""
+    fps = written(fingerprints(texts.select("node", "text"), words, distinct=True).dropDuplicates(["node"]), "near-prints")
+    points = written(fps.groupBy("fp").agg(F.min("node").alias("id")), "near-points")
+    equal = fps.join(points.withColumnRenamed("fp", "point"), F.col("fp") == F.col("point")).select(F.col("id").alias("a"), F.col("node").alias("b"))
+    links = equal.unionByName(near_edges(points, block_keys(points, 64, radius, blocks), radius))
+    return links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFrame:
     """The pairs (a, b) whose sets have the similarity or more."""
     num, den = similarity.numerator, similarity.denominator
@@ -290,12 +303,14 @@ def links_within(members: DataFrame, similarity: Fraction, shard: int = SHARD) -
 def similar_components(texts: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
     """(node, root) of the texts (node, text) that links of at least that similarity join, for every node with a link.
 
-    First each key proposes its members with one of them, the hub: that with the fewest shingles of its own, as an
-    original has fewer than its edited copies, so that most of a group is linked at once. Then the keys that still hold
-    several components are searched for all links between these: pairs of the members of small keys, and the members of
-    large keys in blocks of bounded size.
+    First the BK-trees of SimHash fingerprints propose pairs, and each key of the sets' prefixes its members with one of
+    them, the hub: that with the fewest shingles of its own, as an original has fewer than its edited copies, so that most
+    of a group is linked at once; each pair is measured on the sets. Fingerprints miss pairs near the limit, so then the keys
+    that still hold several components are searched for all links between these: pairs of the members of small keys, and
+    the members of large keys in blocks of bounded size.
     """
     least = Fraction(str(similarity))
+    prints = written(fingerprint_pairs(texts, words), "near-proposed")
     keys = written(prefix_keys(texts, least, words), "near-keys")
     hubs = keys.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("own", "node", F.col("n").alias("hn"))).alias("hub")).filter("c > 1")
     keys = written(keys.join(hubs.select(F.col("key").alias("k"), "hub"), F.col("key") == F.col("k")).select("key", "node", "n", "hub"), "near-hubs")
@@ -303,7 +318,9 @@ def similar_components(texts: DataFrame, similarity: float = 0.8, words: int = 5
     sets = written(sets_of(texts.join(nodes, F.col("node") == F.col("m"), "left_semi"), words), "near-sets")
     fits = lambda x, y: least.denominator * F.least(x, y) >= least.numerator * F.greatest(x, y)
     pair = [F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")]
-    edges = cut(confirmed(keys.filter((F.col("node") != F.col("hub.node")) & fits(F.col("n"), F.col("hub.hn"))).select(*pair).distinct(), sets, least))
+    # Similar texts share a key, so of the pairs that fingerprints propose those of texts without sets can't be similar.
+    from_hubs = keys.filter((F.col("node") != F.col("hub.node")) & fits(F.col("n"), F.col("hub.hn"))).select(*pair)
+    edges = cut(confirmed(prints.unionByName(from_hubs).distinct(), sets, least))
     roots = components(edges).withColumnRenamed("node", "m")
     known = keys.join(roots, F.col("node") == F.col("m"), "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
     known = written(known, "near-roots")

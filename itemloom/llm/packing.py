@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, cut, named, small_batches, without
+from .common import cut, named, small_batches, without
 
 CAPACITY = 4096
 END_ID = 1
@@ -157,6 +157,6 @@ def cut_documents(docs: DataFrame, path: str, drops_space: bool, capacity: int =
 
 def pack_documents(docs: DataFrame, path: str, drops_space: bool = True, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Whole documents as packed pieces. Repeated rows are packed as often as they occur; an empty table gives none."""
-    with small_batches(docs.sparkSession, 2 * BATCH_BYTES):
+    with small_batches(docs.sparkSession):
         pieces = cut(cut_documents(docs, path, drops_space, capacity, end_id))
     return pack(pieces, capacity=capacity)

@@ -50,15 +50,17 @@ def simhash(h: np.ndarray, bits: int = 64) -> bytes:
     return b"".join(out)
 
 
-def fingerprints(docs: DataFrame, words: int = 3, bits: int = 64, text: str = "text") -> DataFrame:
-    """docs without the text, with fp (binary of bits / 8 bytes). Null text and text without words: zero."""
+def fingerprints(docs: DataFrame, words: int = 3, bits: int = 64, text: str = "text", distinct: bool = False) -> DataFrame:
+    """docs without the text, with fp (binary of bits / 8 bytes), of all shingles or of the distinct ones. Null text and text
+    without words: zero."""
     cols = [c for c in docs.columns if c != text]
     (fp,) = named(docs, "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for b in batches:
-                got = [simhash(shingle_hashes(t, words), bits) for t in b.column(len(cols)).to_pylist()]
+                hashes = (shingle_hashes(t, words) for t in b.column(len(cols)).to_pylist())
+                got = [simhash(np.unique(h) if distinct else h, bits) for h in hashes]
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(got, pa.binary())], names=[*cols, fp])
 
     slim = docs.select(*cols, text)
@@ -272,8 +274,9 @@ def near_dedup(docs: DataFrame, similarity: float = 0.8, words: int = 5, text: s
     """docs without near copies: of each group the row of least key stays, of a key's rows in it the one whose text has the
     least hash, and of equal rows one.
 
-    Two texts are near if the Jaccard similarity of their sets of shingles is at least that; all such pairs are found
-    and no others (nearsets.py), and links join groups. Rows with one key and different texts are different documents.
+    Two texts are near if the Jaccard similarity of their sets of shingles is at least that; SimHash fingerprints in BK-trees
+    and prefixes of the sets propose pairs, so that all such pairs are found, and no others as each is measured (nearsets.py);
+    links join groups. Rows with one key and different texts are different documents.
     Texts of fewer words than a shingle are compared as whole sequences; those without any word, null texts too, are one
     group. Rows of null key stay. An empty table gives an empty result; extra columns pass through.
     """
