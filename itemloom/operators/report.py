@@ -250,10 +250,14 @@ def pick_lesson(lessons: DataFrame, fragment: str) -> DataFrame:
     return lessons.filter(F.contains(F.lower("title"), F.lit(fragment.lower()))).groupBy("doc_id").agg(F.min_by("lesson_id", "lesson_pos").alias("lesson_id"))
 
 
-def concept_focus(lesson_concept: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(doc_id, lesson_id, chunk_id, concepts): the concepts that a lesson and a chunk share (JN17)."""
-    at = nodes.select("doc_id", "concept_id", "title", F.explode("chunk_ids").alias("chunk_id"))
-    return lesson_concept.join(at, ["doc_id", "concept_id"]).groupBy("doc_id", "lesson_id", "chunk_id").agg(F.array_sort(F.collect_set("title")).alias("concepts"))
+def concept_focus(lesson_concept: DataFrame, nodes: DataFrame, parts: int | None = None) -> DataFrame:
+    """(doc_id, lesson_id, chunk_id, concepts): the concepts that a lesson and a chunk share (JN17). With parts, both inputs
+    and their rows are dealt into that many partitions, so that a task's share needn't grow with the input."""
+    dealt = lambda df, *by: df if parts is None else df.repartition(parts, *by)
+    at = nodes.select("doc_id", "concept_id", "title", "chunk_ids")
+    rows = dealt(lesson_concept, "doc_id", "concept_id").join(dealt(at, "doc_id", "concept_id"), ["doc_id", "concept_id"])
+    rows = rows.select("doc_id", "lesson_id", "title", F.explode("chunk_ids").alias("chunk_id"))
+    return dealt(rows, "doc_id", "lesson_id", "chunk_id").groupBy("doc_id", "lesson_id", "chunk_id").agg(F.array_sort(F.collect_set("title")).alias("concepts"))
 
 
 def progress(rows: DataFrame, name: str) -> tuple[DataFrame, Observation]:

@@ -90,3 +90,28 @@ def test_runs_are_measured_only_where_they_count(spark):
     df = spark.createDataFrame([(1, "Which of these is said about the moon and the tides?", [("one", True), ("two", False)])], "id int, stem string, choices array<struct<content:string,is_correct:boolean>>")
     out = gates.well_formed(df)
     assert "asked" in out._jdf.queryExecution().analyzed().toString() and out.first().malformed is None
+
+
+def test_a_task_of_the_graph_has_a_bounded_share(spark, monkeypatch):
+    from itemloom.plans import bank_queries, queries
+
+    lines = [(o, 1 + (7 * o + i) % 40, i) for o in range(300) for i in range(4)]
+    tables = {"lineitem": spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int"), "orders": spark.createDataFrame([(o, o % 30) for o in range(300)], "o_orderkey long, o_custkey long")}
+    wide = sorted(map(str, queries._graph(tables.get).collect()))
+    monkeypatch.setattr(queries, "GRAPH_ROWS", 100)
+    at = queries._graph(tables.get)
+    assert at.rdd.getNumPartitions() == 12 and sorted(map(str, at.collect())) == wide
+    # What joins concepts with lessons is dealt as finely, and gives what it gives undealt.
+    nodes = graph.concepts_of(at)
+    from itemloom.operators import report
+
+    claimed = bank_queries._claimed(nodes)
+    got = report.concept_focus(claimed, nodes, 12)
+    assert got.rdd.getNumPartitions() == 12
+    assert sorted(map(str, got.collect())) == sorted(map(str, report.concept_focus(claimed, nodes).collect())) != []
+
+
+def test_the_graph_queries_have_small_tasks():
+    from itemloom.plans import queries
+
+    assert queries.GRAPH_ROWS <= 100_000
