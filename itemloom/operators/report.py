@@ -50,9 +50,16 @@ def set_scores(rows: DataFrame, by: list[str]) -> DataFrame:
     """The score of each candidate set (A4): passes, quality, and distinct atoms, skills, relations and chunks among the
     passes ('' counts as a value but for relations, G17), less the failing gates."""
     ok = F.col("passed")
-    kinds = lambda c: F.countDistinct(F.when(ok, F.coalesce(F.col(c), F.lit(""))))
-    relations = F.countDistinct(F.when(ok & (F.coalesce("relation", F.lit("")) != ""), F.col("relation")))
-    s = rows.groupBy(*by).agg(F.count_if(ok).alias("passed"), F.sum("failing_gates").alias("failing"), kinds("atom_id").alias("atoms"), kinds("skill").alias("skills"), relations.alias("relations"), kinds("chunk_id").alias("chunks"), F.max("quality_total").alias("total"), F.max("quality_max").alias("most"))
+    # Each distinct value is a group of its own, whatever its set's size. Unlike distinct counts of several columns this leaves
+    # rows that are dealt by a column of by where they are.
+    item = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("value"))
+    whole, among = item(0, F.lit(None)), [item(i, F.coalesce(F.col(c).cast("string"), F.lit(""))) for i, c in enumerate(("atom_id", "skill", "chunk_id", "relation"), 1)]
+    items = F.when(ok, F.array(whole, *among)).otherwise(F.array(whole))
+    each = rows.select(*by, F.explode(items).alias("item"), "passed", "failing_gates", "quality_total", "quality_max").select(*by, "item.kind", "item.value", "passed", "failing_gates", "quality_total", "quality_max")
+    row = lambda c: F.when(F.col("kind") == 0, F.col(c))
+    each = each.groupBy(*by, "kind", "value").agg(F.count_if(row("passed")).alias("passed"), F.sum(row("failing_gates")).alias("failing"), F.max(row("quality_total")).alias("total"), F.max(row("quality_max")).alias("most"))
+    n = lambda kind: F.count_if(F.col("kind") == kind)
+    s = each.groupBy(*by).agg(F.sum("passed").alias("passed"), F.sum("failing").alias("failing"), n(1).alias("atoms"), n(2).alias("skills"), F.count_if((F.col("kind") == 4) & (F.col("value") != "")).alias("relations"), n(3).alias("chunks"), F.max("total").alias("total"), F.max("most").alias("most"))
     semantic = F.coalesce(F.expr("CASE WHEN most > 0 THEN total * 1000 div most END"), F.lit(0))
     score = F.col("passed") * 1_000_000 + semantic * 1_000 + F.col("atoms") * 500 + F.col("skills") * 100 + F.col("relations") * 75 + F.col("chunks") * 25 - F.col("failing") * 10
     return s.withColumn("score", score.cast("long"))

@@ -315,8 +315,17 @@ def rejection_memory(table):
     return report.rejection_memory(rows, "conv_id").select("conv_id", F.col("draft_ord").alias("turn"), "age", "stem")
 
 
+#: Drafts of a task of the sets, which holds each with its four values.
+SET_ROWS = 150_000
+
+
 def _sets(table) -> DataFrame:
-    rows = table("lineitem").join(table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    """Customers as sets, orders as candidates, lines as drafts. Lines and orders are dealt by order once, into tasks whose
+    share doesn't grow with the tables; scores need no other shuffle."""
+    lines = table("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")
+    n = parts_for(lines.sparkSession, lines.count(), SET_ROWS)
+    orders = table("orders").select("o_orderkey", "o_custkey", "o_totalprice").repartition(n, "o_orderkey")
+    rows = lines.repartition(n, "l_orderkey").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     total = F.col("o_totalprice").cast("long") % 61
     return rows.select(F.col("o_custkey").alias("set_id"), F.col("o_orderkey").alias("candidate"), (F.col("l_returnflag") != "R").alias("passed"), (F.col("l_returnflag") == "R").cast("int").alias("failing_gates"), F.col("l_partkey").cast("string").alias("atom_id"), F.col("l_linestatus").alias("skill"), F.col("l_returnflag").alias("relation"), F.col("l_suppkey").cast("string").alias("chunk_id"), total.alias("quality_total"), F.lit(60).cast("long").alias("quality_max"))
 

@@ -115,3 +115,22 @@ def test_the_graph_queries_have_small_tasks():
     from itemloom.plans import queries
 
     assert queries.GRAPH_ROWS <= 100_000
+
+
+def test_scores_of_sets_leave_rows_where_they_are(spark):
+    from itemloom.operators import report
+
+    cols = "run int, candidate int, passed boolean, failing_gates int, atom_id string, skill string, relation string, chunk_id string, quality_total long, quality_max long"
+    rows = [
+        (1, 1, True, 0, "a", "s", "r", "c", 30, 60), (1, 1, True, 1, "a", None, "", "c", 30, 60), (1, 1, True, 0, None, "t", None, "d", 30, 60), (1, 1, True, 0, "", "t", "q", "d", 30, 60),
+        (1, 1, False, 3, "x", "x", "x", "x", 30, 60), (1, 1, None, 2, "y", "y", "y", "y", 30, 60), (1, 2, False, 4, "a", "s", "r", "c", None, None), (2, 3, True, 0, "a", "s", "r", "c", 5, 0),
+    ]
+    df = spark.createDataFrame(rows, cols)
+    out = report.set_scores(df.repartition(3, "candidate"), ["run", "candidate"])
+    assert shuffles(out) == 1
+    got = {(r.run, r.candidate): (r.passed, r.failing, r.atoms, r.skills, r.relations, r.chunks, r.total, r.most, r.score) for r in out.collect()}
+    assert got == {
+        (1, 1): (4, 6, 2, 3, 2, 2, 30, 60, 4_000_000 + 500_000 + 1_000 + 300 + 150 + 50 - 60),
+        (1, 2): (0, 4, 0, 0, 0, 0, None, None, -40),
+        (2, 3): (1, 0, 1, 1, 1, 1, 5, 0, 1_000_000 + 500 + 100 + 75 + 25),
+    }
