@@ -181,3 +181,14 @@ def test_contracts_across_batches(spark, most):
         got.setdefault(r.doc_id, []).append(r.atom_id)
         assert r.slot_ord == len(got[r.doc_id]) and r.slot_id == f"S{r.slot_ord:02d}"
     assert got == {d: x for d, x in want.items() if x}
+
+
+def test_open_slots_deal_atoms_once(spark, monkeypatch):
+    from itemloom.plans import bank_queries, queries
+
+    # What is written between the steps has the slots; the atoms behind them are dealt as numbers, without texts.
+    seen = []
+    monkeypatch.setattr(bank_queries, "cut", lambda df: seen.append(df) or cut(df))
+    got = queries.QUERIES["open_slots"](spark, "/root/testdata/sf0.001").count()
+    (slots,) = [df for df in seen if "slot_id" in df.columns]
+    assert shuffles(slots) == 4 and got == slots.filter("slot_ord % 2 = 1").count()
