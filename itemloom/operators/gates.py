@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import mentions, nearly_equal, plain_unit, shows_unit, symbolic, with_values
 from ..functions.similarity import choice_runs, cosine, shared_run_length
 from ..functions.text import collapse, excerpt, found_in, peel_quotes, quote_floor, source_role, squeeze, trimmed
-from ..tables import cut
+from ..tables import cut, parts_for
 
 # Words that make a stem a question.
 QUESTION_WORDS = (
@@ -167,6 +167,10 @@ def coverage_gate(drafts: DataFrame, slots: DataFrame, context: DataFrame, keys:
     return rows.withColumn("off_contract", why).drop("s_atom", "s_chunks", "s_skill", "s_level", "s_quote", "in_context")
 
 
+#: Stems whose grams a task makes.
+STEMS = 5_000
+
+
 def _gram_floor(gram: int, share: float) -> int:
     """The least length from which on a run of share of a stem always covers gram characters in the stem's middle."""
     short = [n for n in range(1, int(gram / max(2 * share - 1, 0.01)) + 2) if 2 * ceil(share * n) - n < gram]
@@ -183,50 +187,70 @@ def near_stems(stems: DataFrame, group: list[str], gram: int = 8, share: float =
     hold it.
     """
     s = cut(stems.select(*group, "s").filter("s <> ''").distinct())
+    s = s.repartition(parts_for(s.sparkSession, s.count(), STEMS))
     least = _gram_floor(gram, share)
     long_ = s.filter(F.length("s") >= least).withColumn("len", F.length("s"))
     at = F.transform(F.sequence(F.lit(1), F.col("len") - gram + 1), lambda i: F.struct(i.alias("pos"), F.xxhash64(F.substring(F.col("s"), i, F.lit(gram))).alias("g")))
     g = long_.select(*group, "s", "len", F.explode(at).alias("x")).select(*group, "s", "len", "x.pos", "x.g")
-    held = g.select(*group, "g", "s", "len").distinct()
+    # Stems are distinct, so grams that are distinct in each need no exchange to be so.
+    held = long_.select(*group, "s", "len", F.explode(F.array_distinct(F.transform(at, lambda x: x["g"]))).alias("g"))
     common = held.groupBy(*group, "g").agg(F.count("*").alias("n")).filter("n > 1")
     run = F.ceil(F.lit(share) * F.col("len"))
     middle = g.filter(F.col("pos").between(F.col("len") - run + 1, run - gram + 1))
     # A gram that no other stem has settles it: its stem is the shorter one of no pair.
-    asked = middle.join(common, [*group, "g"], "left").groupBy(*group, "s", "len").agg(F.min(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "g")).alias("m"))
+    # Texts make grams many times their number, which no estimate sees: none of these tables may go through the driver.
+    asked = middle.join(common.hint("merge"), [*group, "g"], "left").groupBy(*group, "s", "len").agg(F.min(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "g")).alias("m"))
     asked = asked.filter("m.n > 1").select(*group, F.col("s").alias("x"), F.col("len").alias("xlen"), F.col("m.g").alias("g"))
     ordered = [*group, F.least("s", "x").alias("a"), F.greatest("s", "x").alias("b")]
     # The run that both share holds that middle, so the longer stem holds all of it.
     inside = F.contains("s", F.expr(f"substring(x, CAST(xlen - ceil({share} * xlen) + 1 AS INT), CAST(2 * ceil({share} * xlen) - xlen AS INT))"))
-    pairs = asked.join(held, [*group, "g"]).filter("s <> x AND len >= xlen").filter(inside).select(*ordered)
+    pairs = asked.join(held.hint("merge"), [*group, "g"]).filter("s <> x AND len >= xlen").filter(inside).select(*ordered)
     # A stem that is too short for a gram shares a run of share of itself, so the character in its middle, with the other.
     few = s.filter(F.length("s") < least).select(*group, F.col("s").alias("x"), F.expr("substring(s, CAST(ceil(length(s) / 2) AS INT), 1)").alias("c"))
     have = s.select(*group, "s", F.explode(F.array_distinct(F.split("s", ""))).alias("c"))
-    short = few.join(have, [*group, "c"]).filter("s <> x AND length(s) >= length(x)").select(*ordered)
+    short = few.join(have.hint("merge"), [*group, "c"]).filter("s <> x AND length(s) >= length(x)").select(*ordered)
     both = pairs.unionByName(short).distinct().withColumn("n", shared_run_length("a", "b"))
     return both.filter(F.col("n") >= share * F.least(F.length("a"), F.length("b"))).select(*group, "a", "b")
 
 
+#: Pairs of drafts that a task returns, and places to which a block's partners are dealt.
+PAIRS, PLACES = 5_000_000, 16
+
+
 def same_stems(drafts: DataFrame, group: list[str], order: str = "draft_ord", gram: int = 8, share: float = SAME_TEXT, block: int = 2_000) -> DataFrame:
     """(group, a, b): pairs a < b of drafts whose stems are equal or near, white space and case ignored; empty stems have
-    none. Near stems are found once for each text; drafts of one text all pair here, so use conflicts() to accept."""
+    none. Near stems are found once for each text; drafts of one text all pair here, so use conflicts() to accept.
+
+    Drafts of a text are dealt into blocks, and pairs of blocks meet: the smaller text's blocks travel as arrays to the
+    larger one's. Tables between the steps are small as files and large as rows, so all joins are merged, not broadcast."""
     d = drafts.select(*group, F.col(order).alias("o"), squeeze(F.lower("stem")).alias("s")).filter("s <> ''").distinct()
     # A text is known by its number; its drafts are dealt into blocks, and pairs of blocks meet.
     d = cut(d.withColumn("texts", F.count("*").over(Window.partitionBy(*group, "o"))))
-    number = cut(d.groupBy(*group, "s").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.min("o").alias("c")).withColumn("c", F.xxhash64("s", "c")).withColumn("c", F.struct("c", F.xxhash64(F.lit(7), "s").alias("c2"))))
-    d = cut(d.join(number, [*group, "s"]).select(*group, "o", "c", "texts", "blocks", F.pmod(F.xxhash64("o"), F.col("blocks")).cast("int").alias("block")))
-    near = near_stems(drafts.select(*group, squeeze(F.lower("stem")).alias("s")), group, gram, share)
-    ends = lambda x: number.select(*group, F.col("s").alias(x), F.col("c").alias(f"c{x}"), F.col("blocks").alias(f"n{x}"))
-    near = near.join(ends("a"), [*group, "a"]).join(ends("b"), [*group, "b"]).select(*group, "ca", "cb", "na", "nb")
-    own = number.select(*group, F.col("c").alias("ca"), F.col("c").alias("cb"), F.col("blocks").alias("na"), F.col("blocks").alias("nb"))
-    of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    met = near.unionByName(own).withColumn("ba", of("na")).withColumn("bb", of("nb")).filter("ca <> cb OR ba <= bb").select(*group, "ca", "cb", "ba", "bb")
-    member = lambda o, c, b, t: d.select(*group, F.col("o").alias(o), F.col("c").alias(c), F.col("block").alias(b), F.col("texts").alias(t))
-    left = cut(met.join(member("x", "ca", "ba", "tx"), [*group, "ca", "ba"]).select(*group, "cb", "bb", "x", "tx", ((F.col("ca") == F.col("cb")) & (F.col("ba") == F.col("bb"))).alias("same")))
-    both = left.join(member("y", "cb", "bb", "ty"), [*group, "cb", "bb"]).filter("x <> y AND (NOT same OR x < y)")
-    pair = [*group, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
+    number = d.groupBy(*group, "s").agg(F.count("*").alias("n"), F.min("o").alias("c")).withColumn("c", F.xxhash64("s", "c")).withColumn("c", F.struct("c", F.xxhash64(F.lit(7), "s").alias("c2")))
+    number = cut(number.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")))
+    its = F.struct("o", (F.col("texts") > 1).alias("more"))
+    blocks = d.join(number.hint("merge"), [*group, "s"]).withColumn("block", F.pmod(F.xxhash64("o"), F.col("blocks")).cast("int"))
+    blocks = cut(blocks.groupBy(*group, "c", "block").agg(F.collect_list(its).alias("l")))
+    near = near_stems(number.select(*group, "s"), group, gram, share)
+    text = lambda c: F.struct(F.col("n").alias("n"), "c", "blocks").alias(c)
+    ends = lambda x: number.select(*group, F.col("s").alias(x), text(f"t{x}")).hint("merge")
+    near = near.join(ends("a"), [*group, "a"]).join(ends("b"), [*group, "b"]).select(*group, F.least("ta", "tb").alias("x"), F.greatest("ta", "tb").alias("y"))
+    met = cut(near.unionByName(number.select(*group, text("x"), text("y"))))
+    n = parts_for(met.sparkSession, met.agg(F.sum(F.col("x.n") * F.col("y.n"))).first()[0] or 0, PAIRS)
+    of = lambda t: F.explode(F.sequence(F.lit(0), F.col(f"{t}.blocks") - 1))
+    met = met.select(*group, F.col("x.c").alias("cx"), F.col("y.c").alias("cy"), "y", of("x").alias("bx")).select(*group, "cx", "cy", "bx", of("y").alias("by")).filter("cx <> cy OR bx <= by")
+    member = lambda t: blocks.select(*group, F.col("c").alias(f"c{t}"), F.col("block").alias(f"b{t}"), F.col("l").alias(f"l{t}"))
+    left = met.join(member("x").hint("merge"), [*group, "cx", "bx"]).select(*group, "cy", "by", "lx", ((F.col("cx") == F.col("cy")) & (F.col("bx") == F.col("by"))).alias("same"), F.pmod(F.xxhash64("cx", "bx"), F.lit(PLACES)).alias("place"))
+    at = [*group, "cy", "by", "place"]
+    right = member("y").withColumn("place", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PLACES - 1).cast("long"))))
+    both = left.repartition(n, *at).join(right.repartition(n, *at).hint("merge"), at)
+    both = both.select(*group, "same", "ly", F.explode("lx").alias("x")).select(*group, "same", "x", F.explode("ly").alias("y")).filter("x.o <> y.o AND (NOT same OR x.o < y.o)")
+    pair = [*group, F.least("x.o", "y.o").alias("a"), F.greatest("x.o", "y.o").alias("b")]
     # Only drafts of several texts can meet more than once.
-    several = d.filter("texts > 1").isEmpty()
-    return both.select(*pair) if several else both.filter("tx = 1 AND ty = 1").select(*pair).unionByName(both.filter("tx > 1 OR ty > 1").select(*pair).distinct())
+    if d.filter("texts > 1").isEmpty():
+        return both.select(*pair)
+    more = F.col("x.more") | F.col("y.more")
+    return both.filter(~more).select(*pair).unionByName(both.filter(more).select(*pair).distinct())
 
 
 def same_vectors(drafts: DataFrame, group: list[str], order: str = "draft_ord", least: float = SAME_VECTOR) -> DataFrame:

@@ -192,3 +192,25 @@ def test_open_slots_deal_atoms_once(spark, monkeypatch):
     got = queries.QUERIES["open_slots"](spark, "/root/testdata/sf0.001").count()
     (slots,) = [df for df in seen if "slot_id" in df.columns]
     assert shuffles(slots) == 4 and got == slots.filter("slot_ord % 2 = 1").count()
+
+
+def test_stems_that_compress_well_do_not_go_through_the_driver(spark):
+    from itemloom.operators import gates
+
+    rows = spark.range(400).selectExpr("'r' AS run", "id AS draft_ord", "concat('Which of these is said about the moon and the tides of ', id % 90, '?') AS stem")
+    got = gates.same_stems(rows, ["run"], block=3)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.count() == got.distinct().count() == 400 * 399 // 2
+    # Near stems are as large as the grams of their texts: these plans are run and written on the way.
+    near = gates.near_stems(rows.selectExpr("run", "lower(stem) AS s"), ["run"])
+    assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString() and near.count() == 90 * 89 // 2
+
+
+def test_a_hot_stem_is_returned_by_several_tasks(spark, monkeypatch):
+    from itemloom.operators import gates
+
+    monkeypatch.setattr(gates, "PAIRS", 5_000)
+    rows = spark.range(300).selectExpr("'r' AS run", "id AS draft_ord", "'What is it that we see?' AS stem")
+    got = gates.same_stems(rows, ["run"], block=20)
+    share = got.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in share) == 300 * 299 // 2 and len(share) > 4 and max(r["count"] for r in share) < 300 * 299 // 4
