@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +16,8 @@ from ..tables import cut
 
 FLICKER = 2
 MOST_DROPPED = 0.5
+#: Concepts, or edges, of a document from which on its orphans are settled by joins instead of a scan.
+MOST_SCANNED = 100_000
 
 
 def smooth_runs(labelled: DataFrame, group: str = "doc_id", order: str = "chunk_ord", most: int = FLICKER) -> DataFrame:
@@ -124,19 +130,87 @@ def claimed_concepts(lessons: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "concept_id").agg(F.min_by("lesson_id", F.struct("lesson_pos", "pos")).alias("lesson_id"))
 
 
-def recover_orphans(nodes: DataFrame, links: DataFrame, claimed: DataFrame) -> DataFrame:
+def recover_orphans(nodes: DataFrame, links: DataFrame, claimed: DataFrame, most: int = MOST_SCANNED) -> DataFrame:
     """claimed with a lesson for every concept of a document that has one (K3): by a co_occurs neighbour, then by one of
     follows, in the order of edges, then by the nearest concept in order, left first.
 
+    Documents are scanned side by side, each where its concepts and edges are; those of more than most concepts or edges
+    are settled by rounds of joins.
+    """
+    every = nodes.select("doc_id", "concept_ord", "concept_id").join(claimed, ["doc_id", "concept_id"], "left")
+    sizes = nodes.groupBy("doc_id").count().unionByName(links.groupBy("doc_id").count())
+    heavy = cut(sizes.filter(F.col("count") > most).select("doc_id").distinct())
+    if heavy.isEmpty():
+        return scan_orphans(every, links)
+    light, large = (lambda df: df.join(F.broadcast(heavy), "doc_id", "left_anti")), (lambda df: df.join(F.broadcast(heavy), "doc_id", "left_semi"))
+    return scan_orphans(light(every), light(links)).unionByName(join_orphans(large(every), large(links)))
+
+
+def _turn() -> Column:
+    return F.when(F.col("kind") == "co_occurs", 0).otherwise(1 << 40) + F.col("edge_ord")
+
+
+def scan_orphans(every: DataFrame, links: DataFrame) -> DataFrame:
+    """recover_orphans() of every (doc_id, concept_ord, concept_id, lesson_id or null) by a scan of each document. Rows that are
+    dealt by doc_id stay where they are; a document is a row, so very large ones go to join_orphans()."""
+    c = every.groupBy("doc_id").agg(F.collect_list(F.struct("concept_ord", "concept_id", "lesson_id")).alias("c"))
+    e = links.filter(F.col("kind").isin("co_occurs", "follows")).groupBy("doc_id").agg(F.collect_list(F.struct(_turn().alias("turn"), "src", "dst")).alias("e"))
+    return c.join(e.hint("merge"), "doc_id", "left").mapInArrow(_scanned, f"doc_id {every.schema['doc_id'].dataType.simpleString()}, concept_id string, lesson_id string")
+
+
+def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The scan of whole documents: concepts in order look at their neighbours, in the order of edges, and see claimed ones and
+    those before them. Concepts of all documents of a batch are numbered through, so one pass settles them."""
+
+    def flat(batch: pa.RecordBatch, name: str, order: str) -> tuple[pa.StructArray, np.ndarray]:
+        """The entries of all lists, each list in order, and whose they are."""
+        size = pc.list_value_length(batch.column(name)).fill_null(0).to_numpy(zero_copy_only=False)
+        values, whose = batch.column(name).flatten(), np.repeat(np.arange(len(size)), size)
+        return values.take(pa.array(np.lexsort((values.field(order).to_numpy(zero_copy_only=False), whose)))), whose
+
+    for batch in batches:
+        (nodes, doc), (links, of) = flat(batch, "c", "concept_ord"), flat(batch, "e", "turn")
+        ids, n, m = nodes.field("concept_id"), len(nodes), len(links)
+        if not n:
+            continue
+        names = pa.concat_arrays([ids, links.field("src"), links.field("dst")]).dictionary_encode()
+        key = np.concatenate([doc, of, of]).astype(np.int64) * (len(names.dictionary) + 1) + names.indices.to_numpy(zero_copy_only=False)
+        by = np.argsort(key[:n])
+        found = by[np.minimum(np.searchsorted(key[:n], key[n:], sorter=by), n - 1)]
+        known = (key[found] == key[n:]).reshape(2, m).all(axis=0)
+        ends = found.reshape(2, m)[:, known]
+        codes = nodes.field("lesson_id").dictionary_encode()
+        lesson = codes.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        me, to, turn = np.concatenate(ends), np.concatenate(ends[::-1]), np.tile(np.arange(ends.shape[1]), 2)
+        sees = (lesson[me] < 0) & ((lesson[to] >= 0) | (to < me))
+        me, to, turn = me[sees], to[sees], turn[sees]
+        by = np.lexsort((turn, me))
+        got = lesson.tolist()
+        for i, j in zip(me[by].tolist(), to[by].tolist(), strict=True):
+            if got[i] < 0:
+                got[i] = got[j]
+        lesson = np.array(got, np.int64)
+        # What is left takes the last lesson before it in its document, or else the first behind.
+        at, first = np.arange(n), np.searchsorted(doc, doc)
+        before = np.maximum.accumulate(np.where(lesson >= 0, at, -1))
+        behind = np.minimum.accumulate(np.where(lesson >= 0, at, n)[::-1])[::-1]
+        its = np.where(before >= first, before, behind)
+        has = (its < n) & (doc[np.minimum(its, n - 1)] == doc)
+        rows = [batch.column("doc_id").take(pa.array(doc[has])), ids.filter(pa.array(has)), codes.dictionary.take(pa.array(lesson[its[has]]))]
+        yield pa.RecordBatch.from_arrays(rows, names=["doc_id", "concept_id", "lesson_id"])
+
+
+def join_orphans(every: DataFrame, links: DataFrame) -> DataFrame:
+    """recover_orphans() for documents of any size, as scan_orphans().
+
     The rule goes through the concepts in order, so a concept only sees claimed neighbours and those before it. That is a
     graph of dependencies: rounds of joins find which concepts it reaches from the claimed ones; each of these points to
     its first neighbour that has a lesson, and pointers are doubled until they end at a claimed concept. What is left
     takes the last lesson before it, or else the first behind. Rounds are checkpointed; no document meets in one row.
     """
-    every = cut(nodes.select("doc_id", "concept_ord", "concept_id").join(claimed, ["doc_id", "concept_id"], "left"))
+    every = cut(every)
     its = lambda end, n: every.select("doc_id", F.col("concept_id").alias(end), F.col("concept_ord").alias(n), F.col("lesson_id").isNotNull().alias(f"{n}_claimed"))
-    turn = F.when(F.col("kind") == "co_occurs", 0).otherwise(1 << 40) + F.col("edge_ord")
-    ends = links.filter(F.col("kind").isin("co_occurs", "follows")).select("doc_id", "src", "dst", turn.alias("turn"))
+    ends = links.filter(F.col("kind").isin("co_occurs", "follows")).select("doc_id", "src", "dst", _turn().alias("turn"))
     ends = ends.join(its("src", "a"), ["doc_id", "src"]).join(its("dst", "b"), ["doc_id", "dst"])
     way = lambda x, y: F.when(~F.col(f"{x}_claimed") & (F.col(f"{y}_claimed") | (F.col(y) < F.col(x))), F.struct(F.col(x).alias("c"), F.col(y).alias("to"), F.col(f"{y}_claimed").alias("ends"), "turn"))
     sees = cut(ends.select("doc_id", F.explode(F.array_compact(F.array(way("a", "b"), way("b", "a")))).alias("w")).groupBy("doc_id", "w.c", "w.to", "w.ends").agg(F.min("w.turn").alias("turn")))

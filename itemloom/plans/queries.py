@@ -247,7 +247,7 @@ GRAPH_ROWS = 100_000
 def _graph(table) -> DataFrame:
     """Customers as documents, their orders as chunks, parts as concepts, all placed. What a task holds doesn't grow with
     the tables, and rows are dealt by document once."""
-    lines, orders = table("lineitem").select("l_orderkey", "l_partkey", "l_linenumber"), table("orders").select("o_orderkey", "o_custkey")
+    lines, orders = table("lineitem").select("l_orderkey", "l_partkey", "l_linenumber"), table("orders").select("o_orderkey", "o_custkey").filter("o_custkey IS NOT NULL")
     n = parts_for(lines.sparkSession, lines.count(), GRAPH_ROWS)
     rows = lines.repartition(n, "l_orderkey").join(orders.repartition(n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     rows = rows.select(F.col("o_custkey").alias("doc_id"), F.col("l_orderkey").alias("chunk_ord"), F.col("l_partkey").alias("key"), (F.col("l_linenumber") * F.lit(10**10) + F.col("l_partkey")).alias("pos"))

@@ -214,3 +214,36 @@ def test_a_hot_stem_is_returned_by_several_tasks(spark, monkeypatch):
     got = gates.same_stems(rows, ["run"], block=20)
     share = got.groupBy(F.spark_partition_id()).count().collect()
     assert sum(r["count"] for r in share) == 300 * 299 // 2 and len(share) > 4 and max(r["count"] for r in share) < 300 * 299 // 4
+
+
+def test_orphans_are_found_where_the_graph_is(spark, monkeypatch):
+    from itemloom.plans import bank_queries, queries
+
+    # Lines and orders by order, concepts by document, for concepts and for edges: the scan needs no exchange and no table.
+    with monkeypatch.context() as m:
+        m.delattr(graph, "cut")
+        df = queries.QUERIES["recovered_concepts"](spark, "/root/testdata/sf0.001")
+        assert shuffles(df) == 2 * 3
+        whole = sorted(map(str, df.collect()))
+    monkeypatch.setattr(bank_queries, "MOST_ORDERS", 12)
+    assert sorted(map(str, queries.QUERIES["recovered_concepts"](spark, "/root/testdata/sf0.001").collect())) == whole != []
+
+
+def test_scans_and_joins_find_the_same_orphans(spark):
+    import random
+
+    rng, nodes, links, claimed = random.Random(9), [], [], []
+    for d in range(30):
+        n = rng.randrange(1, 30)
+        ids = [f"C{i:03}" for i in range(n)]
+        nodes += [(d, i, c) for i, c in enumerate(ids)]
+        claimed += [(d, c, f"L{rng.randrange(3)}") for c in ids if d % 7 and rng.random() < 0.2]
+        # Ends that are no concept, loops, and edges twice.
+        links += [(d, k, rng.choice(["co_occurs", "follows", "other"]), rng.choice([*ids, "C999"]), rng.choice(ids)) for k in range(rng.randrange(40))]
+    nodes = spark.createDataFrame(nodes, "doc_id long, concept_ord int, concept_id string").repartition(3)
+    links = spark.createDataFrame(links, "doc_id long, edge_ord int, kind string, src string, dst string").repartition(5)
+    claimed = spark.createDataFrame(claimed, "doc_id long, concept_id string, lesson_id string")
+    got = [sorted(map(tuple, graph.recover_orphans(nodes, links, claimed, most=k).collect())) for k in (0, 15, 10**6)]
+    assert got[0] == got[1] == got[2] and {r[0] for r in got[0]} >= {1, 2, 3}
+    none = links.limit(0)
+    assert sorted(map(tuple, graph.recover_orphans(nodes, none, claimed, most=0).collect())) == sorted(map(tuple, graph.recover_orphans(nodes, none, claimed).collect())) != []
