@@ -216,7 +216,8 @@ def united(*sources: DataFrame) -> DataFrame:
 
 def comparison(rows: DataFrame, sources: list[str]) -> DataFrame:
     """Side by side: the i-th question of every source, in five-question categories (JN18, R9, U7, W11)."""
-    rows = united(rows)
+    # The answers of other sources may be letters, which united() has no place for; they are not shown here.
+    rows = united(rows.select("source", "ordinal", "stem"))
     return rows.groupBy("i", "category").pivot("source", sources).agg(F.first("stem")).select("i", *sources, "category").orderBy("i")
 
 
